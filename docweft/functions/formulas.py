@@ -31,7 +31,7 @@ SQL_HELPERS = {
     "calc_min(xs ARRAY<DOUBLE>) RETURNS DOUBLE": "if(exists(xs, x -> x IS NULL), NULL, array_min(xs))",
     "calc_max(xs ARRAY<DOUBLE>) RETURNS DOUBLE": "if(exists(xs, x -> x IS NULL), NULL, array_max(xs))",
     "calc_count(xs ARRAY<STRING>) RETURNS INT": "coalesce(size(xs), 0)",
-    "calc_round(x DOUBLE, places INT DEFAULT 0) RETURNS DOUBLE": "CAST(bround(CAST(x AS DECIMAL(38,16)), 0) AS DOUBLE)",
+    "calc_round(x DOUBLE) RETURNS DOUBLE": "CAST(bround(CAST(x AS DECIMAL(38,16)), 0) AS DOUBLE)",
     "calc_mod(a DOUBLE, b DOUBLE) RETURNS DOUBLE": "a - b * floor(try_divide(a, b))",
     "calc_months_between(s DATE, e DATE) RETURNS INT": "(year(e) - year(s)) * 12 + month(e) - month(s)",
     "days_between(s DATE, e DATE) RETURNS INT": "datediff(e, s)",

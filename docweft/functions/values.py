@@ -17,8 +17,8 @@ NO_VALUE = "—"
 
 
 def first_match(text: Column, pattern: str, group: int = 0) -> Column:
-    """First match of a pattern, null (not '') when there is none."""
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_extract(text, pattern, group))
+    """First match of a pattern that never matches the empty text; null when there is none."""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
 def non_blank(text: Column) -> Column:

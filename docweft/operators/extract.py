@@ -27,48 +27,58 @@ NOT_JSON = "Provider response content must be a JSON string or object."
 UNGROUNDED_NOTE = "LangExtract returned an ungrounded extraction."
 
 
-def rule_candidate(text: Column, field: FieldDef) -> Column:
-    """The candidate struct of one field, from the first match of its type's rule."""
+def rule_hit(text: Column, field: FieldDef) -> Column:
+    """The text a field's rule finds in a document, null when it finds nothing. The only pass over the text."""
     spoken_name = field.name.replace("_", " ")
     if field.type == "currency":
-        shown = tx.strip(first_match(text, RULE_CURRENCY))
-        digits = F.replace(first_match(text, RULE_CURRENCY, 1), F.lit(","), F.lit(""))
-        value = value_struct(amount=digits.try_cast("double"), currency=F.lit(field.rules.currency or "USD"),
-                             display_value=shown)
-        extracted, source, hit = shown, shown, CONFIDENCE["currency"]
+        return first_match(text, RULE_CURRENCY)
+    if field.type == "date":
+        return first_match(text, RULE_DATE, 1)
+    if field.type == "number":
+        return first_match(text, RULE_NUMBER, 1)
+    lowered = F.lower(text)
+    if field.type == "boolean":
+        return F.when(F.contains(lowered, F.lit(spoken_name)), "true")
+    named = F.contains(lowered, F.lit(field.label.lower())) | F.contains(lowered, F.lit(spoken_name))
+    return F.when(named, tx.strip(F.substring(text, 1, SNIPPET_CHARS)))
+
+
+def rule_candidate(hit: Column, field: FieldDef) -> dict[str, Column]:
+    """The candidate columns of one field from its rule's hit."""
+    source = hit
+    if field.type == "currency":
+        hit = source = tx.strip(hit)
+        digits = F.translate(hit, "$," + tx.BLANKS, "")
+        value = value_struct(amount=digits.try_cast("double"), currency=F.lit(field.rules.currency or "USD"), display_value=hit)
     elif field.type == "date":
-        extracted = source = first_match(text, RULE_DATE, 1)
-        value, hit = value_struct(text=extracted, display_value=extracted), CONFIDENCE["date"]
-    elif field.type == "boolean":
-        found = F.contains(F.lower(text), F.lit(spoken_name))
-        extracted, source = F.when(found, "true"), F.when(found, field.name)
-        value, hit = value_struct(flag=F.lit(True)), CONFIDENCE["boolean"]
+        value = value_struct(text=hit, display_value=hit)
     elif field.type == "number":
-        extracted = source = first_match(text, RULE_NUMBER, 1)
-        value, hit = value_struct(number=extracted.try_cast("double")), CONFIDENCE["number"]
+        value = value_struct(number=hit.try_cast("double"))
+    elif field.type == "boolean":
+        source = F.when(hit.isNotNull(), field.name)
+        value = value_struct(flag=F.lit(True))
     else:
-        lowered = F.lower(text)
-        named = F.contains(lowered, F.lit(field.label.lower())) | F.contains(lowered, F.lit(spoken_name))
-        extracted = source = F.when(named, tx.strip(F.substring(text, 1, SNIPPET_CHARS)))
-        value, hit = value_struct(text=extracted), CONFIDENCE["snippet"]
-
-    found = extracted.isNotNull()
-    sourced = F.coalesce(source != "", F.lit(False))
-    confidence = F.when(found, hit).otherwise(CONFIDENCE["miss"])
-    return F.struct(
-        F.lit(field.name).alias("field_name"),
-        F.lit(0).cast("bigint").alias("seq"),
-        extracted.alias("extracted_value"),
-        F.when(found, value).otherwise(null_value()).alias("normalized_value"),
-        confidence.alias("confidence"),
-        F.coalesce(source, F.lit("")).alias("source_text"),
-        F.lit(None).cast("int").alias("char_start"),
-        F.lit(None).cast("int").alias("char_end"),
-        F.when(sourced, 1).alias("page_number"),
-        F.when(sourced, "Page 1").otherwise("").alias("location_reference"),
-        F.when(sourced, FOUND_NOTE).otherwise(MISS_NOTE).alias("notes"),
-        (confidence < REVIEW_BELOW).alias("requires_review"),
-    )
+        value = value_struct(text=hit)
+
+    found, sourced = hit.isNotNull(), F.coalesce(source != "", F.lit(False))
+    score = CONFIDENCE.get(field.type, CONFIDENCE["snippet"])
+    return {
+        "extracted_value": hit,
+        "normalized_value": F.when(found, value).otherwise(null_value()),
+        "confidence": F.when(found, score).otherwise(CONFIDENCE["miss"]),
+        "source_text": F.coalesce(source, F.lit("")),
+        "char_start": F.lit(None).cast("int"),
+        "char_end": F.lit(None).cast("int"),
+        "page_number": F.when(sourced, 1),
+        "location_reference": F.when(sourced, "Page 1").otherwise(""),
+        "notes": F.when(sourced, FOUND_NOTE).otherwise(MISS_NOTE),
+        "requires_review": F.when(found, score < REVIEW_BELOW).otherwise(CONFIDENCE["miss"] < REVIEW_BELOW),
+    }
+
+
+def rule_hits(docs: DataFrame, template: Template, others: Sequence[str], text: str = "text") -> DataFrame:
+    """Documents reduced to one short hit column per field, so that later steps never touch the text again."""
+    return docs.select(*others, *[rule_hit(F.col(text), f).alias(f"_hit_{f.name}") for f in template.fields])
 
 
 def rule_extract(docs: DataFrame, template: Template, text: str = "text") -> DataFrame:
@@ -77,8 +87,12 @@ def rule_extract(docs: DataFrame, template: Template, text: str = "text") -> Dat
     The fields are expanded inside the row, so no definitions table is joined.
     """
     others = [c for c in docs.columns if c != text]
-    candidates = F.array(*[rule_candidate(F.col(text), f) for f in template.fields])
-    return docs.select(*others, F.inline(candidates))
+    hits = rule_hits(docs, template, others, text)
+    candidates = F.array(*[
+        F.struct(F.lit(f.name).alias("field_name"), F.lit(0).cast("bigint").alias("seq"),
+                 *[c.alias(n) for n, c in rule_candidate(F.col(f"_hit_{f.name}"), f).items()])
+        for f in template.fields])
+    return hits.select(*others, F.inline(candidates))
 
 
 def parse_extraction_responses(responses: DataFrame, key: str = "request_id") -> DataFrame:
@@ -173,7 +187,7 @@ def extract_with(
             for record in batch.to_dict("records"):
                 ids = {k: record[k] for k in keys}
                 for seq, found in enumerate(extractor(record[text])):
-                    rows.append({"seq": seq, **found, **ids})
-            yield pd.DataFrame(rows).reindex(columns=names)
+                    rows.append({**dict.fromkeys(names), "seq": seq, **found, **ids})
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return docs.select(*keys, text).mapInPandas(run, schema)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docweft.functions import text as tx
 from docweft.functions.contracts import contract_error
-from docweft.operators.extract import rule_candidate
+from docweft.operators.extract import rule_candidate, rule_hits
 from docweft.schema import (
     CANDIDATE_COLUMNS, LIST_TYPES, FieldDef, Template, null_value, typed_value, value_json, value_struct,
 )
@@ -103,8 +103,11 @@ def reconcile_wide(
 
 def rule_extract_wide(docs: DataFrame, template: Template, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """`rule_extract` and `reconcile_wide` for unchunked documents: one candidate per field, no shuffle."""
-    return docs.select(*keys, *[
-        _settled(rule_candidate(F.col("text"), f), F.lit(1)).alias(f.name) for f in template.fields])
+    hits = rule_hits(docs, template, keys)
+    return hits.select(*keys, *[
+        F.struct(*[c.alias(n) for n, c in rule_candidate(F.col(f"_hit_{f.name}"), f).items()],
+                 F.lit(1).alias("n_candidates")).alias(f.name)
+        for f in template.fields])
 
 
 def _settled(candidate: Column, n: Column) -> Column:

@@ -38,7 +38,7 @@ LINES = Template(
     version="2.0.0",
     document_type="statement",
     fields=(
-        FieldDef("field_1", "Field 1", "currency", required=True, rules=Rules(regex=r"\d+\.\d", max_length=7)),
+        FieldDef("field_1", "Field 1", "currency", required=True, rules=Rules(regex=r"[1-4]\d*\.\d", max_length=7)),
         FieldDef("field_2", "Field 2", "currency", citation_required=False, rules=Rules(allow_null=False)),
         FieldDef("field_3", "Field 3", "currency", citation_required=False),
         FieldDef("field_4", "Field 4", "currency", required=True, rules=Rules(allow_null=False)),
