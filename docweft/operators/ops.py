@@ -322,57 +322,68 @@ def valid_keys(rows: DataFrame) -> DataFrame:
 
 
 # ---- logs ---------------------------------------------------------------------------------------
-def parsed_log_lines(lines: DataFrame) -> DataFrame:
-    """Classify log lines: `line_kind` blank / invalid / other / record, and the parsed `payload` variant."""
-    body = tx.strip(F.col("line"))
-    payload = F.try_parse_json(body)
-    kind = (F.when(body == "", "blank").when(payload.isNull(), "invalid")
-            .when(F.startswith(F.schema_of_variant(payload), F.lit("OBJECT")), "record").otherwise("other"))
-    return lines.withColumns({"payload": payload, "line_kind": kind})
+LOG_MEMBERS = ("event", "reason", "model", "document_chars", *EXTRACTION_SUMS, *FEEDBACK_SUMS)
 
 
-def log_counters(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """One small row per counted item of every line: the kept columns, section, item, amount.
+def line_kind(line: Column) -> Column:
+    """blank / invalid / other (JSON, but no object) / record."""
+    body = tx.strip(line)
+    return (F.when(body == "", "blank").when(F.try_parse_json(body).isNull(), "invalid")
+            .when(F.startswith(body, F.lit("{")), "record").otherwise("other"))
 
-    Expanding lines to counters lets a single aggregation, combined on the map side, serve all sections.
-    """
-    parsed = parsed_log_lines(lines)
-    event = F.try_variant_get("payload", "$.event", "string")
-    record = F.col("line_kind") == "record"
-    one = F.lit(1).cast("bigint")
 
-    def member(name: str, kind: str = "string") -> Column:
-        return F.try_variant_get("payload", f"$.{name}", kind)
+def parsed_log_lines(lines: DataFrame) -> DataFrame:
+    """Add `line_kind` and, for records, the known members as `record` (texts; null when absent)."""
+    schema = ", ".join(f"{name} string" for name in LOG_MEMBERS)
+    kinds = lines.withColumn("line_kind", line_kind(F.col("line")))
+    return kinds.withColumn("record", F.from_json(F.when(F.col("line_kind") == "record", F.col("line")), schema))
 
-    def counter(section: str | Column, item: Column, amount: Column, when: Column) -> Column:
-        return F.when(F.coalesce(when, F.lit(False)), F.struct(
-            F.lit(section).alias("section"), item.alias("item"), amount.alias("amount")))
 
-    model = member("model")
-    counters = [
-        counter("lines", F.lit("lines_processed"), one, F.lit(True)),
-        counter("lines", F.lit("json_records_processed"), one, record),
-        counter("lines", F.lit("invalid_line_count"), one, F.col("line_kind") == "invalid"),
-        counter("events_seen", event, one, record & event.isin(REJECTED, COMPLETED, FEEDBACK)),
-        counter("rejection_reasons", F.coalesce(member("reason"), F.lit("unknown")), one, record & (event == REJECTED)),
-        counter("rejection_models", model, one, record & (event == REJECTED) & (model != "")),
-        counter("rejection_totals", F.lit("rejected_document_chars"), _whole("document_chars"), record & (event == REJECTED)),
-        counter("extraction_models", model, one, record & (event == COMPLETED) & (model != "")),
-        *[counter("extraction_totals", F.lit(n), _whole(n), record & (event == COMPLETED)) for n in EXTRACTION_SUMS],
-        *[counter("feedback_totals", F.lit(n), _whole(n), record & (event == FEEDBACK)) for n in FEEDBACK_SUMS],
-    ]
-    kept = parsed.select(*keep, F.array_compact(F.array(*counters)).alias("_counters"))
-    return kept.select(*keep, F.inline("_counters"))
+def _whole(name: str) -> Column:
+    return F.coalesce(F.col(f"record.{name}").try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def _whole(name: str) -> Column:
-    return F.coalesce(F.try_variant_get("payload", f"$.{name}", "bigint"), F.lit(0).cast("bigint"))
+def log_event_totals(lines: DataFrame, keys: Sequence[str] = ("event", "reason", "model"), by: Sequence[str] = ()) -> DataFrame:
+    """Lines counted and all counters summed per kind of line and `keys`, in one map-side combined pass.
+
+    There are as many groups as combinations of event, reason and model, however long the log is.
+    """
+    known = F.col("record.event").isin(REJECTED, COMPLETED, FEEDBACK)
+    members = {"event": F.when(known, F.col("record.event")),
+               "reason": F.when(F.col("record.event") == REJECTED, F.coalesce("record.reason", F.lit("unknown"))),
+               "model": F.when(F.col("record.event").isin(REJECTED, COMPLETED) & (F.col("record.model") != ""), F.col("record.model"))}
+    sums = ("document_chars", *EXTRACTION_SUMS, *FEEDBACK_SUMS)
+    flat = parsed_log_lines(lines).select(
+        *by, "line_kind", *[members[k].alias(k) for k in keys], *[_whole(n).alias(n) for n in sums])
+    return flat.groupBy(*by, "line_kind", *keys).agg(
+        F.count(F.lit(1)).alias("n_lines"), *[F.sum(n).alias(n) for n in sums])
 
 
 def log_summary(lines: DataFrame) -> DataFrame:
     """Totals over all log lines as (section, item, amount) rows."""
-    return log_counters(lines).groupBy("section", "item").agg(F.sum("amount").alias("amount"))
+    totals = log_event_totals(lines)
+    kind, event = F.col("line_kind"), F.col("event")
+
+    def counter(section: str, item: Column, amount: str, when: Column) -> Column:
+        return F.when(F.coalesce(when & item.isNotNull(), F.lit(False)), F.struct(
+            F.lit(section).alias("section"), item.alias("item"), F.col(amount).alias("amount")))
+
+    counters = [
+        counter("lines", F.lit("lines_processed"), "n_lines", F.lit(True)),
+        counter("lines", F.lit("json_records_processed"), "n_lines", kind == "record"),
+        counter("lines", F.lit("invalid_line_count"), "n_lines", kind == "invalid"),
+        counter("events_seen", event, "n_lines", F.lit(True)),
+        counter("rejection_reasons", F.col("reason"), "n_lines", event == REJECTED),
+        counter("rejection_models", F.col("model"), "n_lines", event == REJECTED),
+        counter("rejection_totals", F.lit("rejected_document_chars"), "document_chars", event == REJECTED),
+        counter("extraction_models", F.col("model"), "n_lines", event == COMPLETED),
+        *[counter("extraction_totals", F.lit(n), n, event == COMPLETED) for n in EXTRACTION_SUMS],
+        *[counter("feedback_totals", F.lit(n), n, event == FEEDBACK) for n in FEEDBACK_SUMS],
+    ]
+    items = totals.select(F.inline(F.array_compact(F.array(*counters))))
+    return items.groupBy("section", "item").agg(F.sum("amount").alias("amount"))
 
 
 def invalid_log_lines(lines: DataFrame) -> DataFrame:
-    return parsed_log_lines(lines).filter("line_kind = 'invalid'").drop("payload", "line_kind", "line")
+    """Lines that are neither blank nor JSON, without their text."""
+    return lines.filter(line_kind(F.col("line")) == "invalid").drop("line")

@@ -136,9 +136,9 @@ def typed_edit_values(drafts: DataFrame) -> DataFrame:
 def changed_edits(drafts: DataFrame) -> DataFrame:
     """Drop drafts whose value equals the field's normalized value, or its extracted text when it has none."""
     new = value_json(F.col("new_value"), F.col("data_type"))
-    extracted = F.to_json(F.struct(F.col("extracted_value").alias("value")))
-    original = F.coalesce(value_json(F.col("normalized_value"), F.col("data_type")),
-                          F.when(F.col("extracted_value").isNotNull(), extracted))
+    # An extracted text is a bare string, so only an empty draft of an empty field equals it.
+    extracted = F.concat(F.lit('"'), F.col("extracted_value"), F.lit('"'))
+    original = F.coalesce(value_json(F.col("normalized_value"), F.col("data_type")), extracted)
     return drafts.filter(~new.eqNullSafe(original)).withColumn("reason", F.lit(EDIT_REASON))
 
 

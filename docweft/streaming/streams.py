@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docweft.operators.calculate import result_envelope
-from docweft.operators.ops import log_counters
+from docweft.operators.ops import log_event_totals
 from docweft.plans.dry_run import extract_documents
 from docweft.schema import Template
 
@@ -30,11 +30,12 @@ def _watermarked(df: DataFrame, column: str = "ts") -> DataFrame:
 
 
 def stream_log_counts(lines: DataFrame, every: str = "1 hour") -> DataFrame:
-    """Log counters (ts, line) per tumbling window; late lines within the watermark still count."""
+    """Known events (ts, line) counted and their counters summed per tumbling window; late lines within the
+    watermark still count."""
     windowed = _watermarked(lines).select(F.window("ts", every).alias("w"), "line")
-    counters = log_counters(windowed, keep=("w",))
-    return counters.groupBy("w", "section", "item").agg(F.sum("amount").alias("amount")).select(
-        F.col("w.start").alias("window_start"), "section", "item", "amount")
+    totals = log_event_totals(windowed, keys=("event",), by=("w",))
+    return totals.filter("event IS NOT NULL").select(
+        F.col("w.start").alias("window_start"), *[c for c in totals.columns if c not in ("w", "line_kind")])
 
 
 def failed_jobs_alert(jobs: DataFrame, at_least: int = FAILED_JOBS) -> DataFrame:
