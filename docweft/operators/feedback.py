@@ -164,7 +164,7 @@ def feedback_diagnostics(
 ) -> DataFrame:
     """Twelve counters per tenant and template version.
 
-    `reviewed_result_count` counts all results of the version, edited or not, as the original counter does.
+    `reviewed_result_count` counts all results of the version, edited or not.
     """
     keys = ["tenant_id", "template_version_id"]
     versioned = results.join(jobs.select("tenant_id", "job_id", "template_version_id"), ["tenant_id", "job_id"])

@@ -139,7 +139,10 @@ def changed_edits(drafts: DataFrame) -> DataFrame:
     # An extracted text is a bare string, so only an empty draft of an empty field equals it.
     extracted = F.concat(F.lit('"'), F.col("extracted_value"), F.lit('"'))
     original = F.coalesce(value_json(F.col("normalized_value"), F.col("data_type")), extracted)
-    return drafts.filter(~new.eqNullSafe(original)).withColumn("reason", F.lit(EDIT_REASON))
+    # Expanding the kept row instead of filtering: a filter would be pushed below the draft parsing and
+    # evaluate all of it a second time.
+    kept = F.when(~new.eqNullSafe(original), F.array(F.struct(*drafts.columns, F.lit(EDIT_REASON).alias("reason"))))
+    return drafts.select(F.inline(kept))
 
 
 def review_reasons(results: DataFrame) -> DataFrame:

@@ -219,7 +219,7 @@ def example_quality(drafts: DataFrame) -> DataFrame:
             F.lit("Cover the remaining required fields in complete examples: "), F.array_join("missing_required_fields", ", "), F.lit("."))),
     ))
     df = df.withColumn("messages", messages)
-    # The original counts any single message as ready, also a single complaint; kept as it is.
+    # Any single message counts as ready, also a single complaint.
     shown = F.when(F.size("messages") == 0, F.array(F.lit(READY))).otherwise(F.col("messages"))
     return df.withColumn("messages", shown).withColumn("is_ready", F.size("messages") == 1)
 
