@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -35,31 +35,61 @@ def _kind(value: Column) -> Column:
     return F.when(is_number, "number").otherwise(F.regexp_extract(shape, r"\A([A-Z]+)", 1))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it several times in `body`."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def values_match(expected: Column, actual: Column, depth: int = MAX_DEPTH) -> Column:
     """Tolerant comparison of two JSON values (variants).
 
     Strings after `normalize_string`, numbers within 0.01, lists element by element with equal length,
     objects on the expected members only. Nesting is followed `depth` levels, deeper parts must be equal text.
     """
-    kind, other = _kind(expected), _kind(actual)
-    e_num, a_num = F.try_variant_get(expected, "$", "double"), F.try_variant_get(actual, "$", "double")
-    slack = F.greatest(F.lit(NUMBER_TOLERANCE), RELATIVE_TOLERANCE * F.greatest(F.abs(e_num), F.abs(a_num)))
-    e_text, a_text = F.try_variant_get(expected, "$", "string"), F.try_variant_get(actual, "$", "string")
+    pair = F.struct(expected.alias("e"), actual.alias("a"), _kind(expected).alias("kind"), _kind(actual).alias("other"))
+    return F.coalesce(bind(pair, lambda p: _pair_matches(p, depth)), F.lit(False))
+
+
+def _pair_matches(p: Column, depth: int) -> Column:
+    e, a = p["e"], p["a"]
+    same_kind = p["kind"] == p["other"]
+
+    def both(kind: str) -> Column:
+        return F.struct(F.try_variant_get(e, "$", kind).alias("e"), F.try_variant_get(a, "$", kind).alias("a"))
+
+    number = [F.try_variant_get(side, "$", "double") for side in (e, a)]
+    slack = F.greatest(F.lit(NUMBER_TOLERANCE), RELATIVE_TOLERANCE * F.greatest(F.abs(number[0]), F.abs(number[1])))
+    text = [F.try_variant_get(side, "$", "string") for side in (e, a)]
     result = (
-        F.when(kind == "number", (other == "number") & (F.abs(e_num - a_num) <= slack))
-        .when(kind == "STRING", (other == "STRING") & (normalize_string(e_text) == normalize_string(a_text)))
-        .when(kind == "BOOLEAN", (other == "BOOLEAN") & (e_text == a_text))
-        .when(kind == "VOID", actual.isNull() | (other == "VOID"))
+        F.when(p["kind"] == "VOID", a.isNull() | same_kind)
+        .when(~F.coalesce(same_kind, F.lit(False)), False)
+        .when(p["kind"] == "number", F.abs(number[0] - number[1]) <= slack)
+        .when(p["kind"] == "STRING", normalize_string(text[0]) == normalize_string(text[1]))
+        .when(p["kind"] == "BOOLEAN", text[0] == text[1])
     )
     if depth > 0:
-        e_list, a_list = F.try_variant_get(expected, "$", "array<variant>"), F.try_variant_get(actual, "$", "array<variant>")
-        pairs = F.arrays_zip(e_list.alias("e"), a_list.alias("a"))
-        listed = (F.size(e_list) == F.size(a_list)) & F.forall(pairs, lambda p: values_match(p["e"], p["a"], depth - 1))
-        e_map, a_map = F.try_variant_get(expected, "$", "map<string,variant>"), F.try_variant_get(actual, "$", "map<string,variant>")
-        subset = F.forall(F.map_entries(e_map), lambda kv: F.map_contains_key(a_map, kv["key"]) & values_match(
-            kv["value"], F.try_element_at(a_map, kv["key"]), depth - 1))
-        result = result.when(kind == "ARRAY", (other == "ARRAY") & listed).when(kind == "OBJECT", (other == "OBJECT") & subset)
-    return F.coalesce(result.otherwise(F.to_json(expected) == F.to_json(actual)), F.lit(False))
+        # Lists and objects become one list of (expected, actual, present) pairs, so each level recurses once.
+        def list_pairs(x: Column) -> Column:
+            zipped = F.transform(F.arrays_zip(x["e"].alias("e"), x["a"].alias("a")), lambda i: F.struct(
+                i["e"].alias("e"), i["a"].alias("a"), F.lit(True).alias("present")))
+            return F.when(F.size(x["e"]) == F.size(x["a"]), zipped)
+
+        def object_pairs(x: Column) -> Column:
+            return F.transform(F.map_entries(x["e"]), lambda kv: F.struct(
+                kv["value"].alias("e"), F.try_element_at(x["a"], kv["key"]).alias("a"),
+                F.map_contains_key(x["a"], kv["key"]).alias("present")))
+
+        pairs = F.when(p["kind"] == "ARRAY", bind(both("array<variant>"), list_pairs)).when(
+            p["kind"] == "OBJECT", bind(both("map<string,variant>"), object_pairs))
+        inner = F.forall(pairs, lambda i: i["present"] & values_match(i["e"], i["a"], depth - 1))
+        result = result.when(p["kind"].isin("ARRAY", "OBJECT"), inner)
+    return result.otherwise(F.to_json(e) == F.to_json(a))
+
+
+def json_match(expected: Column, actual: Column) -> Column:
+    """`values_match` on JSON texts; equal texts need no parsing."""
+    parsed = F.struct(F.try_parse_json(expected).alias("e"), F.try_parse_json(actual).alias("a"))
+    return F.when(expected == actual, True).otherwise(bind(parsed, lambda p: values_match(p["e"], p["a"])))
 
 
 def compare_expectations(
@@ -76,17 +106,14 @@ def compare_expectations(
     joined = expected.join(found, list(keys), "left")
     present = F.coalesce("_found", F.lit(False))
 
-    def json_match(e: str, a: str) -> Column:
-        return values_match(F.try_parse_json(e), F.try_parse_json(a))
-
     def check(name: str, wanted: Column, matched: Column) -> Column:
         passed = present & F.coalesce(matched, F.lit(False))
         detail = F.when(~present, FIELD_MISSING).when(~passed, f"{name} mismatch")
         return F.when(wanted.isNotNull(), F.struct(F.lit(name).alias("check"), passed.alias("matched"), detail.alias("detail")))
 
     checks = F.array_compact(F.array(
-        check("extracted_value", F.col("extracted_json"), json_match("extracted_json", "a_extracted")),
-        check("normalized_value", F.col("normalized_json"), json_match("normalized_json", "a_normalized")),
+        check("extracted_value", F.col("extracted_json"), json_match(F.col("extracted_json"), F.col("a_extracted"))),
+        check("normalized_value", F.col("normalized_json"), json_match(F.col("normalized_json"), F.col("a_normalized"))),
         check("requires_review", F.col("review"), F.col("review") == F.col("a_review")),
     ))
     return joined.select(*keys, F.inline(checks))

@@ -37,7 +37,7 @@ expected_review_flags array<string>, expected_document_level_note_substrings arr
 
 def suffix_of(path: Column) -> Column:
     """Lower-cased suffix of the file name, '' when it has none."""
-    return F.lower(F.regexp_extract(path, r"[^/.](\.[^./]*[^./])\z", 1))
+    return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)\z", 1))
 
 
 def route_by_suffix(files: DataFrame, path: str = "path") -> DataFrame:

@@ -1 +1,190 @@
-"""Queries."""
+"""Source and sink queries: each writes data derived from the tables with one operator and reads it back."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from docweft.operators import calculate as ca, evaluation as ev, ops, review as rv
+from docweft.plans.dry_run import extract_documents
+from docweft.schema import CalcDef, FieldDef, Rules, Template
+from docweft.sources import readers as rd, writers as wr
+from workload import evals, views as v
+from workload.extraction import joined
+from workload.registry import query
+
+DUE = Template(
+    "Invoice Export", "3.1.0", "invoice",
+    (FieldDef("total_amount", "Total, Amount", "currency"), FieldDef("order_date", "Order Date", "date", citation_required=False)),
+    (CalcDef("amount_with_buffer", "Amount With Buffer", "currency", "coalesce(total_amount.amount, 0) * 1.10", ("total_amount",),
+             rules=Rules(min=0)),),
+)
+KEYS = ("tenant_id", "doc_id")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for written data: under the shared checkpoint folder, on this machine only if none is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    root = shared or tempfile.mkdtemp(prefix="docweft-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("a01_read_text_documents", "SELECT item_id, md5(text || chr(10)) AS text_md5 FROM benchmark")
+def read_text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "texts")
+    v.table(spark, sf_dir, "benchmark").write.partitionBy("item_id").text(path)
+    key = F.regexp_extract("path", r"item_id=(\d+)", 1).cast("bigint")
+    return rd.read_text_documents(spark, path).filter(F.contains("path", F.lit("part-"))).select(
+        key.alias("item_id"), F.md5("text").alias("text_md5"))
+
+
+@query("a02_read_delimited_documents", """
+SELECT s_nationkey, 's_suppkey,s_name,s_acctbal' || chr(10) || string_agg(s_suppkey || ',' || s_name || ',' || CAST(s_acctbal AS VARCHAR) || chr(10), '' ORDER BY s_suppkey) AS text
+FROM supplier GROUP BY 1""")
+def read_delimited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tables")
+    rows = v.table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_name", "s_acctbal")
+    rows.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey").write.partitionBy("s_nationkey").option(
+        "header", "true").csv(path)
+    key = F.regexp_extract("path", r"s_nationkey=(\d+)", 1).cast("int")
+    return rd.read_delimited_documents(spark, path).filter(F.endswith("path", F.lit(".csv"))).select(key.alias("s_nationkey"), "text")
+
+
+@query("a02_read_delimited_rows", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def read_delimited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "rows")
+    v.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal").write.option("header", "true").csv(path)
+    return rd.read_delimited_rows(spark, path, "s_suppkey bigint, s_name string, s_acctbal double")
+
+
+SUFFIXES = (".txt", ".MD", ".csv", ".XLSX", ".pdf", ".jpeg", ".htm", ".rtf", "")
+
+
+@query("a03_route_by_suffix", """
+SELECT doc_id, lower(s) AS suffix, CASE doc_id % 9 WHEN 0 THEN 'text' WHEN 1 THEN 'text' WHEN 2 THEN 'spreadsheet' WHEN 3 THEN 'spreadsheet' WHEN 4 THEN 'layout'
+  WHEN 5 THEN 'layout' WHEN 6 THEN 'layout' ELSE 'fallback' END AS parser_class
+FROM (SELECT doc_id, ['.txt', '.MD', '.csv', '.XLSX', '.pdf', '.jpeg', '.htm', '.rtf', ''][doc_id % 9 + 1] AS s FROM documents)""")
+def route_by_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("/inbox.d/doc_"), F.col("doc_id").cast("string"), v.choose(F.col("doc_id") % 9, SUFFIXES))
+    files = v.table(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
+    return rd.route_by_suffix(files).drop("path")
+
+
+@query("a04_read_definitions", """
+SELECT 'Template ' || p_partkey // 40 AS template_id, CASE WHEN p_partkey % 4 = 0 THEN 'calculated' ELSE 'extracted' END AS kind, 'f_' || p_partkey AS name, p_name AS label,
+  CASE WHEN p_partkey % 4 = 0 THEN 'calculated' ELSE lower(p_type) END AS type, p_partkey % 4 <> 0 AND p_size > 25 AS required,
+  CASE WHEN p_partkey % 4 = 0 THEN 'f_' || (p_partkey + 1) || ' * 2' END AS formula, CASE WHEN p_partkey % 4 = 0 THEN 'f_' || (p_partkey + 1) END AS depends_on FROM part""")
+def read_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "templates")
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("f_"), k.cast("string"))
+    ref = F.concat(F.lit("f_"), (k + 1).cast("string"))
+    extracted = F.when(k % 4 != 0, F.struct(name.alias("name"), F.col("p_name").alias("label"), F.lower("p_type").alias("type"), (F.col("p_size") > 25).alias("required")))
+    calculated = F.when(k % 4 == 0, F.struct(name.alias("name"), F.col("p_name").alias("label"), F.concat(ref, F.lit(" * 2")).alias("formula"), F.array(ref).alias("depends_on")))
+    definitions = v.table(spark, sf_dir, "part").groupBy(F.floor(k / 40).alias("folder")).agg(
+        F.collect_list(extracted).alias("extracted_fields"), F.collect_list(calculated).alias("calculated_fields"))
+    definitions.withColumn("template_name", F.concat(F.lit("Template "), F.col("folder").cast("string"))).write.partitionBy("folder").json(path)
+    rows = rd.definition_rows(rd.read_templates(spark, path))
+    return rows.select("template_id", "kind", "name", "label", "type", "required", "formula", joined(F.col("depends_on")).alias("depends_on"))
+
+
+def written_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines in files of a thousand lines each, in event order."""
+    path = scratch(spark, "logs")
+    lines = log_lines_with_keys(spark, sf_dir)
+    lines.repartition("bucket").sortWithinPartitions("bucket", "event_id").select("bucket", "line").write.partitionBy("bucket").text(path)
+    return rd.read_event_log(spark, path)
+
+
+def log_lines_with_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("event_id")
+    line = F.when(key % 50 == 0, "not-json").when(key % 77 == 0, "").otherwise(F.concat(F.lit('{"event":"worker_started","n":'), key.cast("string"), F.lit("}")))
+    return v.table(spark, sf_dir, "events").select(key, F.floor(key / 1000).alias("bucket"), line.alias("line"))
+
+
+@query("a05_read_event_log", """
+SELECT bucket, line_number FROM (SELECT event_id, event_id // 1000 AS bucket, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) AS line_number FROM events)
+WHERE event_id % 50 = 0""")
+def read_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = written_log(spark, sf_dir)
+    numbered = rd.line_numbers(lines, ops.invalid_log_lines(lines))
+    return numbered.select(F.regexp_extract("path", r"bucket=(\d+)", 1).cast("bigint").alias("bucket"), "line_number")
+
+
+@query("a06_read_metadata", "SELECT job_id, status FROM v_jobs WHERE tenant_id = 'BUILDING'")
+def read_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "jobs")
+    v.jobs(spark, sf_dir).write.partitionBy("tenant_id").parquet(path)
+    return rd.read_metadata(spark, path, "BUILDING", ["job_id", "status"])
+
+
+def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ca.result_envelope(extract_documents(v.invoices(spark, sf_dir), DUE, KEYS), DUE, KEYS)
+
+
+EXPORT_SQL = """
+WITH e AS (SELECT tenant_id, doc_id, o_totalprice, '$' || format('{:,.2f}', o_totalprice) AS shown, nullif(regexp_extract(text, '\\b(20\\d{2}-\\d{2}-\\d{2})\\b', 1), '') AS day,
+  round(CAST(CAST(o_totalprice * 1.10::DOUBLE AS VARCHAR) AS DECIMAL(38, 16)), 2)::DOUBLE AS buffer FROM v_invoices),
+r AS (SELECT tenant_id, doc_id, 0 AS row_no, 'total_amount' AS field_name, 'Total, Amount' AS label, 'extracted' AS kind,
+    '{"amount":' || CAST(o_totalprice AS VARCHAR) || ',"currency":"USD","display_value":"' || shown || '"}' AS value, 'valid' AS status, 'True' AS requires_review FROM e
+  UNION ALL SELECT tenant_id, doc_id, 1, 'order_date', 'Order Date', 'extracted', coalesce('{"value":"' || day || '","display_value":"' || day || '"}', 'null'), 'valid', 'True' FROM e
+  UNION ALL SELECT tenant_id, doc_id, 2, 'amount_with_buffer', 'Amount With Buffer', 'calculated', '{"amount":' || CAST(buffer AS VARCHAR) || ',"currency":"USD"}', 'valid', 'False' FROM e)
+"""
+
+
+@query("a07_write_results_json", EXPORT_SQL + """
+SELECT tenant_id, doc_id, 'Invoice Export' AS template_name, max(value) FILTER (WHERE row_no = 0) AS total_json, max(value) FILTER (WHERE row_no = 2) AS buffer_json FROM r GROUP BY 1, 2""")
+def write_results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "results")
+    written = envelopes(spark, sf_dir)
+    wr.write_results_json(written, path)
+    return spark.read.schema(written.schema).json(path).select(
+        "tenant_id", "doc_id", "template_name", F.get("extracted_fields", F.lit(0))["normalized_value"].alias("total_json"),
+        F.get("calculated_fields", F.lit(0))["calculated_value"].alias("buffer_json"))
+
+
+@query("a08_export_rows", EXPORT_SQL + "SELECT * FROM r")
+def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wr.export_rows(envelopes(spark, sf_dir), KEYS)
+
+
+@query("a08_write_results_csv", EXPORT_SQL + "SELECT * FROM r")
+def write_results_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "csv")
+    wr.write_results_csv(envelopes(spark, sf_dir), path, KEYS)
+    schema = "tenant_id string, doc_id bigint, row_no int, field_name string, label string, kind string, value string, status string, requires_review string"
+    return spark.read.option("header", "true").schema(schema).csv(path)
+
+
+@query("a09_export_manifest", EXPORT_SQL + """,
+c AS (SELECT doc_id, sha256('field_name,label,kind,value,status,requires_review' || chr(13) || chr(10) || string_agg(field_name || ',' || CASE WHEN row_no = 0 THEN '"' || label || '"' ELSE label END || ',' || kind || ',' ||
+    CASE WHEN value = 'null' THEN value ELSE '"' || replace(value, '"', '""') || '"' END || ',' || status || ',' || requires_review || chr(13) || chr(10), '' ORDER BY row_no)) AS content_sha256 FROM r GROUP BY 1)
+SELECT doc_id AS result_id, doc_id AS job_id, 'csv' AS export_format, content_sha256, coalesce(v.reviewer, 'local-user') AS reviewer, doc_id % 7 AS template_version_id,
+  'Invoice Export' AS template_name, '3.1.0' AS template_version
+FROM c LEFT JOIN (SELECT result_id, first(reviewer ORDER BY created_at DESC, seq DESC) AS reviewer FROM v_edits GROUP BY 1) v ON v.result_id = c.doc_id""")
+def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exports = wr.csv_content(envelopes(spark, sf_dir), KEYS).select(
+        F.col("doc_id").alias("result_id"), F.col("doc_id").alias("job_id"), "content", "template_name", "template_version")
+    reviewers = rv.latest_reviewer(v.result_ids(spark, sf_dir), v.edits(spark, sf_dir))
+    return wr.export_manifest(exports, v.jobs(spark, sf_dir), reviewers, "2024-01-01 00:00:00").drop("exported_at")
+
+
+@query("a10_write_parsed_text", "SELECT doc_id, md5(text) AS text_md5 FROM documents")
+def write_parsed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "parsed")
+    wr.write_parsed_text(v.documents(spark, sf_dir), path)
+    return spark.read.parquet(path).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query("a11_append_eval_history", evals.CHECK_SQL + """
+SELECT run_id, case_name, matched_checks, failed_checks, failed_checks = 0 AS passed, (SELECT count(*) FROM cases) AS total_cases
+FROM cases, (SELECT unnest(['run_1', 'run_2']) AS run_id)""")
+def append_eval_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "history")
+    cases = ev.case_results(evals.checks(spark, sf_dir))
+    for run_id in ("run_1", "run_2"):
+        wr.append_eval_history(ev.eval_report(cases), cases, path, run_id, "2024-01-01 00:00:00", "cases")
+    runs = spark.read.parquet(f"{path}/runs").select("run_id", "total_cases")
+    return spark.read.parquet(f"{path}/case_results").join(runs, "run_id")
