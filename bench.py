@@ -12,7 +12,11 @@ import time
 
 from pyspark.sql import SparkSession
 
-HEADLINE: tuple[str, ...] = ()
+HEADLINE: tuple[str, ...] = (
+    "entry_review_queue", "b01_normalize_text", "b06_chunk_text", "c03_redact", "d01_rule_currency", "e02_best_candidate",
+    "e15_result_envelope", "f01_calculated_fields", "g03_version_diff", "h03_apply_edits", "i07_suggestions", "j02_ops_metrics",
+    "j17_log_summary", "k05_case_results", "l02_stream_log_counts",
+)
 
 
 def session() -> SparkSession:

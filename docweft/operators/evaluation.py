@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -50,7 +50,7 @@ def values_match(expected: Column, actual: Column, depth: int = MAX_DEPTH) -> Co
     return F.coalesce(bind(pair, lambda p: _pair_matches(p, depth)), F.lit(False))
 
 
-def _pair_matches(p: Column, depth: int) -> Column:
+def _pair_matches(p: Column | Mapping[str, Column], depth: int) -> Column:
     e, a = p["e"], p["a"]
     same_kind = p["kind"] == p["other"]
 
@@ -64,7 +64,7 @@ def _pair_matches(p: Column, depth: int) -> Column:
         F.when(p["kind"] == "VOID", a.isNull() | same_kind)
         .when(~F.coalesce(same_kind, F.lit(False)), False)
         .when(p["kind"] == "number", F.abs(number[0] - number[1]) <= slack)
-        .when(p["kind"] == "STRING", normalize_string(text[0]) == normalize_string(text[1]))
+        .when(p["kind"] == "STRING", (text[0] == text[1]) | (normalize_string(text[0]) == normalize_string(text[1])))
         .when(p["kind"] == "BOOLEAN", text[0] == text[1])
     )
     if depth > 0:
@@ -105,16 +105,31 @@ def compare_expectations(
                           F.col("review").alias("a_review"), F.lit(True).alias("_found"))
     joined = expected.join(found, list(keys), "left")
     present = F.coalesce("_found", F.lit(False))
-
-    def check(name: str, wanted: Column, matched: Column) -> Column:
-        passed = present & F.coalesce(matched, F.lit(False))
+    # Parsed values, their kinds and the verdicts become columns of their own steps: each text is parsed and
+    # compared once, scalars in generated code. Equal texts are never parsed.
+    sides = {"extracted": ("extracted_json", "a_extracted"), "normalized": ("normalized_json", "a_normalized")}
+    parsed = joined.withColumns({
+        f"_{name}_{side}": F.when(~F.col(pair[0]).eqNullSafe(F.col(pair[1])), F.try_parse_json(pair[i]))
+        for name, pair in sides.items() for i, side in enumerate(("e", "a"))})
+    joined = parsed.withColumns({
+        f"_{name}_{kind}": _kind(F.col(f"_{name}_{side}")) for name in sides for side, kind in (("e", "kind"), ("a", "other"))})
+
+    def text_match(name: str) -> Column:
+        members = {m: F.col(f"_{name}_{m}") for m in ("e", "a", "kind", "other")}
+        same = F.col(sides[name][0]).eqNullSafe(F.col(sides[name][1]))
+        return same | F.coalesce(_pair_matches(members, MAX_DEPTH), F.lit(False))
+
+    joined = joined.withColumns({f"_{name}_match": present & text_match(name) for name in sides}).withColumn(
+        "_review_match", present & F.coalesce(F.col("review") == F.col("a_review"), F.lit(False)))
+
+    def check(name: str, wanted: Column, passed: Column) -> Column:
         detail = F.when(~present, FIELD_MISSING).when(~passed, f"{name} mismatch")
         return F.when(wanted.isNotNull(), F.struct(F.lit(name).alias("check"), passed.alias("matched"), detail.alias("detail")))
 
     checks = F.array_compact(F.array(
-        check("extracted_value", F.col("extracted_json"), json_match(F.col("extracted_json"), F.col("a_extracted"))),
-        check("normalized_value", F.col("normalized_json"), json_match(F.col("normalized_json"), F.col("a_normalized"))),
-        check("requires_review", F.col("review"), F.col("review") == F.col("a_review")),
+        check("extracted_value", F.col("extracted_json"), F.col("_extracted_match")),
+        check("normalized_value", F.col("normalized_json"), F.col("_normalized_match")),
+        check("requires_review", F.col("review"), F.col("_review_match")),
     ))
     return joined.select(*keys, F.inline(checks))
 

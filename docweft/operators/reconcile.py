@@ -170,10 +170,10 @@ def canonicalize_field(result: Column, field: FieldDef, similarity: float) -> tu
     return changed, picked["note"], picked["value"].isin(*field.allowed_values)
 
 
-def validate_field(
+def check_field(
     result: Column, field: FieldDef, min_confidence: float, review_low: bool, similarity: float = DEFAULT_SIMILARITY
 ) -> Column:
-    """A field's result with validation errors (in rule order), status, notes and review flag."""
+    """What validation changes in a field's result: value, notes, review flag, errors in rule order."""
     value, notes = result["normalized_value"], result["notes"]
     missing = value.isNull()
     review = result["requires_review"]
@@ -195,19 +195,24 @@ def validate_field(
         checks.append(F.when(F.length(extracted) > field.rules.max_length, TOO_LONG))
     if field.citation_required:
         checks.append(F.when(F.coalesce(result["source_text"], F.lit("")) == "", CITATION_MISSING))
-    errors = F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
-    failed = F.size(errors) > 0
     if review_low:
         unsure = F.coalesce(~missing & (result["confidence"] < min_confidence), F.lit(False))
         note = F.concat(F.lit("Confidence "), tx.fixed_decimals(result["confidence"]),
                         F.lit(f" is below the {min_confidence:.2f} review threshold."))
         notes, review = F.when(unsure, tx.append_note(notes, note)).otherwise(notes), review | unsure
+    errors = F.array(*checks) if checks else F.array().cast("array<string>")
+    return F.struct(value.alias("normalized_value"), notes.alias("notes"), review.alias("requires_review"), errors.alias("errors"))
+
+
+def checked_field(result: Column, checked: Column, errors: Column) -> Column:
+    """The validated result struct, from a field's result and what `check_field` found."""
     kept = [c for c in CANDIDATE_COLUMNS if c not in ("normalized_value", "notes", "requires_review")]
+    failed = F.size(errors) > 0
     return F.struct(
         *[result[c].alias(c) for c in kept],
-        value.alias("normalized_value"),
-        notes.alias("notes"),
-        (review | failed).alias("requires_review"),
+        checked["normalized_value"].alias("normalized_value"),
+        checked["notes"].alias("notes"),
+        (checked["requires_review"] | failed).alias("requires_review"),
         result["n_candidates"].alias("n_candidates"),
         errors.alias("validation_errors"),
         F.when(failed, "invalid").otherwise("valid").alias("validation_status"),
@@ -215,11 +220,19 @@ def validate_field(
 
 
 def validate_wide(wide: DataFrame, template: Template, similarity: float = DEFAULT_SIMILARITY) -> DataFrame:
-    names = set(template.field_names)
+    """Validate every field of wide results.
+
+    Three steps, so that each rule is evaluated once: the checks (in generated code), the compacted error
+    lists (an array function, which is not), and the assembled results.
+    """
+    names = template.field_names
     others = [c for c in wide.columns if c not in names]
-    return wide.select(*others, *[
-        validate_field(F.col(f.name), f, template.min_confidence, template.review_low, similarity).alias(f.name)
+    checks = wide.select(*others, *names, *[
+        check_field(F.col(f.name), f, template.min_confidence, template.review_low, similarity).alias(f"_checked_{f.name}")
         for f in template.fields])
+    compact = checks.select("*", *[F.array_compact(F.col(f"_checked_{n}")["errors"]).alias(f"_errors_{n}") for n in names])
+    return compact.select(*others, *[
+        checked_field(F.col(n), F.col(f"_checked_{n}"), F.col(f"_errors_{n}")).alias(n) for n in names])
 
 
 def long_form(wide: DataFrame, template: Template, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
