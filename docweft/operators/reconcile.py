@@ -41,7 +41,7 @@ def unexpected_fields(candidates: DataFrame, template: Template, keys: Sequence[
         "note", F.concat(F.lit("Provider returned unexpected field '"), F.col("field_name"), F.lit("'.")))
 
 
-def _rank(c: str = "") -> Column:
+def _rank() -> Column:
     """Evidence first, then confidence, then length of the citation, then first arrival."""
     value, cited = F.col("normalized_value").isNotNull(), F.coalesce(F.col("source_text") != "", F.lit(False))
     return F.struct(

@@ -117,11 +117,11 @@ def chunk_spans(text: Column, chunk_size: int, overlap: int = DEFAULT_OVERLAP) -
     def step(state: Column, _: Column) -> Column:
         start = state["start"]
         hard_end = F.least(start + chunk_size, length)
-        # Text after the first half, up to its last break; empty when the half holds no break.
+        # Text after the first half, searched from its end for the last break.
         tail = F.substring(text, start + half + 2, hard_end - start - half - 1)
-        to_break = F.length(F.regexp_extract(tail, r"(?s)\A(.*)[\n ]", 1))
-        has_break = F.regexp_like(tail, F.lit(r"[\n ]"))
-        end = F.when((hard_end < length) & has_break, start + half + 1 + to_break).otherwise(hard_end)
+        from_end = F.instr(F.reverse(F.translate(tail, "\n", " ")), " ")
+        last_break = start + half + 1 + F.length(tail) - from_end
+        end = F.when((hard_end < length) & (from_end > 0), last_break).otherwise(hard_end)
         taken = F.struct(
             F.greatest(end - overlap, start + 1).alias("start"),
             F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("spans"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from docweft.functions import formulas as fx, values as fv
 from docweft.operators import calculate as ca, extract as ex, reconcile as rc
 from docweft.plans import dry_run as plans
-from docweft.schema import FieldDef, Rules, Template, value_struct
+from docweft.schema import FieldDef, Template, value_struct
 from workload import views as v
 from workload.fixed import INVOICE, LINES
 from workload.registry import query

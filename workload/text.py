@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docweft.functions.text import BLANKS, LINE_ENDS
+from docweft.functions.text import BLANKS
 from docweft.operators import redaction as rd, text_prep as tp
 from workload import views as v
 from workload.fixed import INVOICE
