@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docweft.llm import chat, exact_dedup, mixing, sharding
+from docweft.llm import chat, exact_dedup, language_id, mixing, quality, sharding, warc
 from docweft.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op2_quality_classifier")
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.importance_resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
+
+
 @query("op3_exact_dedup", r"""
 WITH d AS (SELECT doc_id, coalesce(length(text), 0) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents),
   w AS (SELECT doc_id, h, first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size FROM d)
@@ -77,3 +82,23 @@ SELECT doc_id, size, CAST(s AS BIGINT) AS source_size, target,
 FROM q""")
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_warc", r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+  w AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS winner FROM p)
+SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> winner THEN winner END AS refers_to
+FROM w""")
+def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(table(spark, sf_dir, "pages"), 0).select(
+        "capture_id", F.get("metadata", F.lit(0))["page_id"].alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("response_id"))
+    responses = found.filter("record_type = 'response'").select(F.col("capture_id").alias("response_id"), F.col("page_id").alias("refers_to"))
+    return found.join(responses, "response_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_language_id")
+def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, sf_dir, "documents"))
