@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docweft.llm import chat, exact_dedup, language_id, mixing, quality, sharding, warc
+from docweft.llm import chat, exact_dedup, fingerprints, language_id, mixing, packing, quality, sharding, warc
 from docweft.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,19 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """Pieces of all docs in sequences of 4096 tokens, with the checksum of each piece's ids."""
+    import public_tokenizers
+
+    pieces = packing.token_pieces(docs, str(public_tokenizers.path("word_bpe_49k.json")), 4096)
+    return packing.packed(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), 4096)
+
+
+@query("op1_packing")
+def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op2_quality_classifier")
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.importance_resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
@@ -65,6 +78,11 @@ def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op6_fingerprints")
+def fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op7_mixing", r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
     CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h FROM documents),

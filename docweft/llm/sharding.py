@@ -11,13 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from docweft.llm.shared import buckets_for, text_or_empty, written
-
-
-def _before(counts: DataFrame, bucket: str, *within: str) -> DataFrame:
-    """Adds `before`: the rows in earlier buckets. Counts are few: buckets by sources at most."""
-    along = Window.partitionBy(*within).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("before", F.coalesce(F.sum("rows").over(along), F.lit(0)))
+from docweft.llm.shared import buckets_for, ranked_within, rows_before, text_or_empty, written
 
 
 def document_size() -> Column:
@@ -38,19 +32,13 @@ def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 7) -> DataFrame:
         "doc_id", "source", document_size().alias("size"), crc.alias("text_crc32"),
         F.xxhash64(F.lit(seed), "doc_id", crc, F.octet_length("text")).alias("hash")), "shard-rows")
     total = rows.count()
-    buckets = buckets_for(spark, total)
-    bits = max(1, (buckets - 1).bit_length())
-    # the sign bit is turned so that the buckets follow the order of the signed hash
-    bucketed = rows.withColumns({"bucket": F.shiftrightunsigned(F.col("hash").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits), "stratum": F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))})
-    counts = bucketed.groupBy("stratum", "bucket").agg(F.count("*").alias("rows"))
-    counts = written(_before(counts, "bucket", "stratum").withColumn("of", F.sum("rows").over(Window.partitionBy("stratum"))), "strata")
-    inside = Window.partitionBy("stratum", "bucket").orderBy("hash", "doc_id", "text_crc32", "size")
-    numbered = bucketed.withColumn("number", F.row_number().over(inside)).join(counts.select("stratum", "bucket", "before", "of"), ["stratum", "bucket"])
-    rank = F.col("before") + F.col("number") - 1
-    ranked = written(numbered.select("doc_id", "source", "size", "text_crc32", "stratum", rank.alias("rank"), ((rank + 0.5) / F.col("of")).alias("fraction")), "ranked")
+    keyed = rows.withColumn("stratum", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+    ranks = ranked_within(keyed, "stratum", "hash", ["doc_id", "text_crc32", "size"], total)
+    ranked = written(ranks.withColumn("fraction", (F.col("rank") + 0.5) / F.col("of")).drop("hash", "of"), "ranked")
 
+    buckets = buckets_for(spark, total)
     stretched = ranked.withColumn("bucket", F.least(F.floor(F.col("fraction") * buckets), F.lit(buckets - 1)))
-    stretches = written(_before(stretched.groupBy("bucket").agg(F.count("*").alias("rows")), "bucket"), "stretches").select("bucket", "before")
+    stretches = written(rows_before(stretched.groupBy("bucket").agg(F.count("*").alias("rows")), "bucket"), "stretches").select("bucket", "before")
     order = Window.partitionBy("bucket").orderBy("fraction", "stratum", "rank")
     placed = stretched.withColumn("number", F.row_number().over(order)).join(stretches, "bucket")
     place = F.col("before") + F.col("number") - 1

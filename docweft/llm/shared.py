@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Tokens of the text separated by these count as words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -70,3 +70,26 @@ def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     if not partly.isEmpty():
         kept = kept.unionByName(meets(partly, "left_semi").dropDuplicates(["doc_id", "__key"]))
     return kept.drop("__key")
+
+
+def rows_before(counts: DataFrame, bucket: str, *within: str) -> DataFrame:
+    """Adds `before`: the rows in earlier buckets. Counts are few: buckets by groups at most."""
+    along = Window.partitionBy(*within).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("before", F.coalesce(F.sum("rows").over(along), F.lit(0)))
+
+
+def ranked_within(rows: DataFrame, group: str, order: str, ties: list[str], total: int) -> DataFrame:
+    """rows (a written table) with rank (0, 1, ... in each group by `order`, an evenly spread hash, then ties) and of (the group's rows).
+
+    Row numbers are taken inside buckets of the hash's leading bits and added to the counts of the buckets before, so a group is
+    dealt evenly to many tasks however large it is.
+    """
+    bits = max(1, (buckets_for(rows.sparkSession, total) - 1).bit_length())
+    # the sign bit is turned so that buckets follow the order of the signed hash
+    turned = F.shiftrightunsigned(F.col(order).bitwiseXOR(F.lit(-(1 << 63))), 64 - bits)
+    bucketed = rows.withColumn("bucket", turned)
+    counts = rows_before(bucketed.groupBy(group, "bucket").agg(F.count("*").alias("rows")), "bucket", group)
+    counts = written(counts.withColumn("of", F.sum("rows").over(Window.partitionBy(group))), "counts").drop("rows")
+    number = F.row_number().over(Window.partitionBy(group, "bucket").orderBy(order, *ties))
+    joined = bucketed.withColumn("number", number).join(counts, [group, "bucket"])
+    return joined.withColumn("rank", F.col("before") + F.col("number") - 1).drop("bucket", "number", "before")
