@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docweft.llm import chat, exact_dedup, fingerprints, language_id, mixing, packing, quality, sharding, warc
+from docweft.llm import chat, exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, quality, sharding, warc
 from docweft.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,8 @@ def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_language_id")
 def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(spark, sf_dir, "documents"))
+
+
+@query("op10_near_dedup")
+def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
