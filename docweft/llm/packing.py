@@ -12,6 +12,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -26,35 +27,77 @@ END_ID = 2
 #: The linear program is solved to within this share of its bound.
 GAP = 0.001
 _WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-_CACHE_MOST, _CACHE_LONGEST = 300_000, 40
+_MARKS = ".,;:!?*#$%&|"
+_WORDS_MOST, _CORES_MOST, _LONGEST = 250_000, 450_000, 40
 
 
 class _Encoder:
     """A text's ids as little-endian 32-bit numbers.
 
-    The tokenizer drops white space and joins nothing across it, so a text's ids are those of its words in a row; words are looked
-    up in a bounded cache.
+    The tokenizer drops white space and joins nothing across it, so a text's ids are those of its words in a row. It also parts
+    letters from the marks after them, so a word's marks are looked up on their own. Both lookups are bounded; new words are
+    encoded together, parted by a special token that no word of theirs holds.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            words = _WORD.findall(text)
-            if len(self.cache) > _CACHE_MOST:
-                self.cache.clear()
-            new = {w for w in words if w not in self.cache}
-            known = self.cache
-            if new:
-                ids = self.tokenizer.encode_batch(list(new), add_special_tokens=False)
-                found = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, ids)}
-                self.cache.update((w, v) for w, v in found.items() if len(w) <= _CACHE_LONGEST)
-                known = self.cache if all(len(w) <= _CACHE_LONGEST for w in new) else self.cache | {w: v for w, v in found.items() if len(w) > _CACHE_LONGEST}
-            yield b"".join(map(known.__getitem__, words))
+        self.tokenizer = Tokenizer.from_file(path)
+        special = min(self.tokenizer.get_added_tokens_decoder().items())
+        self.special_id, self.special = special[0], special[1].content
+        self.words, self.cores = {}, {}
+
+    def __call__(self, text: str) -> bytes:
+        words = _WORD.findall(text)
+        known = self.words
+        new = {w for w in words if w not in known}
+        if new:
+            if len(known) > _WORDS_MOST:
+                known.clear()
+                new = set(words)
+            known = self._learn(new)
+        return b"".join(map(known.__getitem__, words))
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        parts = {word: _parts(word) for word in new}
+        if len(self.cores) > _CORES_MOST:
+            self.cores.clear()
+        cores = self.cores
+        found = self._encoded([p for p in {p for both in parts.values() for p in both} if p not in cores])
+        cores.update((c, ids) for c, ids in found.items() if len(c) <= _LONGEST)
+        ids = {w: b"".join([found[p] if p in found else cores[p] for p in both]) for w, both in parts.items()}
+        self.words.update((w, v) for w, v in ids.items() if len(w) <= _LONGEST)
+        return self.words if all(len(w) <= _LONGEST for w in ids) else self.words | ids
+
+    def _encoded(self, cores: list[str]) -> dict[str, bytes]:
+        plain = [c for c in cores if self.special not in c]
+        odd = [c for c in cores if self.special in c]
+        found = {c: np.array(e.ids, dtype="<u4").tobytes() for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))}
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([self.special.join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.special_id)
+            data = ids.tobytes()
+            ends = (4 * np.append(cuts, len(ids))).tolist()
+            found.update((c, data[i:j]) for c, i, j in zip(plain, [0, *(4 * (cuts + 1)).tolist()], ends))
+        return found
+
+
+@cache
+def _encoder(path: str) -> _Encoder:
+    """One per worker process, so that what it has looked up serves later tasks too."""
+    return _Encoder(path)
+
+
+def _parts(word: str) -> tuple[str, ...]:
+    """The letters of a word and the marks after them, if it is made so; ASCII letters in lower case, as the tokenizer reads them."""
+    core = word.rstrip(_MARKS)
+    if not core or not core[-1].isalpha():
+        return (word,)
+    marks = word[len(core) :]
+    if core.isascii() and core.isalpha():
+        core = core.lower()
+    return (core, marks) if marks else (core,)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -65,11 +108,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _Encoder(tokenizer)
+        encode = _encoder(tokenizer)
         for batch in batches:
             rows, held = [], 0
-            for doc_id, ids in zip(batch["doc_id"], encode(batch["text"])):
-                ids += end
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                ids = encode(text) + end
                 for at in range(0, len(ids), 4 * capacity):
                     piece = ids[at : at + 4 * capacity]
                     rows.append((doc_id, at // 4, len(piece) // 4, piece, len(ids) // 4))
