@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -92,7 +93,8 @@ def _encoder(path: str) -> _Encoder:
 def _parts(word: str) -> tuple[str, ...]:
     """The letters of a word and the marks after them, if it is made so; ASCII letters in lower case, as the tokenizer reads them."""
     core = word.rstrip(_MARKS)
-    if not core or not core[-1].isalpha():
+    # composed and in lower case, as the tokenizer does first, the last letter must still end in a letter
+    if not core or not unicodedata.normalize("NFC", core[-1]).lower().isalpha():
         return (word,)
     marks = word[len(core) :]
     if core.isascii() and core.isalpha():
