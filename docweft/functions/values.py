@@ -106,7 +106,7 @@ def draft_value(label: Column, data_type: Column, draft: Column, existing_curren
     parsed = F.try_parse_json(trimmed)
     shape = F.schema_of_variant(parsed)
     is_array, is_object = F.startswith(shape, F.lit("ARRAY")), F.startswith(shape, F.lit("OBJECT"))
-    structured, numeric = data_type.isin(*OBJECT_TYPES, *LIST_TYPES), data_type.isin("number", "currency")
+    structured, numeric = data_type.isin(*OBJECT_TYPES), data_type.isin("number", "currency")
     error = (
         F.when(trimmed == "", None)
         .when(structured & parsed.isNull(), F.concat(label, F.lit(" must be valid JSON.")))
@@ -122,6 +122,7 @@ def draft_value(label: Column, data_type: Column, draft: Column, existing_curren
         .when(data_type == "date", value_struct(text=trimmed, display_value=trimmed))
         .when(data_type == "number", value_struct(number=number))
         .when(data_type == "boolean", value_struct(flag=trimmed == "true"))
+        .when(data_type.isin(*LIST_TYPES), value_struct(items=F.array(draft)))
         .otherwise(value_struct(text=draft))
     )
     return value, error

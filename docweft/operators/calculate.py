@@ -21,6 +21,8 @@ NULL_RESULT = "Calculated value is null."
 BELOW_MINIMUM = "Calculated value is below minimum."
 ABOVE_MAXIMUM = "Calculated value is above maximum."
 DIVIDING = re.compile(r"[/%]|try_divide|calc_mod|calc_avg")
+_DIVIDING_CALL = re.compile(r"try_divide|calc_mod|calc_avg")
+_QUOTED_OR_DIVISION = re.compile(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|[/%]""")
 
 
 @contextmanager
@@ -65,6 +67,10 @@ def calculated_fields(wide: DataFrame, template: Template, keys: Sequence[str] =
     with _null_on_division_by_zero(wide.sparkSession):
         for calc in calcs:
             df = df.withColumn(f"_v_{calc.name}", F.expr(calc.formula))
+            if DIVIDING.search(calc.formula):
+                # multiplying instead has a value unless an operand is missing or no number: then the null is no division by zero
+                multiplied = F.expr(_QUOTED_OR_DIVISION.sub(lambda m: m[1] or "*", calc.formula)).isNotNull()
+                df = df.withColumn(f"_m_{calc.name}", F.lit(True) if _DIVIDING_CALL.search(calc.formula) else multiplied)
             number = F.col(f"_v_{calc.name}")
             value = shape_currency(number, calc.currency) if calc.output_type == "currency" else number
             df = df.withColumn(calc.name, value)
@@ -83,8 +89,9 @@ def _outcome(calc: CalcDef, template: Template) -> Column:
             missing = missing | _leaf(template.field(name), F.col(name)).isNull()
         elif name in calc_names:
             missing = missing | F.col(f"_v_{name}").isNull()
-    lost_input = raw.isNull() & missing
-    divided = (raw.isNull() & ~missing) if DIVIDING.search(calc.formula) else F.lit(False)
+    divides = DIVIDING.search(calc.formula) is not None
+    divided = (raw.isNull() & ~missing & F.col(f"_m_{calc.name}")) if divides else F.lit(False)
+    lost_input = (raw.isNull() & (missing | ~F.col(f"_m_{calc.name}"))) if divides else raw.isNull() & missing
 
     errors, notes = [], []
     for happened, (error, note), policy in (

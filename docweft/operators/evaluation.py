@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from docweft.functions import text as tx
 
@@ -19,7 +22,6 @@ SLO_TARGETS = {
     "lease": (0.92, 0.88, 0.30),
     "statement": (0.90, 0.85, 0.35),
 }
-MAX_DEPTH = 3
 
 
 def normalize_string(text: Column) -> Column:
@@ -35,61 +37,85 @@ def _kind(value: Column) -> Column:
     return F.when(is_number, "number").otherwise(F.regexp_extract(shape, r"\A([A-Z]+)", 1))
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate `value` once and use it several times in `body`."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _loads(text: str | None):
+    try:
+        return True, json.loads(text)
+    except (TypeError, ValueError):
+        return False, None
 
 
-def values_match(expected: Column, actual: Column, depth: int = MAX_DEPTH) -> Column:
-    """Tolerant comparison of two JSON values (variants).
+def _plain_string(text: str) -> str:
+    return re.sub(tx.BLANK_CLASS + "+", " ", text.translate(_DASHES)).strip(_BLANKS).lower()
 
-    Strings after `normalize_string`, numbers within 0.01, lists element by element with equal length,
-    objects on the expected members only. Nesting is followed `depth` levels, deeper parts must be equal text.
+
+_DASHES = str.maketrans("-_", "  ")
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if re.match(tx.BLANK_CLASS, c))
+
+
+def _matches(expected, actual) -> bool:
+    """Goes down both values side by side, on a list of open pairs, so any depth will do."""
+    open_ = [(expected, actual)]
+    while open_:
+        e, a = open_.pop()
+        if isinstance(e, dict) and isinstance(a, dict):
+            if any(name not in a for name in e):
+                return False
+            open_ += [(inner, a[name]) for name, inner in e.items()]
+        elif isinstance(e, list) and isinstance(a, list):
+            if len(e) != len(a):
+                return False
+            open_ += zip(e, a)
+        elif isinstance(e, str) and isinstance(a, str):
+            if e != a and _plain_string(e) != _plain_string(a):
+                return False
+        elif e is None or isinstance(e, bool) or isinstance(a, bool):
+            if e is not a:
+                return False
+        elif isinstance(e, int | float) and isinstance(a, int | float):
+            if abs(e - a) > max(NUMBER_TOLERANCE, RELATIVE_TOLERANCE * max(abs(e), abs(a))):
+                return False
+        else:
+            return False
+    return True
+
+
+@F.pandas_udf(T.BooleanType())
+def _json_texts_match(expected: pd.Series, actual: pd.Series) -> pd.Series:
+    sides = ((_loads(e), _loads(a)) for e, a in zip(expected, actual))
+    return pd.Series([ok and too and _matches(e, a) for (ok, e), (too, a) in sides], dtype=bool)
+
+
+def json_match(expected: Column, actual: Column) -> Column:
+    """Tolerant comparison of two JSON texts.
+
+    Strings after `normalize_string`, numbers within 0.01, lists element by element with equal length, objects on the expected
+    members only, at any depth. Texts that are not JSON match only equal ones; those are never parsed.
     """
-    pair = F.struct(expected.alias("e"), actual.alias("a"), _kind(expected).alias("kind"), _kind(actual).alias("other"))
-    return F.coalesce(bind(pair, lambda p: _pair_matches(p, depth)), F.lit(False))
+    same = F.coalesce(expected == actual, F.lit(False))
+    return same | _json_texts_match(F.when(~same, expected), F.when(~same, F.coalesce(actual, F.lit("null"))))
 
 
-def _pair_matches(p: Column | Mapping[str, Column], depth: int) -> Column:
-    e, a = p["e"], p["a"]
-    same_kind = p["kind"] == p["other"]
+def values_match(expected: Column, actual: Column) -> Column:
+    """`json_match` of two JSON values (variants)."""
+    return json_match(F.to_json(expected), F.to_json(actual))
 
-    def both(kind: str) -> Column:
-        return F.struct(F.try_variant_get(e, "$", kind).alias("e"), F.try_variant_get(a, "$", kind).alias("a"))
 
+def _pair_matches(p: Mapping[str, Column]) -> Column:
+    """`json_match` with scalars in generated code; only lists and objects go through the batch function."""
+    e, a = p["e"], p["a"]
+    same_kind = p["kind"] == p["other"]
     number = [F.try_variant_get(side, "$", "double") for side in (e, a)]
     slack = F.greatest(F.lit(NUMBER_TOLERANCE), RELATIVE_TOLERANCE * F.greatest(F.abs(number[0]), F.abs(number[1])))
     text = [F.try_variant_get(side, "$", "string") for side in (e, a)]
-    result = (
+    nested = p["kind"].isin("ARRAY", "OBJECT") & same_kind
+    return (
         F.when(p["kind"] == "VOID", a.isNull() | same_kind)
         .when(~F.coalesce(same_kind, F.lit(False)), False)
         .when(p["kind"] == "number", F.abs(number[0] - number[1]) <= slack)
         .when(p["kind"] == "STRING", (text[0] == text[1]) | (normalize_string(text[0]) == normalize_string(text[1])))
         .when(p["kind"] == "BOOLEAN", text[0] == text[1])
+        .otherwise(_json_texts_match(F.when(nested, F.to_json(e)), F.when(nested, F.to_json(a))))
     )
-    if depth > 0:
-        # Lists and objects become one list of (expected, actual, present) pairs, so each level recurses once.
-        def list_pairs(x: Column) -> Column:
-            zipped = F.transform(F.arrays_zip(x["e"].alias("e"), x["a"].alias("a")), lambda i: F.struct(
-                i["e"].alias("e"), i["a"].alias("a"), F.lit(True).alias("present")))
-            return F.when(F.size(x["e"]) == F.size(x["a"]), zipped)
-
-        def object_pairs(x: Column) -> Column:
-            return F.transform(F.map_entries(x["e"]), lambda kv: F.struct(
-                kv["value"].alias("e"), F.try_element_at(x["a"], kv["key"]).alias("a"),
-                F.map_contains_key(x["a"], kv["key"]).alias("present")))
-
-        pairs = F.when(p["kind"] == "ARRAY", bind(both("array<variant>"), list_pairs)).when(
-            p["kind"] == "OBJECT", bind(both("map<string,variant>"), object_pairs))
-        inner = F.forall(pairs, lambda i: i["present"] & values_match(i["e"], i["a"], depth - 1))
-        result = result.when(p["kind"].isin("ARRAY", "OBJECT"), inner)
-    return result.otherwise(F.to_json(e) == F.to_json(a))
-
-
-def json_match(expected: Column, actual: Column) -> Column:
-    """`values_match` on JSON texts; equal texts need no parsing."""
-    parsed = F.struct(F.try_parse_json(expected).alias("e"), F.try_parse_json(actual).alias("a"))
-    return F.when(expected == actual, True).otherwise(bind(parsed, lambda p: values_match(p["e"], p["a"])))
 
 
 def compare_expectations(
@@ -117,7 +143,7 @@ def compare_expectations(
     def text_match(name: str) -> Column:
         members = {m: F.col(f"_{name}_{m}") for m in ("e", "a", "kind", "other")}
         same = F.col(sides[name][0]).eqNullSafe(F.col(sides[name][1]))
-        return same | F.coalesce(_pair_matches(members, MAX_DEPTH), F.lit(False))
+        return same | F.coalesce(_pair_matches(members), F.lit(False))
 
     joined = joined.withColumns({f"_{name}_match": present & text_match(name) for name in sides}).withColumn(
         "_review_match", present & F.coalesce(F.col("review") == F.col("a_review"), F.lit(False)))

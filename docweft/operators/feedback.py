@@ -112,17 +112,21 @@ def suggestion_json(example_text: Column, extractions: Column) -> Column:
 
 
 def suggestion_key(example_text: Column, extractions: Column) -> Column:
-    return F.substring(F.sha2(suggestion_json(example_text, extractions), 256), 1, KEY_LENGTH)
+    return F.substring(suggestion_digest(example_text, extractions), 1, KEY_LENGTH)
+
+
+def suggestion_digest(example_text: Column, extractions: Column) -> Column:
+    return F.sha2(suggestion_json(example_text, extractions), 256)
 
 
 def suggestions(candidates: DataFrame) -> DataFrame:
     """Candidates grouped by key within tenant and template version: occurrences, results, fields, last review.
 
-    The grouping key is the 16-character digest; the texts ride along as one example per group.
+    The grouping key is the whole digest, shown by its first 16 characters; the texts ride along as one example per group.
     """
     kept = candidates.filter("skip_reason IS NULL").withColumn(
-        "suggestion_key", suggestion_key(F.col("example_text"), F.col("extractions")))
-    keys = ["tenant_id", "template_version_id", "suggestion_key"]
+        "_digest", suggestion_digest(F.col("example_text"), F.col("extractions")))
+    keys = ["tenant_id", "template_version_id", "_digest"]
     # A popular example may come from a third of all results: counts per result first, then small sums.
     per_result = kept.groupBy(*keys, "result_id").agg(
         F.sum("n_edits").alias("n_edits"), F.max("reviewed_at").alias("reviewed_at"),
@@ -135,7 +139,7 @@ def suggestions(candidates: DataFrame) -> DataFrame:
         F.max("reviewed_at").alias("last_reviewed_at"),
         F.first("example_text").alias("example_text"),
         F.first("extractions").alias("extractions"),
-    )
+    ).withColumn("_digest", F.substring("_digest", 1, KEY_LENGTH)).withColumnRenamed("_digest", "suggestion_key")
 
 
 def suggestion_results(candidates: DataFrame) -> DataFrame:
@@ -156,7 +160,7 @@ def visible_suggestions(found: DataFrame, decisions: DataFrame) -> DataFrame:
     dismissed = dismiss(decisions).filter("dismissed")
     keys = ["tenant_id", "template_version_id", "suggestion_key"]
     return found.join(dismissed.select(*keys), keys, "left_anti").orderBy(
-        F.desc("occurrence_count"), F.coalesce("last_reviewed_at", F.lit("")), "suggestion_key")
+        F.desc("occurrence_count"), F.coalesce(F.col("last_reviewed_at").cast("string"), F.lit("")), "suggestion_key")
 
 
 def feedback_diagnostics(

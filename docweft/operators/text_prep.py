@@ -6,6 +6,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docweft.functions import text as tx
@@ -96,59 +97,37 @@ def html_to_text(pages: DataFrame, threshold: int = MEANINGFUL_THRESHOLD, html:
     return texts.filter(tx.visible_length(F.col("text")) >= threshold)
 
 
-def chunk_spans(text: Column, chunk_size: int, overlap: int = DEFAULT_OVERLAP) -> Column:
-    """Array of (start, end) windows over a stripped text.
-
-    A window ends at the last line end or space of its second half when there is one; the next window
-    starts `overlap` characters earlier. The fold takes at most `length / (chunk_size/2 - overlap)` steps.
-    """
-    if chunk_size <= 2 * overlap:
-        raise ValueError("chunk_size must be more than twice the overlap.")
-    half = chunk_size // 2
-    stride = max(half - overlap, 1)
-    length = F.length(text)
-    steps = F.sequence(F.lit(0), F.ceil(length / F.lit(stride)).cast("int"))
-    start_state = F.struct(
-        F.lit(0).alias("start"),
-        F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
-        F.lit(False).alias("done"),
-    )
-
-    def step(state: Column, _: Column) -> Column:
-        start = state["start"]
-        hard_end = F.least(start + chunk_size, length)
-        # Text after the first half, searched from its end for the last break.
-        tail = F.substring(text, start + half + 2, hard_end - start - half - 1)
-        from_end = F.instr(F.reverse(F.translate(tail, "\n", " ")), " ")
-        last_break = start + half + 1 + F.length(tail) - from_end
-        end = F.when((hard_end < length) & (from_end > 0), last_break).otherwise(hard_end)
-        taken = F.struct(
-            F.greatest(end - overlap, start + 1).alias("start"),
-            F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("spans"),
-            (end >= length).alias("done"),
-        )
-        return F.when(state["done"], state).otherwise(taken)
-
-    folded = F.aggregate(steps, start_state, step, lambda state: state["spans"])
-    whole = F.array(F.struct(F.lit(0).alias("start"), length.alias("end")))
-    return F.when(length <= chunk_size, whole).otherwise(folded)
+def _chunks(body: str, size: int, overlap: int) -> list[dict]:
+    """Windows of a stripped text; each looks only at its own characters, so the work grows with the chunks' total length."""
+    if size <= 0 or len(body) <= size:
+        return [{"start": 0, "end": len(body), "chunk": body}]
+    found, start = [], 0
+    while True:
+        end = min(start + size, len(body))
+        if end < len(body):
+            last = max(body.rfind("\n", start, end), body.rfind(" ", start, end))
+            end = last if last > start + size // 2 else end
+        found.append({"start": start, "end": end, "chunk": body[start:end]})
+        if end >= len(body):
+            return found
+        start = max(end - overlap, start + 1)
 
 
 def chunk_text(docs: DataFrame, chunk_size: int, overlap: int = DEFAULT_OVERLAP, text: str = "text") -> DataFrame:
     """One row per overlapping chunk of every document; a blank document yields one empty chunk.
 
+    A window ends at the last line end or space of its second half when there is one; the next window starts `overlap`
+    characters earlier, but one character on at least, so any chunk size will do (0: one chunk).
     Adds `chunk_index` (1-based), `n_chunks`, `chunk_start`, `chunk_end` and replaces the text by `chunk`.
     Offsets refer to the stripped text. Entirely row-local: no shuffle.
     """
+    @F.pandas_udf("array<struct<start:int,end:int,chunk:string>>")
+    def cut(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda body: None if body is None else _chunks(body, chunk_size, overlap))
+
     stripped = docs.withColumn(text, tx.strip(F.col(text)))
     body = F.col(text)
-    if chunk_size <= 0:
-        spans = F.array(F.struct(F.lit(0).alias("start"), F.length(body).alias("end")))
-    else:
-        spans = chunk_spans(body, chunk_size, overlap)
-    pieces = F.transform(spans, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"),
-        tx.strip(tx.slice_text(body, s["start"], s["end"])).alias("chunk")))
+    pieces = F.transform(cut(body), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), tx.strip(s["chunk"]).alias("chunk")))
     kept = F.filter(pieces, lambda p: (p["chunk"] != "") | (body == ""))
     others = [c for c in docs.columns if c != text]
     return (

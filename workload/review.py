@@ -15,7 +15,7 @@ SHORT = ["result_id", "field_name", "validation_status", "requires_review"]
 
 REVIEWED = Template(
     "Reviewed Lines", "1", "statement",
-    tuple(FieldDef(f"field_{i}", f"Field {i}", "currency") for i in range(1, 7)),
+    tuple(FieldDef(f"field_{i}", f"Field {i}", "currency") for i in range(1, 8)),
     (CalcDef("total", "Total", "currency", "field_1.amount + field_2.amount", ("field_1", "field_2")),
      CalcDef("checked", "Checked", "currency", "coalesce(field_3.amount, 0) * 2", ("field_3",), requires_review=True),
      CalcDef("doubled", "Doubled", "currency", "coalesce(field_4.amount, 1) * 2", ("field_4",))),
@@ -56,9 +56,12 @@ def apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("h03_unknown_edits", """
-SELECT e.result_id, e.field_name, e.seq FROM v_edits e WHERE NOT EXISTS (SELECT 1 FROM v_results r WHERE r.result_id = e.result_id AND r.field_name = e.field_name)""")
+SELECT e.result_id, e.field_name, e.seq FROM (SELECT result_id, CASE WHEN seq % 7 = 0 THEN 'no_such_field' ELSE field_name END AS field_name, seq FROM v_edits) e
+WHERE NOT EXISTS (SELECT 1 FROM v_results r WHERE r.result_id = e.result_id AND r.field_name = e.field_name)""")
 def unknown_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rv.unknown_edits(v.edits(spark, sf_dir), v.results(spark, sf_dir)).select("result_id", "field_name", "seq")
+    """Every seventh edit names a field that no result has."""
+    planted = v.edits(spark, sf_dir).withColumn("field_name", F.when(F.col("seq") % 7 == 0, "no_such_field").otherwise(F.col("field_name")))
+    return rv.unknown_edits(planted, v.results(spark, sf_dir)).select("result_id", "field_name", "seq")
 
 
 @query("h04_edit_log", """

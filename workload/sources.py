@@ -25,9 +25,13 @@ KEYS = ("tenant_id", "doc_id")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for written data: under the shared checkpoint folder, on this machine only if none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    root = shared or tempfile.mkdtemp(prefix="docweft-")
+    """A new folder for written data under spark.checkpoint.dir. Where it is unset, a local master gets a temporary one; a cluster must name one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="docweft-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -40,7 +40,7 @@ SELECT l_orderkey AS result_id, 'field_' || CAST(l_linenumber AS VARCHAR) AS fie
   max(l_extendedprice) AS amount, CAST(max(l_extendedprice) AS VARCHAR) AS extracted_value, max(1 - l_discount * 5) AS confidence,
   CASE WHEN bool_or(l_linestatus = 'F' AND l_returnflag = 'A') THEN 'invalid' ELSE 'valid' END AS validation_status,
   bool_or(l_returnflag <> 'N') AS requires_review
-FROM lineitem WHERE l_linenumber <= 6 GROUP BY 1, 2, 3""",
+FROM lineitem GROUP BY 1, 2, 3""",
     "v_edits": """
 SELECT l_orderkey AS result_id, 'field_' || CAST(l_linenumber AS VARCHAR) AS field_name, l_extendedprice AS new_amount,
   CASE WHEN l_linestatus = 'F' THEN 'edited ' || CAST(l_partkey AS VARCHAR) END AS edit_extracted,

@@ -107,6 +107,15 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "chunk_index", "chunk_start", "chunk_end", F.md5("chunk").alias("chunk_md5"))
 
 
+@query("b06_chunk_text_short", chunk_sql(800, 500) + """
+SELECT doc_id, count(*) AS n_chunks, min(s) AS first_start, max(e) AS last_end, CAST(sum(length(chunk)) AS BIGINT) AS chars FROM pieces GROUP BY doc_id""")
+def chunk_text_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks shorter than twice the overlap."""
+    return tp.chunk_text(v.documents(spark, sf_dir), 800, 500).groupBy("doc_id").agg(
+        F.count("*").alias("n_chunks"), F.min("chunk_start").alias("first_start"), F.max("chunk_end").alias("last_end"),
+        F.sum(F.length("chunk")).alias("chars"))
+
+
 @query("b07_label_chunks", chunk_sql(2000, 200) + """
 SELECT doc_id, 'Found. Chunk ' || idx || '/' || count(*) OVER (PARTITION BY doc_id) || '.' AS notes FROM pieces""")
 def label_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
