@@ -162,9 +162,10 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float
     for step in range(40 * m + 100):
         prices = inverse.sum(axis=0)
         worth, pattern = best_pattern(np.maximum(prices, 0), sizes, room)
-        if worth <= 1 + 1e-9 or used.sum() <= (1 + gap) * (np.maximum(prices, 0) @ demand) / worth:
+        if worth <= 1 + 1e-9 or used.sum() <= (1 + gap) * (np.maximum(prices, 0) * demand).sum() / worth:
             break
-        along = inverse @ pattern
+        there = np.flatnonzero(pattern)
+        along = (inverse[:, there] * pattern[there]).sum(axis=1)
         ok = along > 1e-9
         ratio = np.where(ok, used / np.where(ok, along, 1), np.inf)
         out = int(ratio.argmin())
