@@ -172,12 +172,11 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float
         used = np.maximum(used - ratio[out] * along, 0)
         used[out] = ratio[out]
         base[:, out] = pattern
-        if step % 200 == 199:
-            inverse = np.linalg.inv(base)
-        else:
-            row = inverse[out] / along[out]
-            inverse -= np.outer(along, row)
-            inverse[out] = row
+        row = inverse[out] / along[out]
+        inverse -= np.outer(along, row)
+        inverse[out] = row
+        if step % 200 == 199:  # a Newton step takes out rounding; plain loops, as a threaded library may hang beside the JVM gateway
+            inverse = 2 * inverse - np.einsum("ij,jk->ik", inverse, np.einsum("ij,jk->ik", base, inverse))
     return base, used
 
 
