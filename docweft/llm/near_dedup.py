@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from docweft.llm.shared import keep_rows, text_key, text_or_empty, written
+from docweft.llm.shared import keep_rows, small_batches, text_key, text_or_empty, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -37,12 +37,17 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STRETCH = 1 << 22
 
 
-@cache
+#: The longest powers asked for so far; shorter ones are their beginnings.
+_longest: list[tuple[np.ndarray, np.ndarray]] = []
+
+
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BYTE^j and its inverse for j < size."""
-    up, down = np.full(size, _BYTE), np.full(size, _INVERSE)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """_BYTE^j and its inverse for j < size, or for more j."""
+    if not _longest or len(_longest[0][0]) < size:
+        up, down = np.full(size, _BYTE), np.full(size, _INVERSE)
+        up[0] = down[0] = 1
+        _longest[:] = [(np.multiply.accumulate(up), np.multiply.accumulate(down))]
+    return _longest[0]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -314,6 +319,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     what links connect; class_id is its smallest doc_id (null last), whose row is kept, and of repeated rows one. links is the
     number of verified links of the text to other texts, enough of them to connect the class but not all that exist within it. Texts of fewer than five words are one shingle. An empty table gives an empty result; other columns are ignored.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, similarity)
+
+
+def _near_duplicates(docs: DataFrame, similarity: float) -> DataFrame:
     levels = idf_levels(docs)
     rows = signed_rows(docs, levels)
     copies = written(rows.groupBy("content").agg(F.min("row").alias("node"), F.count("*").alias("n")).filter("n > 1"), "copies").drop("n")
