@@ -34,7 +34,8 @@ _DRAW_BITS = 14
 _SAMPLES = BANDS * ROWS
 _BYTE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_STRETCH = 1 << 22
+#: Bytes of a text hashed at a time, cut at blanks; tables of powers and temporary arrays stay so short. No hash depends on it.
+_STRETCH = 1 << 17
 
 
 #: The longest powers asked for so far; shorter ones are their beginnings.
@@ -61,9 +62,9 @@ def word_hashes(text: str) -> np.ndarray:
     found, start = [], 0
     while start < len(data):
         end = min(len(data), start + _STRETCH)
-        if end < len(data):  # cut at the next blank
-            blanks = np.flatnonzero(data[end:] <= 32)
-            end = end + int(blanks[0]) if len(blanks) else len(data)
+        while end < len(data) and data[end] > 32:  # cut at the next blank, looked for a stretch at a time
+            blanks = np.flatnonzero(data[end : end + _STRETCH] <= 32)
+            end = end + int(blanks[0]) if len(blanks) else min(len(data), end + _STRETCH)
         piece = data[start:end]
         inside = piece > 32
         edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
@@ -76,6 +77,15 @@ def word_hashes(text: str) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
 
+def content_hash(words: np.ndarray) -> int:
+    """A hash of the word sequence: the sum of words[j] * _BYTE^j and their number, mixed; as a signed 64-bit number."""
+    up, total = _powers(_STRETCH)[0], len(words)
+    for at in range(0, len(words), _STRETCH):
+        part = words[at : at + _STRETCH]
+        total += int((part * up[: len(part)]).sum(dtype=np.uint64)) * pow(int(_BYTE), at, 1 << 64)
+    return int(_mixed(np.array([total % (1 << 64)], dtype=np.uint64))[0].astype(np.int64))
+
+
 def shingles(words: np.ndarray, width: int = WORDS) -> np.ndarray:
     """Hashes of all runs of `width` words; fewer words are one shingle, none are none."""
     if not len(words):
@@ -163,8 +173,7 @@ def signed_rows(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             contents, signatures, bands = [], [], []
             for text in batch:
                 words = word_hashes(text)
-                place = _powers(1 << max(10, len(words).bit_length()))[0][: len(words)]
-                contents.append(int(_mixed(np.array([(words * place).sum(dtype=np.uint64) + np.uint64(len(words))], dtype=np.uint64))[0].astype(np.int64)))
+                contents.append(content_hash(words))
                 if not len(words):
                     signatures.append(b"")
                     bands.append(np.zeros(0, dtype=np.int64))
