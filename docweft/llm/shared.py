@@ -37,18 +37,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
-    """Whole texts go to Python at most `rows` at a time in the jobs run inside, and no more than the session allows itself.
+def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 8 << 20) -> Iterator[None]:
+    """Whole texts go to Python at most `rows` rows and about `size` bytes at a time in the jobs run inside, and no more than the session allows itself.
 
     Tasks hold a batch in the JVM and several times in Python, so this bounds what workers take. No result depends on it.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = int(spark.conf.get(key))
-    spark.conf.set(key, str(min(before, rows) if before > 0 else rows))
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, most in wanted.items():
+        now = int(before[key].rstrip("bB"))
+        spark.conf.set(key, str(min(now, most) if now > 0 else most))
     try:
         yield
     finally:
-        spark.conf.set(key, str(before))
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
