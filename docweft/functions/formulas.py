@@ -8,6 +8,7 @@ are null when any element is null.
 from __future__ import annotations
 
 from functools import reduce
+from weakref import WeakSet
 
 from pyspark.sql import Column, SparkSession, functions as F
 
@@ -31,19 +32,24 @@ SQL_HELPERS = {
     "calc_min(xs ARRAY<DOUBLE>) RETURNS DOUBLE": "if(exists(xs, x -> x IS NULL), NULL, array_min(xs))",
     "calc_max(xs ARRAY<DOUBLE>) RETURNS DOUBLE": "if(exists(xs, x -> x IS NULL), NULL, array_max(xs))",
     "calc_count(xs ARRAY<STRING>) RETURNS INT": "coalesce(size(xs), 0)",
-    "calc_round(x DOUBLE) RETURNS DOUBLE": "CAST(bround(CAST(x AS DECIMAL(38,16)), 0) AS DOUBLE)",
+    "count_chars(s STRING) RETURNS INT": "coalesce(length(s), 0)",
+    "calc_round(x DOUBLE, places INT DEFAULT 0) RETURNS DOUBLE":
+        "CAST(bround(CAST(x * power(10D, places) AS DECIMAL(38,16)), 0) AS DOUBLE) / power(10D, places)",
     "calc_mod(a DOUBLE, b DOUBLE) RETURNS DOUBLE": "a - b * floor(try_divide(a, b))",
     "calc_months_between(s DATE, e DATE) RETURNS INT": "(year(e) - year(s)) * 12 + month(e) - month(s)",
     "days_between(s DATE, e DATE) RETURNS INT": "datediff(e, s)",
     "years_between(s DATE, e DATE) RETURNS INT":
         "CAST(floor(((year(e) - year(s)) * 12 + month(e) - month(s)) / 12) AS INT)",
     "calc_contains(xs ARRAY<STRING>, x STRING) RETURNS BOOLEAN": "coalesce(array_contains(xs, x), false)",
+    "text_contains(s STRING, x STRING) RETURNS BOOLEAN": "coalesce(contains(s, x), false)",
     "lookup(m MAP<STRING, STRING>, k STRING, d STRING DEFAULT NULL) RETURNS STRING":
         "if(coalesce(map_contains_key(m, k), false), try_element_at(m, k), d)",
     "format_currency(x DOUBLE, cur STRING DEFAULT 'USD') RETURNS STRING":
         "if(x IS NULL, '', concat(cur, ' ', format_number(x, 2)))",
-    "format_percent(x DOUBLE) RETURNS STRING": "if(x IS NULL, '', concat(format_number(x, '0.00'), '%'))",
+    "format_percent(x DOUBLE, places INT DEFAULT 2) RETURNS STRING":
+        "if(x IS NULL, '', concat(format_number(x, concat('0', if(places > 0, '.', ''), repeat('0', places))), '%'))",
     "iff(c BOOLEAN, a DOUBLE, b DOUBLE) RETURNS DOUBLE": "if(c, a, b)",
+    "iff_text(c BOOLEAN, a STRING, b STRING) RETURNS STRING": "if(c, a, b)",
     "convert_unit(x DOUBLE, f STRING, t STRING) RETURNS DOUBLE":
         "CASE WHEN x IS NULL OR f = t THEN x "
         + " ".join(f"WHEN f = '{f}' AND t = '{t}' THEN x * {mul}D / {div}D" for (f, t), (mul, div) in UNIT_FACTORS.items())
@@ -52,9 +58,15 @@ SQL_HELPERS = {
 
 
 def register_formula_functions(spark: SparkSession) -> None:
-    """Make the helpers callable by name inside formula strings of this session."""
+    """Make the helpers callable by name inside formula strings of this session, once per session."""
+    if spark in _registered:
+        return
     for signature, body in SQL_HELPERS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
+    _registered.add(spark)
+
+
+_registered: WeakSet[SparkSession] = WeakSet()
 
 
 def parse_date(text: Column) -> Column:

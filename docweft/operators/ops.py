@@ -353,8 +353,9 @@ def log_event_totals(lines: DataFrame, keys: Sequence[str] = ("event", "reason",
                "reason": F.when(F.col("record.event") == REJECTED, F.coalesce("record.reason", F.lit("unknown"))),
                "model": F.when(F.col("record.event").isin(REJECTED, COMPLETED) & (F.col("record.model") != ""), F.col("record.model"))}
     sums = ("document_chars", *EXTRACTION_SUMS, *FEEDBACK_SUMS)
-    flat = parsed_log_lines(lines).select(
-        *by, "line_kind", *[members[k].alias(k) for k in keys], *[_whole(n).alias(n) for n in sums])
+    # filters on what a generator gives stay above it, so they do not parse the lines a second time
+    row = F.struct("line_kind", *[members[k].alias(k) for k in keys], *[_whole(n).alias(n) for n in sums])
+    flat = parsed_log_lines(lines).select(*by, F.inline(F.array(row)))
     return flat.groupBy(*by, "line_kind", *keys).agg(
         F.count(F.lit(1)).alias("n_lines"), *[F.sum(n).alias(n) for n in sums])
 

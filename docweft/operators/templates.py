@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docweft.functions import text as tx
+from docweft.schema import FIELD_NAME, NO_FIELD_NAME
 
 # ---- fixed values -------------------------------------------------------------------------------
 MIN_PROMPT_CHARS = 80
@@ -32,9 +33,9 @@ READY = (
 )
 INCOMPLETE_TAIL = " still need complete source text, field names, spans, or attribute values."
 FORMULA_WORDS = (
-    "sum avg min max count round floor ceil coalesce months_between days_between years_between contains lookup "
-    "convert_unit format_currency format_percent iff if and or not true false null"
-).split()
+    "and", "as", "between", "case", "distinct", "div", "else", "end", "false", "from", "if", "in", "interval", "is", "like",
+    "not", "null", "or", "rlike", "then", "true", "when",
+)
 
 
 def latest_version(templates: DataFrame, versions: DataFrame) -> DataFrame:
@@ -106,11 +107,12 @@ def diff_summary(diff: DataFrame, before: DataFrame, after: DataFrame, guides: D
 
 
 def formula_names(formula: Column) -> Column:
-    """Distinct field names a formula mentions: identifiers that are neither members, calls' names nor words."""
-    bare = F.regexp_replace(formula, r"'[^']*'|\"[^\"]*\"|\.[A-Za-z_]\w*", " ")
-    words = F.regexp_extract_all(bare, F.lit(r"\b([A-Za-z_]\w*)\b"), F.lit(1))
-    known = F.array(*[F.lit(w) for w in FORMULA_WORDS])
-    return F.array_sort(F.array_except(F.array_distinct(words), known))
+    """Distinct field names a formula mentions: names that are no calls, members, types, SQL words or lambda arguments."""
+    bare = F.regexp_replace(formula, NO_FIELD_NAME, " ")
+    words = F.regexp_extract_all(bare, F.lit(FIELD_NAME), F.lit(1))
+    arguments = F.regexp_extract_all(bare, F.lit(r"\b([A-Za-z_]\w*)(?=\s*(?:,\s*[A-Za-z_]\w*\s*)?\)?\s*->)"), F.lit(1))
+    names = F.filter(words, lambda w: ~F.lower(w).isin(*FORMULA_WORDS))
+    return F.array_sort(F.array_except(names, arguments))
 
 
 def template_contract(defs: DataFrame) -> DataFrame:

