@@ -86,7 +86,8 @@ def _limits(docs: DataFrame, weights: Sequence[int], share: float, most: int, se
         states = written(_narrow(sizes, states, used), "thresholds")
         if states.filter("cut IS NULL").isEmpty():
             break
-    return sizes, targets.drop("source").join(states.select("source_key", "budget", "cut"), "source_key")
+    # written, so that its size is known: Spark broadcasts it where that allows, and then shuffles no texts
+    return sizes, written(targets.drop("source").join(states.select("source_key", "budget", "cut"), "source_key"), "limits")
 
 
 def _source_key() -> Column:
