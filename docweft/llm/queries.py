@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docweft.llm import chat, exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, quality, sharding, warc
-from docweft.llm.shared import table
+from docweft.llm.shared import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,7 +28,8 @@ def packed_documents(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     pieces = packing.token_pieces(docs, str(public_tokenizers.path("word_bpe_49k.json")), 4096)
-    return packing.packed(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), 4096)
+    with small_batches(docs.sparkSession):
+        return packing.packed(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), 4096)
 
 
 @query("op1_packing")
