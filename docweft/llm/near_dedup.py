@@ -30,10 +30,12 @@ LIKELY = 0.65
 _LEFT, _RIGHT = 256, 1024
 IDF_BITS = 16
 IDF_LEVELS, TF_LEVELS = 8, 8
-_DRAW_BITS = 14
 _SAMPLES = BANDS * ROWS
+_CHUNK = 1024
 _BYTE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Tell apart the numbers drawn from one hash.
+_SECOND, _THIRD = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
 #: Bytes of a text hashed at a time, cut at blanks; tables of powers and temporary arrays stay so short. No hash depends on it.
 _STRETCH = 1 << 17
 
@@ -105,19 +107,9 @@ def _weights() -> np.ndarray:
 
 
 @cache
-def _draws() -> tuple[np.ndarray, np.ndarray]:
-    """Rank of ln a for each level and draw, and an odd multiplier for each sample.
-
-    A draw is a triple r, c ~ Gamma(2, 1), b ~ Uniform(0, 1); for a weight w, t = floor(ln w / r + b), ln y = r (t - b) and
-    ln a = ln c - ln y - r. A shingle picks its draw by a hash for each sample. Weights with one t have one ln a, so they get one rank.
-    """
-    random = np.random.default_rng(20240202)
-    size = 1 << _DRAW_BITS
-    r, c, b = random.gamma(2, 1, size), random.gamma(2, 1, size), random.random(size)
-    t = np.floor(np.log(_weights())[:, None] / r + b)
-    log_a = np.log(c) - r * (t - b) - r
-    ranks = np.unique(log_a, return_inverse=True)[1].reshape(log_a.shape).astype(np.uint64)
-    return ranks << np.uint64(64 - 20), random.integers(0, 1 << 63, _SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _factors() -> np.ndarray:
+    """An odd multiplier for each sample."""
+    return np.random.default_rng(20240202).integers(0, 1 << 63, _SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def leveled(found: np.ndarray, idf_level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,15 +119,54 @@ def leveled(found: np.ndarray, idf_level: np.ndarray) -> tuple[np.ndarray, np.nd
     return own, idf_level[own >> np.uint64(64 - IDF_BITS)].astype(np.int64) * TF_LEVELS + tf
 
 
+def _unit(h: np.ndarray) -> np.ndarray:
+    """Hashes as numbers between 0 and 1, both excluded."""
+    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
 def weighted_samples(own: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """One ICWS sample per hash: the smallest (rank of ln a, hash of the shingle) over the shingles."""
-    ranks, factors = _draws()
-    best = np.full(_SAMPLES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(own), 4096):
-        hashed = _mixed(own[at : at + 4096])[None, :] * factors[:, None]
-        keys = ranks[levels[at : at + 4096], (hashed >> np.uint64(64 - _DRAW_BITS)).astype(np.int64)]
-        keys |= (hashed << np.uint64(_DRAW_BITS)) >> np.uint64(20)
-        best = np.minimum(best, keys.min(axis=1))
+    """One ICWS sample per hash: the shingle and step t of the smallest ln a, hashed.
+
+    ICWS draws r, c ~ Gamma(2, 1) and b ~ Uniform(0, 1) for each shingle and sample; for a weight w, t = floor(ln w / r + b),
+    ln y = r (t - b) and ln a = ln c - ln y - r. With v the shingle's weight where it occurs once, that is the same law as three
+    Exp(1) numbers p, q, s taken from a hash of shingle and sample: c = p + q, r = ln(c / p) + s, and b such that ln y = ln v - s at v.
+    Then a = p / v at v, and at w = v m it is exp(-r k) p / v with k = floor((ln m + s) / r) steps more. So among shingles that
+    occur once and have one v the smallest hash wins, and of others only those that can still win, p exp(-s) < a v m, are worked out.
+    """
+    factors, weights, h = _factors(), _weights(), _mixed(own)
+    least, best = np.full(_SAMPLES, np.inf), np.zeros(_SAMPLES, dtype=np.uint64)
+    idf, tf = np.divmod(levels, TF_LEVELS)
+    once = np.flatnonzero(tf == 0)
+    once = once[np.argsort(idf[once].astype(np.uint8), kind="stable")]
+    low = np.full((IDF_LEVELS, _SAMPLES), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(once), _CHUNK):
+        part = idf[once[at : at + _CHUNK]]
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        smallest = np.minimum.reduceat(h[once[at : at + _CHUNK], None] * factors, first, axis=0)
+        low[part[first]] = np.minimum(low[part[first]], smallest)
+    there = np.unique(idf[once])
+    if len(there):
+        a = -np.log1p(-_unit(low[there])) / weights[there * TF_LEVELS, None]
+        at = a.argmin(axis=0)
+        least, best = a.min(axis=0), low[there[at], np.arange(_SAMPLES)]
+    again, start, size = np.flatnonzero(tf), 0, 64
+    while start < len(again):
+        some = again[start : start + size]
+        start, size = start + size, min(4 * size, _CHUNK)
+        hashed = h[some, None] * factors
+        p, s = _unit(hashed), _unit(_mixed(hashed ^ _SECOND))  # -ln(1 - p) is never less than p
+        i, j = np.nonzero(p * s < least * weights[levels[some], None])
+        if not len(i):
+            continue
+        p, s, q, own_hash = -np.log1p(-p[i, j]), -np.log(s[i, j]), -np.log(_unit(_mixed(hashed[i, j] ^ _THIRD))), hashed[i, j]
+        r = np.log1p(q / p) + s
+        k = np.floor((np.log(1 + tf[some[i]] / 2) + s) / r)
+        a = p / weights[idf[some[i]] * TF_LEVELS] * np.exp(-r * k)
+        order = np.lexsort((a, j))
+        order = order[np.diff(j[order], prepend=-1) > 0]  # the smallest a of each sample
+        order = order[a[order] < least[j[order]]]
+        least[j[order]] = a[order]
+        best[j[order]] = own_hash[order] + k[order].astype(np.uint64) * _BYTE
     return best
 
 

@@ -327,6 +327,29 @@ def test_near_duplicates_against_brute_force(spark, odd, none):
     assert Counter(r.doc_id for r in near_dedup.drop_near_duplicates(odd).collect()) == Counter([1, 3, 6, 7, None, 9, 10])
 
 
+def test_long_texts_near_duplicates_against_brute_force(spark):
+    """Pairs of 20,000 to 200,000 words with repeated and common passages, which differ in the repeated ones alone."""
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.getrandbits(48)}" for _ in range(n)]
+    common, rows, errors = words(2_000), [], []
+    for size in (20_000, 20_000, 20_000, 60_000, 60_000, 60_000, 200_000):
+        passages, plain = [words(50) for _ in range(size * 3 // 1000)], words(size * 6 // 10)
+        changed = [words(50) if i < 0.34 * len(passages) else p for i, p in enumerate(passages)]
+        for some in (passages, changed):
+            rows.append((len(rows), " ".join(common + plain + sum(some, []) + sum(some[::-1], [])), "en", "a"))
+    docs = docs_of(spark, rows)
+    levels = near_dedup.idf_levels(docs)
+    leveled = [near_dedup.leveled(near_dedup.shingles(near_dedup.word_hashes(text)), levels) for _, text, *_ in rows]
+    sets = [((own & ~np.uint64(63)) | level.astype(np.uint64)).astype("<u8").tobytes() for own, level in leveled]
+    samples = [near_dedup.weighted_samples(*both) for both in leveled]
+    near = lambda i, j: near_dedup.weighted_jaccard(sets[i], sets[j])
+    for i in range(0, len(rows), 2):
+        assert 0.8 <= near(i, i + 1) < 0.86 and all(near(i, j) < 0.8 for j in range(i))
+        errors.append((samples[i] == samples[i + 1]).mean() - near(i, i + 1))
+    assert abs(sum(errors) / len(errors)) < 0.05 and max(map(abs, errors)) < 0.15, errors
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == {i: i // 2 * 2 for i in range(len(rows))}
+
+
 def test_open_buckets_are_united(spark):
     """A chain of texts, each near the next alone, that all share a passage."""
     rng = random.Random(6)
