@@ -151,7 +151,7 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit(" free "), part.cast("string"))))
     return v.table(spark, sf_dir, "lineitem").select(
         *LINE_KEYS, F.concat(F.lit("Field "), n.cast("string")).alias("label"), v.choose(n, DRAFT_TYPES).alias("data_type"),
-        draft.alias("draft"), F.when(part % 2 == 0, "EUR").alias("existing_currency"), "l_extendedprice")
+        draft.alias("draft"), F.when(part % 2 == 0, "EUR").alias("existing_currency"), "l_extendedprice", "l_shipdate")
 
 
 DRAFT_SQL = """
@@ -192,6 +192,27 @@ def changed_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rv.changed_edits(stored).select(*LINE_KEYS, "reason")
 
 
+@query("h09_changed_edits_all_types", DRAFT_SQL + """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, 'Updated from extraction workspace' AS reason FROM typed
+WHERE CASE WHEN nothing THEN l_suppkey % 3 <> 2 ELSE l_suppkey % 3 <> 0 OR l_quantity >= 25 END""")
+def changed_edits_all_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every draft of the table, against a stored value of its own type (equal below a quantity of 25), extracted text only, or nothing."""
+    n, part, supplier, same = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity") < 25
+    price, currency = F.col("l_extendedprice"), F.coalesce("existing_currency", F.lit("USD"))
+    date = F.when(same, F.date_format("l_shipdate", "yyyy-MM-dd")).otherwise("1970-01-01")
+    stored_value = (
+        F.when(n == 1, value_struct(amount=F.when(same, price).otherwise(price + 1), currency=currency, display_value=F.concat(currency, F.lit(" "), F.format_number(price, 2))))
+        .when(n == 2, value_struct(text=date, display_value=date))
+        .when(n == 3, value_struct(number=F.when(same, F.col("l_quantity")).otherwise(0.5)))
+        .when(n == 4, value_struct(flag=(part % 2 == 0) == same))
+        .when(n == 5, value_struct(object_json=F.when(same, '[{"a":1}]').otherwise('[{"a":2}]')))
+        .when(n == 6, value_struct(object_json=F.when(~same, '{"a":2}').when(part % 3 == 0, '{"a":1}').otherwise("[1]")))
+        .otherwise(value_struct(text=F.when(same, F.concat(F.lit(" free "), part.cast("string"))).otherwise(" free"))))
+    stored = rv.typed_edit_values(drafts(spark, sf_dir)).withColumns({
+        "normalized_value": F.when(supplier % 3 == 0, stored_value), "extracted_value": F.when(supplier % 3 == 1, "free text")})
+    return rv.changed_edits(stored).select(*LINE_KEYS, "reason")
+
+
 @query("h10_review_reasons", f"""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CASE l_partkey % 4 WHEN 0 THEN 'Required field is missing.|Check the total.' WHEN 1 THEN 'Check the total.'
   WHEN 2 THEN CASE WHEN l_returnflag = 'R' THEN '{rv.NEEDS_CONFIRMATION}' ELSE '' END ELSE 'Required field is missing.' END AS reasons FROM lineitem""")
