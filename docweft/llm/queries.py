@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docweft.llm import chat, exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, quality, sharding, warc
+from docweft.llm import chat, exact_dedup, fingerprints, language_id, merkle, mixing, near_dedup, packing, quality, sharding, warc
 from docweft.llm.shared import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,36 @@ def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_near_dedup")
 def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+_MERKLE_LEAF = "sha256(" + " || ".join(
+    f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR) END" for c in ("doc_id", "source", "lang", "n_chars", "TEXT")) + ")"
+#: The crc32 of a decimal number, bit by bit: each byte enters with the first of its eight steps.
+_DECIMAL_CRC32 = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),"
+    " lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda a, e: xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1))))")
+
+
+@query("op11_merkle_manifest", f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {_MERKLE_LEAF.replace('TEXT', 'text')} AS leaf, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY source) AS n,
+    CASE WHEN doc_id IS NOT NULL AND {_DECIMAL_CRC32} % 2 = 0 THEN {_MERKLE_LEAF.replace('TEXT', "replace(text, chr(10), '')")} END AS tampered FROM documents),
+  t AS (SELECT 0 AS l, source, i, n, leaf AS h FROM d UNION ALL
+    SELECT l + 1, source, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY l, source, i // 3),
+  s AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+  u AS (SELECT 0 AS l, i, n, h FROM s UNION ALL SELECT l + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY l, i // 3),
+  runs AS (SELECT source, l, i // 3 AS run, list({{'i': i, 'h': h}} ORDER BY i) AS nodes FROM t WHERE n > 1 GROUP BY ALL),
+  tops AS (SELECT l, i // 3 AS run, list({{'i': i, 'h': h}} ORDER BY i) AS nodes FROM u WHERE n > 1 GROUP BY ALL),
+  p AS (SELECT doc_id, source, 0 AS l, i, n, coalesce(tampered, leaf) AS h, '' AS proof FROM d UNION ALL
+    SELECT doc_id, p.source, p.l + 1, run, (n + 2) // 3,
+      sha256(array_to_string([x.h for x in nodes if x.i < p.i], '') || p.h || array_to_string([x.h for x in nodes if x.i > p.i], '')),
+      proof || array_to_string([x.h for x in nodes if x.i <> p.i], '')
+    FROM p JOIN runs ON runs.source IS NOT DISTINCT FROM p.source AND runs.l = p.l AND runs.run = p.i // 3 WHERE n > 1),
+  q AS (SELECT doc_id, p.source, 0 AS l, s.i, s.n, p.h, proof FROM p JOIN s ON s.source IS NOT DISTINCT FROM p.source WHERE p.n = 1 UNION ALL
+    SELECT doc_id, q.source, q.l + 1, run, (n + 2) // 3,
+      sha256(array_to_string([x.h for x in nodes if x.i < q.i], '') || q.h || array_to_string([x.h for x in nodes if x.i > q.i], '')),
+      proof || array_to_string([x.h for x in nodes if x.i <> q.i], '')
+    FROM q JOIN tops ON tops.l = q.l AND tops.run = q.i // 3 WHERE n > 1)
+SELECT d.doc_id, d.leaf, s.h AS subroot, u.h AS root, sha256(q.proof) AS proof_sha256, q.h AS folded_root, q.h = u.h AS verified
+FROM d JOIN q ON q.doc_id = d.doc_id AND q.n = 1 JOIN s ON s.source IS NOT DISTINCT FROM d.source JOIN u ON u.n = 1""")
+def merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_documents(table(spark, sf_dir, "documents"))

@@ -113,3 +113,33 @@ def ranked_within(rows: DataFrame, group: str, order: str, ties: list[str], tota
     number = F.row_number().over(Window.partitionBy(group, "bucket").orderBy(order, *ties))
     joined = bucketed.withColumn("number", number).join(counts, [group, "bucket"])
     return joined.withColumn("rank", F.col("before") + F.col("number") - 1).drop("bucket", "number", "before")
+
+
+def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """rows (a written table) with idx (0, 1, ... in each group by `order`, nulls first) and of (the group's rows).
+
+    Rows are cut into ranges of (group, order), numbered inside them, and the counts of the ranges before are added: neither a
+    large group nor many rows of one key meet in one task. Rows equal in group and order come in any order.
+    """
+    ranges = buckets_for(rows.sparkSession, rows.count())
+    at = F.monotonically_increasing_id()
+    cut = written(rows.withColumn("__at", at).repartitionByRange(ranges, group, *order, "__at").withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = rows_before(cut.groupBy(group, "__range").agg(F.count("*").alias("rows")), "__range", group)
+    counts = written(counts.withColumn("of", F.sum("rows").over(Window.partitionBy(group))), "counts").drop("rows")
+    number = F.row_number().over(Window.partitionBy(group, "__range").orderBy(*order, "__at"))
+    joined = cut.withColumn("__number", number).join(counts, [group, "__range"])
+    return joined.withColumn("idx", F.col("before") + F.col("__number") - 1).drop("__at", "__range", "__number", "before")
+
+
+def join_split(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """left (a written table of `total` rows) joined to right, which has each key at most once; the columns of both.
+
+    Keys that many rows of left share meet their rows of right in a broadcast: at most 4 such keys a partition, so the list is
+    short. Other keys are shuffled as usual, and no task gets one key's rows in bulk.
+    """
+    limit = max(1_000, total // (4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    heavy = written(left.groupBy(key).agg(F.count("*").alias("rows")).filter(F.col("rows") > limit).select(key), "heavy")
+    if heavy.isEmpty():
+        return left.join(right, key)
+    light = left.join(F.broadcast(heavy), key, "left_anti").join(right, key)
+    return light.unionByName(left.join(F.broadcast(right.join(F.broadcast(heavy), key)), key))
