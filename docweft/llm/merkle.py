@@ -119,7 +119,7 @@ def manifest(rows: DataFrame, source: str, order: str, leaf: Column, arity: int
     subroots = written(roots_of(lower).select(F.lit("").alias("group"), F.col("group").alias("__of"), F.col("root").alias("digest")), "subroots")
     upper = levels_of(numbered(subroots, "group", ["__of"]), arity)
     root = roots_of(upper).first()["root"]
-    nothing = subroots.sparkSession.range(1).select(F.lit("").alias("group"), F.array().cast(_PATH).alias("path"))
+    nothing = written(subroots.sparkSession.range(1).select(F.lit("").alias("group"), F.array().cast(_PATH).alias("path")), "nothing")
     tops = written(with_paths(upper, nothing, arity).select(F.col("__of").alias("group"), "path", F.col("digest").alias("subroot")), "tops")
     return with_paths(lower, tops, arity).select(
         F.col("__order").alias(order), F.col("__source").alias(source), F.col("digest").alias("leaf"), "subroot", F.lit(root).alias("root"), "path",

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docweft.llm import chat, exact_dedup, fingerprints, language_id, merkle, mixing, near_dedup, packing, quality, sharding, warc
+from docweft.llm import chat, exact_dedup, fingerprints, grid_join, hard_negatives, language_id, merkle, mixing, near_dedup, packing, quality, sharding, warc
 from docweft.llm.shared import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,29 @@ SELECT d.doc_id, d.leaf, s.h AS subroot, u.h AS root, sha256(q.proof) AS proof_s
 FROM d JOIN q ON q.doc_id = d.doc_id AND q.n = 1 JOIN s ON s.source IS NOT DISTINCT FROM d.source JOIN u ON u.n = 1""")
 def merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op12_embedding_near_dedup", """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e,
+    coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok FROM embeddings),
+  links AS (SELECT a.r, b.r AS o FROM v a JOIN v b ON a.ok AND b.ok AND a.r <> b.r AND len(a.e) = len(b.e) WHERE CASE WHEN a.ok AND b.ok AND len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.95 END),
+  reach AS (SELECT r, r AS o FROM v UNION SELECT reach.r, links.o FROM reach JOIN links ON links.r = reach.o),
+  c AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.o GROUP BY reach.r),
+  n AS (SELECT r, count(*) AS n_links FROM links GROUP BY r)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c USING (r) LEFT JOIN n USING (r)""")
+def embedding_near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_hard_negatives", """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.r, a.vec_id AS anchor_id, b.r AS o, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.r <> b.r AND len(a.e) = len(b.e)),
+  p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, o) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER w AS INT) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.r = p.r AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.r, p.o ORDER BY s.score DESC, s.vec_id NULLS LAST, s.o) QUALIFY row_number() OVER w <= 3""")
+def hard_negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)

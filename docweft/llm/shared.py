@@ -131,15 +131,20 @@ def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     return joined.withColumn("idx", F.col("before") + F.col("__number") - 1).drop("__at", "__range", "__number", "before")
 
 
-def join_split(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
-    """left (a written table of `total` rows) joined to right, which has each key at most once; the columns of both.
+def heavy_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """Written: the keys that many of the `total` rows share, at most four for each partition of a shuffle."""
+    limit = max(1_000, total // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return written(rows.groupBy(key).agg(F.count("*").alias("rows")).filter(F.col("rows") > limit).select(key), "heavy")
 
-    Keys that many rows of left share meet their rows of right in a broadcast: at most 4 such keys a partition, so the list is
-    short. Other keys are shuffled as usual, and no task gets one key's rows in bulk.
+
+def join_split(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame, how: str = "inner") -> DataFrame:
+    """left joined ("inner" or "left") to right, which has each key at most once; the columns of both. No key is null.
+
+    The rows of left with a heavy key, from heavy_keys, meet their rows of right in a broadcast, which is as short as that list. Other
+    keys are shuffled as usual. So no task gets one key's rows in bulk.
     """
-    limit = max(1_000, total // (4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    heavy = written(left.groupBy(key).agg(F.count("*").alias("rows")).filter(F.col("rows") > limit).select(key), "heavy")
     if heavy.isEmpty():
-        return left.join(right, key)
-    light = left.join(F.broadcast(heavy), key, "left_anti").join(right, key)
-    return light.unionByName(left.join(F.broadcast(right.join(F.broadcast(heavy), key)), key))
+        return left.join(right, key, how)
+    light = left.join(F.broadcast(heavy), key, "left_anti").join(right, key, how)
+    bulk = left.join(F.broadcast(heavy), key, "left_semi").join(F.broadcast(right.join(F.broadcast(heavy), key, "left_semi")), key, how)
+    return light.unionByName(bulk)
