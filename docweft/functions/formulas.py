@@ -7,7 +7,6 @@ are null when any element is null.
 
 from __future__ import annotations
 
-from functools import reduce
 from weakref import WeakSet
 
 from pyspark.sql import Column, SparkSession, functions as F
@@ -165,7 +164,3 @@ def format_percent(number: Column, places: int = 2) -> Column:
 def iff(condition: Column, when_true: Column, when_false: Column) -> Column:
     return F.when(condition, when_true).otherwise(when_false)
 
-
-def chained(*steps: Column) -> Column:
-    """`a < b < c` as the conjunction of its pairwise comparisons."""
-    return reduce(lambda left, right: left & right, steps)

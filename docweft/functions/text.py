@@ -72,3 +72,17 @@ def fixed_decimals(number: Column, places: int = 2, grouped: bool = False) -> Co
 def money(amount: Column) -> Column:
     """Round to cents, half up on the shortest decimal text of the double."""
     return F.round(amount.cast("string").cast("decimal(38,16)"), 2).cast("double")
+
+
+def python_number(number: Column) -> Column:
+    """A double as Python's str() writes it: no exponent from 0.0001 up to 1e16, else one of two digits at least."""
+    size, plain = F.abs(number), number.cast("string")
+    digits = F.regexp_replace(plain.cast("decimal(38,22)").cast("string"), "0+$", "")
+    wide = F.regexp_replace(F.regexp_replace(F.format_string("%.9f", number), "0+$", ""), r"\.$", ".0")
+    power = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"\.0E", "E"), r"E(\d)", "e+$1"), "E-", "e-")
+    return (
+        F.when((size >= 1e7) & (size < 1e16), wide)
+        .when((size >= 1e-4) & (size < 1e-3), digits)
+        .when((size >= 1e16) | (size < 1e-4) & (size > 0), F.regexp_replace(power, r"e([+-])(\d)$", "e$10$2"))
+        .otherwise(plain)
+    )

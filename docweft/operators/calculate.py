@@ -1,50 +1,38 @@
-"""Calculated fields: Spark SQL formulas over wide results, error policies, currency shaping, validation."""
+"""Calculated fields: formulas over wide results, error policies, currency shaping, validation."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from docweft.functions import text as tx
-from docweft.functions.formulas import register_formula_functions
+from docweft.functions.formula_terms import MISSING_INPUT, ZERO_DIVISOR, Term, compiled
 from docweft.operators.reconcile import long_form, result_struct, validate_wide
-from docweft.schema import FLAG_ON_ERROR, CalcDef, FieldDef, Template, typed_value
+from docweft.schema import FLAG_ON_ERROR, LIST_TYPES, OBJECT_TYPES, CalcDef, FieldDef, Template, typed_value
 
 # ---- fixed values -------------------------------------------------------------------------------
-DIVIDED_BY_ZERO = ("Division by zero.", "Division by zero returned null by policy.")
-INPUT_MISSING = ("Missing input.", "Missing input returned null by policy.")
+DIVIDED_BY_ZERO = (ZERO_DIVISOR, "Division by zero returned null by policy.")
+INPUT_MISSING = (MISSING_INPUT, "Missing input returned null by policy.")
 BASE_NOTE = "Deterministic formula evaluation."
 NULL_RESULT = "Calculated value is null."
 BELOW_MINIMUM = "Calculated value is below minimum."
 ABOVE_MAXIMUM = "Calculated value is above maximum."
-DIVIDING = re.compile(r"[/%]|try_divide|calc_mod|calc_avg")
-_DIVIDING_CALL = re.compile(r"try_divide|calc_mod|calc_avg")
-_QUOTED_OR_DIVISION = re.compile(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|[/%]""")
-
-
-@contextmanager
-def _null_on_division_by_zero(spark: SparkSession) -> Iterator[None]:
-    """Resolve formulas without ANSI errors: `a / 0` must flag one row, not stop the job."""
-    before = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", before)
-
-
-def _leaf(field: FieldDef, typed: Column) -> Column:
-    """The member of an input that a formula computes with."""
-    if field.type == "currency":
-        return typed["amount"]
+_MEMBERS = {
+    "currency": {"amount": "number", "currency": "text", "display_value": "text"},
+    "date": {"value": "text", "display_value": "text"},
+    "number": {"value": "number"},
+}
+_CURRENCY_RESULT = {"amount": "number", "currency": "text"}
+
+
+def field_term(field: FieldDef, typed: Column) -> Term:
+    """An extracted field as formulas see it."""
     if field.type == "boolean":
-        return typed
-    if field.type in ("json_object", "structured_object", "table"):
-        return typed
-    return typed["value"]
+        return Term("flag", typed)
+    if field.type in OBJECT_TYPES:
+        return Term("object", typed)
+    return Term("record", typed, members=_MEMBERS.get(field.type, {"value": "list" if field.type in LIST_TYPES else "text"}))
 
 
 def shape_currency(number: Column, currency: str) -> Column:
@@ -56,69 +44,58 @@ def calculated_fields(wide: DataFrame, template: Template, keys: Sequence[str] =
     """Add one struct column per calculated field, named after it, holding value, display, errors and notes.
 
     Fields are computed in dependency order; a formula sees every extracted field in the shape of its type
-    (`total.amount`, `start.value`) and every earlier calculated field. All expressions are row-local.
+    (`total.amount`, `start.value`) and every earlier calculated field. A formula that cannot be read, or names an unknown field,
+    gives a null result with that error in every row. All expressions are row-local.
     """
-    register_formula_functions(wide.sparkSession)
     calcs = template.ordered_calcs()
     kept = [c for c in wide.columns if c not in template.field_names]
-    # Formula names shadow the wide columns, so results move aside under a prefix for the computation.
+    # Formula inputs shadow the wide columns, so results move aside under a prefix for the computation.
     df = wide.select(*kept, *[F.col(f.name).alias(f"_r_{f.name}") for f in template.fields],
                      *[typed_value(F.col(f.name)["normalized_value"], f.type).alias(f.name) for f in template.fields])
-    with _null_on_division_by_zero(wide.sparkSession):
-        for calc in calcs:
-            df = df.withColumn(f"_v_{calc.name}", F.expr(calc.formula))
-            if DIVIDING.search(calc.formula):
-                # multiplying instead has a value unless an operand is missing or no number: then the null is no division by zero
-                multiplied = F.expr(_QUOTED_OR_DIVISION.sub(lambda m: m[1] or "*", calc.formula)).isNotNull()
-                df = df.withColumn(f"_m_{calc.name}", F.lit(True) if _DIVIDING_CALL.search(calc.formula) else multiplied)
-            number = F.col(f"_v_{calc.name}")
-            value = shape_currency(number, calc.currency) if calc.output_type == "currency" else number
-            df = df.withColumn(calc.name, value)
-        df = df.withColumns({f"_c_{calc.name}": _outcome(calc, template) for calc in calcs})
+    inputs = {f.name: field_term(f, F.col(f.name)) for f in template.fields}
+    kinds = {}
+    for calc in calcs:
+        made = compiled(calc.formula, inputs)
+        money = calc.output_type == "currency" and made.kind in ("int", "number")
+        df = df.withColumns({
+            calc.name: shape_currency(made.value, calc.currency) if money else made.value,
+            f"_fault_{calc.name}": F.lit(None).cast("string") if made.fault is None else made.fault})
+        kinds[calc.name] = "currency" if money else made.kind
+        inputs[calc.name] = Term("record", F.col(calc.name), members=_CURRENCY_RESULT) if money else Term(
+            made.kind, F.col(calc.name), members=made.members)
+    df = df.withColumns({f"_c_{calc.name}": _outcome(calc, kinds[calc.name]) for calc in calcs})
     return df.select(*kept, *[F.col(f"_r_{f.name}").alias(f.name) for f in template.fields],
                      *[F.col(f"_c_{c.name}").alias(c.name) for c in calcs])
 
 
-def _outcome(calc: CalcDef, template: Template) -> Column:
-    value, raw = F.col(calc.name), F.col(f"_v_{calc.name}")
-    calc_names = [c.name for c in template.calcs]
-    inputs = sorted(set(calc.depends_on) | calc.references([*template.field_names, *calc_names]))
-    missing = F.lit(False)
-    for name in inputs:
-        if name in template.field_names:
-            missing = missing | _leaf(template.field(name), F.col(name)).isNull()
-        elif name in calc_names:
-            missing = missing | F.col(f"_v_{name}").isNull()
-    divides = DIVIDING.search(calc.formula) is not None
-    divided = (raw.isNull() & ~missing & F.col(f"_m_{calc.name}")) if divides else F.lit(False)
-    lost_input = (raw.isNull() & (missing | ~F.col(f"_m_{calc.name}"))) if divides else raw.isNull() & missing
-
-    errors, notes = [], []
-    for happened, (error, note), policy in (
-        (lost_input, INPUT_MISSING, calc.on_missing_input), (divided, DIVIDED_BY_ZERO, calc.on_divide_by_zero),
-    ):
-        if policy == FLAG_ON_ERROR:
-            errors.append(F.when(happened, error))
-        else:
-            notes.append(F.when(happened, note))
-    scalar = value["amount"] if calc.output_type == "currency" else value
+def _outcome(calc: CalcDef, kind: str) -> Column:
+    value, fault = F.col(calc.name), F.col(f"_fault_{calc.name}")
+    errors, notes, silent = [], [], []
+    for (error, note), policy in ((INPUT_MISSING, calc.on_missing_input), (DIVIDED_BY_ZERO, calc.on_divide_by_zero)):
+        if policy != FLAG_ON_ERROR:
+            silent.append(error)
+            notes.append(F.when(fault == error, note))
+    errors.append(F.when(~fault.isin(*silent), fault) if silent else fault)
+    scalar = value["amount"] if kind == "currency" else value
     if not calc.rules.allow_null:
         errors.append(F.when(value.isNull(), NULL_RESULT))
-    if calc.rules.min is not None:
-        errors.append(F.when(scalar.cast("double") < calc.rules.min, BELOW_MINIMUM))
-    if calc.rules.max is not None:
-        errors.append(F.when(scalar.cast("double") > calc.rules.max, ABOVE_MAXIMUM))
-    found = F.array_compact(F.array(*errors)) if errors else F.array().cast("array<string>")
-    if calc.output_type == "currency":
-        shown = F.concat(F.lit(calc.currency + " "), tx.fixed_decimals(scalar, 2, grouped=True))
-        rendered = F.to_json(value)
-    else:
-        shown = rendered = value.cast("string")
+    if kind in ("currency", "int", "number", "flag", "nothing"):
+        number = scalar.cast("double")
+        if calc.rules.min is not None:
+            errors.append(F.when(number < calc.rules.min, BELOW_MINIMUM))
+        if calc.rules.max is not None:
+            errors.append(F.when(number > calc.rules.max, ABOVE_MAXIMUM))
+    found = F.array_compact(F.array(*errors))
+    whole = F.to_json(value) if kind in ("currency", "record", "object", "list") else value.cast("string")
+    shown = {
+        "currency": lambda: F.concat(F.lit(calc.currency + " "), tx.fixed_decimals(scalar, 2, grouped=True)),
+        "number": lambda: tx.python_number(value), "flag": lambda: tx.python_bool(value),
+    }.get(kind, lambda: whole)()
     return F.struct(
         value.alias("calculated_value"),
-        rendered.alias("value_json"),
-        scalar.cast("string").alias("value_text"),
-        F.coalesce(shown, F.lit("")).alias("display_value"),
+        whole.alias("value_json"),
+        (scalar.cast("string") if kind == "currency" else whole).alias("value_text"),
+        F.when(value.isNotNull(), shown).otherwise("").alias("display_value"),
         F.when(F.size(found) > 0, "invalid").otherwise("valid").alias("validation_status"),
         found.alias("validation_errors"),
         F.concat_ws(" ", F.lit(BASE_NOTE), *notes).alias("calculation_notes"),

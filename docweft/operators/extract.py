@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docweft.functions import text as tx
+from docweft.functions import spans as sp, text as tx
 from docweft.functions.values import first_match, normalize_value
-from docweft.operators.text_prep import page_at, page_markers, page_reference
+from docweft.operators.text_prep import page_reference
 from docweft.schema import CANDIDATE_DDL, FieldDef, Template, null_value, value_struct
 
 # ---- fixed values -------------------------------------------------------------------------------
@@ -27,8 +27,11 @@ NOT_JSON = "Provider response content must be a JSON string or object."
 UNGROUNDED_NOTE = "LangExtract returned an ungrounded extraction."
 
 
-def rule_hit(text: Column, field: FieldDef) -> Column:
-    """The text a field's rule finds in a document, null when it finds nothing. The only pass over the text."""
+def rule_hit(text: Column, field: FieldDef, lowered: Column | None = None) -> Column:
+    """The text a field's rule finds in a document, null when it finds nothing. The only pass over the text.
+
+    lowered: the text in lower case, where it is at hand.
+    """
     spoken_name = field.name.replace("_", " ")
     if field.type == "currency":
         return first_match(text, RULE_CURRENCY)
@@ -36,7 +39,7 @@ def rule_hit(text: Column, field: FieldDef) -> Column:
         return first_match(text, RULE_DATE, 1)
     if field.type == "number":
         return first_match(text, RULE_NUMBER, 1)
-    lowered = F.lower(text)
+    lowered = F.lower(text) if lowered is None else lowered
     if field.type == "boolean":
         return F.when(F.contains(lowered, F.lit(spoken_name)), "true")
     named = F.contains(lowered, F.lit(field.label.lower())) | F.contains(lowered, F.lit(spoken_name))
@@ -134,18 +137,24 @@ def ground_annotations(
 ) -> DataFrame:
     """Annotations (class, text, attributes, char_start, char_end) to candidates grounded in their document.
 
-    `defs` holds field_name, label, data_type, currency. The documents join carries the text because the
-    source slice is cut from it; the page comes from the same row.
+    `defs` holds field_name, label, data_type, currency. A document's annotations are gathered before they meet its text, so a
+    text is shuffled once, not once per annotation; its page markers are found once and looked up by binary search.
     """
-    joined = annotations.join(docs.select(*keys, "text"), list(keys), "inner").join(
+    known = annotations.join(
         defs.select(F.col("field_name").alias("extraction_class"), "label", "data_type", "currency"),
         "extraction_class", "left")
+    inside = [c for c in known.columns if c not in keys]
+    gathered = known.groupBy(*keys).agg(F.collect_list(F.struct(*inside)).alias("_all"))
+    spans = F.transform("_all", lambda a: F.struct(a["char_start"].alias("start"), a["char_end"].alias("end")))
+    met = gathered.join(docs.select(*keys, "text"), list(keys)).withColumn("_cited", sp.cited(F.col("text"), spans))
+    joined = met.select(*keys, F.explode(F.arrays_zip("_all", "_cited")).alias("_a")).select(
+        *keys, "_a._all.*", F.col("_a._cited.source").alias("_source"), F.col("_a._cited.page").alias("_page"))
     start, end = F.col("char_start"), F.col("char_end")
     grounded = F.coalesce((start >= 0) & (end >= start), F.lit(False))
     extracted = tx.strip(F.col("extraction_text"))
     known = F.col("data_type").isNotNull()
     value = normalize_value(F.col("data_type"), extracted, F.col("attributes"), F.col("currency"))
-    page = F.when(grounded, page_at(page_markers(F.col("text")), start))
+    page = F.col("_page")
     span_note = F.concat(F.lit("LangExtract grounded chars "), start.cast("string"), F.lit("-"), end.cast("string"), F.lit("."))
     trusted = grounded & (value.isNotNull() | ~known)
     return joined.select(
@@ -157,7 +166,7 @@ def ground_annotations(
         F.when(known, F.nullif(extracted, F.lit(""))).otherwise(extracted).alias("extracted_value"),
         value.alias("normalized_value"),
         F.when(trusted, 1.0).otherwise(0.0).alias("confidence"),
-        F.when(grounded, tx.slice_text(F.col("text"), start, end)).otherwise("").alias("source_text"),
+        F.coalesce("_source", F.lit("")).alias("source_text"),
         F.when(grounded, start).alias("char_start"),
         F.when(grounded, end).alias("char_end"),
         page.alias("page_number"),

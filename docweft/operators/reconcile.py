@@ -8,7 +8,7 @@ calculation, review lists and the result envelope are then row-local.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -41,14 +41,14 @@ def unexpected_fields(candidates: DataFrame, template: Template, keys: Sequence[
         "note", F.concat(F.lit("Provider returned unexpected field '"), F.col("field_name"), F.lit("'.")))
 
 
-def _rank() -> Column:
-    """Evidence first, then confidence, then length of the citation, then first arrival."""
-    value, cited = F.col("normalized_value").isNotNull(), F.coalesce(F.col("source_text") != "", F.lit(False))
+def _rank(of: Callable[[str], Column] = F.col) -> Column:
+    """Evidence first, then confidence, then length of the citation, then first arrival. of: a candidate's member by name."""
+    value, cited = of("normalized_value").isNotNull(), F.coalesce(of("source_text") != "", F.lit(False))
     return F.struct(
         (value.cast("int") + cited.cast("int")).alias("evidence"),
-        F.col("confidence").alias("confidence"),
-        F.length("source_text").alias("cited_length"),
-        (-F.col("seq")).alias("arrival"),
+        of("confidence").alias("confidence"),
+        F.length(of("source_text")).alias("cited_length"),
+        (-of("seq")).alias("arrival"),
     )
 
 
@@ -101,6 +101,33 @@ def reconcile_wide(
         for name in template.field_names])
 
 
+def unexpected_notes(candidates: Column, template: Template) -> Column:
+    """Document notes on the candidates of a row's array whose field the template does not define, in their order."""
+    stray = F.filter(candidates, lambda c: ~F.coalesce(c["field_name"].isin(template.field_names), F.lit(False)))
+    return F.transform(stray, lambda c: F.concat(F.lit("Provider returned unexpected field '"), F.coalesce(c["field_name"], F.lit("None")), F.lit("'.")))
+
+
+def candidates_of(candidates: Column, field_name: str) -> Column:
+    return F.filter(candidates, lambda c: c["field_name"] == field_name)
+
+
+def reconcile_in_rows(docs: DataFrame, candidates: Mapping[str, Column], others: Sequence[str]) -> DataFrame:
+    """`reconcile_wide` for documents that hold all their candidates: others, and a struct column per field of candidates.
+
+    candidates: by field, an array column of structs with the candidate columns and seq. The best one is picked inside the row,
+    so nothing is shuffled; how large a row may get is bounded by one document's chunks.
+    """
+    def ranked(c: Column) -> Column:
+        return F.struct(_rank(lambda name: c[name]).alias("rank"), F.struct(*[c[name].alias(name) for name in CANDIDATE_COLUMNS]).alias("candidate"))
+
+    gathered = docs.select(*others, *[c.alias(f"_all_{name}") for name, c in candidates.items()])
+    picked = gathered.select(*others, *[
+        part for name in candidates for part in (
+            F.array_max(F.transform(F.col(f"_all_{name}"), ranked)).alias(f"_best_{name}"),
+            F.coalesce(F.size(f"_all_{name}"), F.lit(0)).cast("int").alias(f"_n_{name}"))])
+    return picked.select(*others, *[_settled(F.col(f"_best_{name}.candidate"), F.col(f"_n_{name}")).alias(name) for name in candidates])
+
+
 def rule_extract_wide(docs: DataFrame, template: Template, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """`rule_extract` and `reconcile_wide` for unchunked documents: one candidate per field, no shuffle."""
     hits = rule_hits(docs, template, keys)

@@ -1,17 +1,18 @@
 """Personal-data redaction: detect entity spans, merge them, mask the text, count, clear results.
 
 A document and its spans stay in one row from detection to masking, so redacting is row-local: nothing
-is shuffled, and a document with very many spans loads only its own row.
+is shuffled, and a document with very many spans loads only its own row. Finding, merging and masking go over Arrow batches
+(`functions/spans.py`) in time that grows with the text and the number of its spans.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from docweft.functions import text as tx
+from docweft.functions import spans as sp, text as tx
 from docweft.schema import null_value
 
 # ---- fixed values -------------------------------------------------------------------------------
@@ -41,40 +42,31 @@ SPREADSHEET_UNSUPPORTED = (
     "documents are not yet supported for that path. Use a local provider or export the sheet to PDF."
 )
 SPREADSHEET_PATTERN = r"(?i)\.(csv|xlsx|xls)\z"
-SPAN_ARRAY = "array<struct<start:int,end:int,entity_type:string>>"
-
-
-def match_spans(text: Column, pattern: str, entity_type: str) -> Column:
-    """Array of (start, end, entity_type) for every match of one pattern, in text order."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN_ARRAY).alias("spans"))
-
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(entity_type).alias("entity_type"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
-
-    # The cheap test comes first: most documents hold no entity of a given type.
-    return F.when(F.regexp_like(text, F.lit(pattern)),
-                  F.aggregate(pairs, empty, step, lambda state: state["spans"])).otherwise(F.array().cast(SPAN_ARRAY))
+SPREADSHEET_NOT_REDACTED = (
+    "This deployment requires redaction before external provider processing, and spreadsheet "
+    "documents are not yet supported by the Presidio redaction flow."
+)
+UNREDACTED_PATTERN = r"(?i)\.(csv|xlsx)\z"
+#: What a text must hold for an entity of the type to be in it: this character, or a digit.
+_NEEDED = {"EMAIL_ADDRESS": "@"}
 
 
-def entity_spans(text: Column, types: Sequence[str]) -> Column:
+def _patterns(types: Sequence[str]) -> dict[str, tuple[str, str]]:
     unknown = [t for t in types if t not in ENTITY_PATTERNS]
     if unknown:
         raise ValueError(f"Unsupported redaction entity type: {unknown[0]}.")
-    if not types:
-        return F.array().cast(SPAN_ARRAY)
-    return F.concat(*[match_spans(text, ENTITY_PATTERNS[t], t) for t in types])
+    return {t: (_NEEDED.get(t, "digit"), ENTITY_PATTERNS[t]) for t in types}
+
+
+def entity_spans(text: Column, types: Sequence[str]) -> Column:
+    """Array of (start, end, entity_type) of every match of the types' patterns; empty for a null text."""
+    return sp.spans_of(text, _patterns(types)) if types else F.array().cast(sp.SPAN_ARRAY)
 
 
 def detect_entities(docs: DataFrame, types: Sequence[str] = tuple(ENTITY_PATTERNS), text: str = "text") -> DataFrame:
     """One row per entity span: the document's columns without its text, start, end, entity type."""
     others = [c for c in docs.columns if c != text]
-    return docs.select(*others, F.explode(entity_spans(F.col(text), types)).alias("_s")).select(
+    return docs.select(*others, entity_spans(F.col(text), types).alias("_spans")).select(*others, F.explode("_spans").alias("_s")).select(
         *others, F.col("_s.start").alias("char_start"), F.col("_s.end").alias("char_end"),
         F.col("_s.entity_type").alias("entity_type"))
 
@@ -98,39 +90,20 @@ def merge_spans(spans: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFram
 
 def merged(spans: Column) -> Column:
     """`merge_spans` on the span array of one row."""
-    ranked = F.transform(spans, lambda s: F.struct(
-        s["start"].alias("start"), (-s["end"]).alias("rank"), s["entity_type"].alias("entity_type"), s["end"].alias("end")))
-
-    def step(done: Column, s: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        span = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"))
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"),
-                         last["entity_type"].alias("entity_type"))
-        joins = F.coalesce(s["start"] <= last["end"], F.lit(False))
-        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(
-            F.concat(done, F.array(span)))
-
-    return F.aggregate(F.array_sort(ranked), F.array().cast(SPAN_ARRAY), step)
+    return sp.merged_spans(spans)
 
 
-def mask(text: Column, spans: Column) -> Column:
-    """Replace every non-blank character inside disjoint, ordered spans by `*`; the length is kept."""
-    ends = F.transform(spans, lambda s: s["end"])
-    pieces = F.transform(spans, lambda s, i: F.concat(
-        tx.slice_text(text, F.when(i == 0, 0).otherwise(F.coalesce(F.get(ends, i - 1), F.lit(0))), s["start"]),
-        F.regexp_replace(tx.slice_text(text, s["start"], s["end"]), tx.NON_BLANK_CLASS, MASK_CHAR)))
-    tail = tx.slice_text(text, F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0)), F.length(text))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(pieces, ""), tail))
+def redaction_note(spans: Column) -> Column:
+    n_types = F.size(F.array_distinct(F.transform(spans, lambda s: s["entity_type"])))
+    return F.concat(F.lit("External provider text redaction applied for "), F.size(spans).cast("string"),
+                    F.lit(" spans across "), n_types.cast("string"), F.lit(" entity types."))
 
 
 def redact(docs: DataFrame, types: Sequence[str] = tuple(ENTITY_PATTERNS), text: str = "text") -> DataFrame:
     """Masked text plus the merged spans of every document, without any shuffle."""
-    spans = docs.withColumn("spans", merged(entity_spans(F.col(text), types)))
-    masked = spans.withColumn(text, mask(F.col(text), F.col("spans")))
-    n_types = F.size(F.array_distinct(F.transform("spans", lambda s: s["entity_type"])))
-    note = F.concat(F.lit("External provider text redaction applied for "), F.size("spans").cast("string"),
-                    F.lit(" spans across "), n_types.cast("string"), F.lit(" entity types."))
-    return masked.withColumn("span_count", F.size("spans")).withColumn("redaction_note", note)
+    found = docs.withColumn("_redacted", sp.redacted(F.col(text), _patterns(types), MASK_CHAR))
+    return found.withColumns({text: F.col("_redacted.text"), "spans": F.col("_redacted.spans")}).drop("_redacted").withColumns({
+        "span_count": F.size("spans"), "redaction_note": redaction_note(F.col("spans"))})
 
 
 def mask_spans(docs: DataFrame, spans: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -138,8 +111,7 @@ def mask_spans(docs: DataFrame, spans: DataFrame, keys: Sequence[str] = ("doc_id
     packed = spans.groupBy(*keys).agg(F.collect_list(F.struct(
         F.col("char_start").alias("start"), F.col("char_end").alias("end"), "entity_type")).alias("_spans"))
     joined = docs.join(packed, list(keys), "left")
-    flat = merged(F.coalesce("_spans", F.array().cast(SPAN_ARRAY)))
-    return joined.withColumn("text", mask(F.col("text"), flat)).drop("_spans")
+    return joined.withColumn("text", sp.masked_by(F.col("text"), F.col("_spans"), MASK_CHAR)).drop("_spans")
 
 
 def redaction_counts(spans: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -152,16 +124,21 @@ def redaction_counts(spans: DataFrame, keys: Sequence[str] = ("doc_id",)) -> Dat
         F.lit(" spans across "), kinds.cast("string"), F.lit(" entity types.")))
 
 
+def cleared(of: Callable[[str], Column]) -> dict[str, Column]:
+    """What becomes of a candidate whose evidence or value holds a mask character: its value is cleared and flagged. of: a member by name."""
+    masked = F.coalesce(F.contains(of("source_text"), F.lit(MASK_CHAR)), F.lit(False)) | F.coalesce(
+        F.contains(of("extracted_value"), F.lit(MASK_CHAR)), F.lit(False))
+    return {
+        "extracted_value": F.when(~masked, of("extracted_value")),
+        "normalized_value": F.when(masked, null_value()).otherwise(of("normalized_value")),
+        "requires_review": masked | of("requires_review"),
+        "notes": F.when(masked, tx.append_note(of("notes"), F.lit(CLEARED_NOTE))).otherwise(of("notes")),
+    }
+
+
 def clear_redacted_results(candidates: DataFrame) -> DataFrame:
     """Null the values of candidates whose evidence or value holds a mask character, and flag them."""
-    masked = F.coalesce(F.contains("source_text", F.lit(MASK_CHAR)), F.lit(False)) | F.coalesce(
-        F.contains("extracted_value", F.lit(MASK_CHAR)), F.lit(False))
-    return candidates.withColumns({
-        "extracted_value": F.when(~masked, F.col("extracted_value")),
-        "normalized_value": F.when(masked, null_value()).otherwise(F.col("normalized_value")),
-        "requires_review": masked | F.col("requires_review"),
-        "notes": F.when(masked, tx.append_note(F.col("notes"), F.lit(CLEARED_NOTE))).otherwise(F.col("notes")),
-    })
+    return candidates.withColumns(cleared(F.col))
 
 
 def external_processing_policy(

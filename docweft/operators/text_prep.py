@@ -6,10 +6,9 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from docweft.functions import text as tx
+from docweft.functions import spans as sp, text as tx
 from docweft.schema import Template
 
 # ---- fixed values -------------------------------------------------------------------------------
@@ -97,22 +96,6 @@ def html_to_text(pages: DataFrame, threshold: int = MEANINGFUL_THRESHOLD, html:
     return texts.filter(tx.visible_length(F.col("text")) >= threshold)
 
 
-def _chunks(body: str, size: int, overlap: int) -> list[dict]:
-    """Windows of a stripped text; each looks only at its own characters, so the work grows with the chunks' total length."""
-    if size <= 0 or len(body) <= size:
-        return [{"start": 0, "end": len(body), "chunk": body}]
-    found, start = [], 0
-    while True:
-        end = min(start + size, len(body))
-        if end < len(body):
-            last = max(body.rfind("\n", start, end), body.rfind(" ", start, end))
-            end = last if last > start + size // 2 else end
-        found.append({"start": start, "end": end, "chunk": body[start:end]})
-        if end >= len(body):
-            return found
-        start = max(end - overlap, start + 1)
-
-
 def chunk_text(docs: DataFrame, chunk_size: int, overlap: int = DEFAULT_OVERLAP, text: str = "text") -> DataFrame:
     """One row per overlapping chunk of every document; a blank document yields one empty chunk.
 
@@ -121,17 +104,9 @@ def chunk_text(docs: DataFrame, chunk_size: int, overlap: int = DEFAULT_OVERLAP,
     Adds `chunk_index` (1-based), `n_chunks`, `chunk_start`, `chunk_end` and replaces the text by `chunk`.
     Offsets refer to the stripped text. Entirely row-local: no shuffle.
     """
-    @F.pandas_udf("array<struct<start:int,end:int,chunk:string>>")
-    def cut(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda body: None if body is None else _chunks(body, chunk_size, overlap))
-
-    stripped = docs.withColumn(text, tx.strip(F.col(text)))
-    body = F.col(text)
-    pieces = F.transform(cut(body), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), tx.strip(s["chunk"]).alias("chunk")))
-    kept = F.filter(pieces, lambda p: (p["chunk"] != "") | (body == ""))
     others = [c for c in docs.columns if c != text]
     return (
-        stripped.select(*others, kept.alias("_chunks"))
+        docs.select(*others, sp.chunks_of(tx.strip(F.col(text)), chunk_size, overlap).alias("_chunks"))
         .select(*others, F.size("_chunks").alias("n_chunks"), F.posexplode("_chunks").alias("_pos", "_c"))
         .select(*others, (F.col("_pos") + 1).alias("chunk_index"), "n_chunks",
                 F.col("_c.start").alias("chunk_start"), F.col("_c.end").alias("chunk_end"),
@@ -157,45 +132,28 @@ def reject_oversized(docs: DataFrame, max_chars: int | None, text: str = "text")
     )
 
 
-def page_markers(text: Column) -> Column:
-    """Array of (pos, page) for every `[Page N]` marker, in text order."""
-    pages = F.regexp_extract_all(text, F.lit(tx.PAGE_MARKER), F.lit(1))
-    gaps = F.split(text, tx.PAGE_MARKER, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,page:int>>").alias("found"))
-
-    def step(state: Column, item: Column) -> Column:
-        pos = state["at"] + F.length(item["gap"])
-        marker = F.struct(pos.alias("pos"), item["page"].cast("int").alias("page"))
-        return F.struct((pos + F.length(item["page"]) + 7).alias("at"),
-                        F.concat(state["found"], F.array(marker)).alias("found"))
-
-    items = F.arrays_zip(F.slice(gaps, 1, F.size(pages)).alias("gap"), pages.alias("page"))
-    found = F.aggregate(items, empty, step, lambda state: state["found"])
-    return F.when(F.size(pages) > 0, found).otherwise(F.array().cast("array<struct<pos:int,page:int>>"))
-
-
-def page_at(markers: Column, start: Column) -> Column:
-    """Page of the last marker that begins at or before `start`; null when there is none."""
-    before = F.filter(markers, lambda m: m["pos"] <= start)
-    return F.when(start.isNotNull(), F.get(before, F.size(before) - 1)["page"])
-
-
 def page_reference(page: Column) -> Column:
     return F.when(page.isNull(), "").otherwise(F.concat(F.lit("Page "), page.cast("string")))
 
 
 def page_of_offset(spans: DataFrame, docs: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Add `page_number` and `location_reference` to spans.
+    """Add `page_number` and `location_reference` to spans: the page of the last marker at or before `char_start`.
 
-    The documents are reduced to their marker positions before the join, so no text is shuffled.
+    Markers and spans of a document become one sequence in order of position, along which the last marker is carried: one sort,
+    however many there are of either. The documents are reduced to their markers first, so no text is shuffled. Spans
+    with a null key or start, or before the first marker, have no page.
     """
-    markers = docs.select(*keys, page_markers(F.col("text")).alias("_markers"))
-    page = page_at(F.col("_markers"), F.col("char_start"))
+    found = docs.select(*keys, sp.markers_of(F.col("text")).alias("_markers")).select(*keys, F.explode("_markers").alias("_m"))
+    marks = found.select(*keys, F.col("_m.pos").alias("_at"), F.col("_m.page").alias("_page"), F.lit(0).alias("_span"))
+    for key in keys:
+        marks = marks.filter(F.col(key).isNotNull())
+    stream = spans.withColumns({"_at": F.col("char_start"), "_span": F.lit(1)}).unionByName(marks, allowMissingColumns=True)
+    before = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_at"), "_span").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        spans.join(markers, list(keys), "left")
-        .withColumn("page_number", page)
+        stream.withColumn("page_number", F.last("_page", ignorenulls=True).over(before))
+        .filter("_span = 1")
         .withColumn("location_reference", page_reference(F.col("page_number")))
-        .drop("_markers")
+        .select(*spans.columns, "page_number", "location_reference")
     )
 
 

@@ -13,6 +13,8 @@ from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import Column, functions as F
 
+from docweft.functions.formula_terms import FormulaError, names_in
+
 # ---- fixed values -------------------------------------------------------------------------------
 TEXT_TYPES = ("text", "paragraph", "category", "citation_backed_answer")
 LIST_TYPES = ("list", "multi_select")
@@ -75,7 +77,7 @@ class FieldDef:
 
 @dataclass(frozen=True)
 class CalcDef:
-    """A calculated field. `formula` is a Spark SQL expression over the template's fields."""
+    """A calculated field. `formula` is an expression over the template's fields, see `functions/formula_terms.py`."""
 
     name: str
     label: str
@@ -90,8 +92,11 @@ class CalcDef:
     requires_review: bool = False
 
     def references(self, names: Iterable[str]) -> set[str]:
-        """Which of `names` the formula mentions as identifiers."""
-        return set(re.findall(FIELD_NAME, re.sub(NO_FIELD_NAME, " ", self.formula))) & set(names)
+        """Which of `names` the formula mentions as identifiers; of a formula that cannot be read, what looks like one."""
+        try:
+            return names_in(self.formula) & set(names)
+        except FormulaError:
+            return set(re.findall(FIELD_NAME, re.sub(NO_FIELD_NAME, " ", self.formula))) & set(names)
 
 
 @dataclass(frozen=True)
