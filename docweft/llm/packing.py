@@ -1,16 +1,19 @@
 """Packing by cutting-stock column generation.
 
-Pieces of documents are counted by length, in units. A linear program over patterns (how many pieces of each length share one
+Pieces of documents are counted by length. A linear program over patterns (how many pieces of each length share one
 sequence) is solved by column generation: its duals price the lengths, and a knapsack dynamic program finds the pattern that pays
 most. Patterns are used a whole number of times, what is left over is packed best-fit on the counts, and the pieces, ranked within
-their length, take the places of the patterns in order. The driver sees counts of lengths and patterns only, both of bounded number.
+their length, take the places of the patterns in order. Short pieces are first packed by their exact lengths into bundles, in the same
+way, and a bundle then counts as a piece; longer ones are rounded up to units. The driver sees counts of lengths and patterns only, both of
+bounded number.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -19,25 +22,40 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from docweft.llm.shared import ranked_within, text_or_empty, written
+from docweft.llm.shared import numbered, text_or_empty, written
 
 CAPACITY = 4096
-#: Lengths are rounded up to whole units for the patterns.
-UNIT = 16
 END_ID = 2
 #: The linear program is solved to within this share of its bound.
 GAP = 0.001
+#: The first steps of a tokenizer whose pieces can be looked up: composed, white space to blanks, lower case; then cut by this pattern, then bytes.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same pattern for texts that are composed, made of Latin letters without special case rules, digits, plain marks and white space.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
+_MARKS = "!-/:-@\\[-`{-~\u2013\u2014\u2018-\u201e\u2026\u20ac\u00a1\u00a7\u00ab\u00bb\u00bf"
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
 _WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-_MARKS = ".,;:!?*#$%&|"
-_WORDS_MOST, _CORES_MOST, _LONGEST = 250_000, 450_000, 40
+#: UTF-8 bytes of such texts but for two ranges of marks, and the few characters among them that have special rules.
+_FINE_BYTES = bytes([*b" \t\n\r\x0b\x0c", *range(33, 127), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5])
+_ODD_BYTES = tuple(c.encode() for c in "\u00d7\u00f7\u0130\u0149\u017f")
+#: Entries of the newer half of a table, and the longest key that is kept.
+_PIECES_MOST, _LONGEST = 250_000, 40
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it can be seen, else one above 255, in order."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class _Encoder:
     """A text's ids as little-endian 32-bit numbers.
 
-    The tokenizer drops white space and joins nothing across it, so a text's ids are those of its words in a row. It also parts
-    letters from the marks after them, so a word's marks are looked up on their own. Both lookups are bounded; new words are
-    encoded together, parted by a special token that no word of theirs holds.
+    The tokenizer cuts a text into pieces and encodes each on its own, so the ids of pieces seen before are looked up, and only new
+    ones go to its model. The table is bounded: when its newer half is full, the older one goes. Words of other make than the
+    pieces' pattern covers, and texts for a tokenizer with other first steps, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -45,44 +63,66 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = min(self.tokenizer.get_added_tokens_decoder().items())
-        self.special_id, self.special = special[0], special[1].content
-        self.words, self.cores = {}, {}
+        self.model = Tokenizer(self.tokenizer.model)
+        steps = json.loads(self.tokenizer.to_str())
+        normalizers = [n["type"] for n in (steps["normalizer"] or {}).get("normalizers", [])]
+        cuts = (steps["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.known_steps = normalizers == _NORMALIZERS and [c["type"] for c in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": _PATTERN}
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [re.escape(t.decode()) for t in self.special]
+        self.odd = re.compile("|".join([f"[^{_LETTERS}{_MARKS}0-9 \\t\\n\\r\x0b\x0c]", *special]))
+        self.letters = _byte_letters()
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        words = _WORD.findall(text)
-        known = self.words
-        new = {w for w in words if w not in known}
-        if new:
-            if len(known) > _WORDS_MOST:
-                known.clear()
-                new = set(words)
-            known = self._learn(new)
-        return b"".join(map(known.__getitem__, words))
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        parts = {word: _parts(word) for word in new}
-        if len(self.cores) > _CORES_MOST:
-            self.cores.clear()
-        cores = self.cores
-        found = self._encoded([p for p in {p for both in parts.values() for p in both} if p not in cores])
-        cores.update((c, ids) for c, ids in found.items() if len(c) <= _LONGEST)
-        ids = {w: b"".join([found[p] if p in found else cores[p] for p in both]) for w, both in parts.items()}
-        self.words.update((w, v) for w, v in ids.items() if len(w) <= _LONGEST)
-        return self.words if all(len(w) <= _LONGEST for w in ids) else self.words | ids
-
-    def _encoded(self, cores: list[str]) -> dict[str, bytes]:
-        plain = [c for c in cores if self.special not in c]
-        odd = [c for c in cores if self.special in c]
-        found = {c: np.array(e.ids, dtype="<u4").tobytes() for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))}
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([self.special.join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.special_id)
-            data = ids.tobytes()
-            ends = (4 * np.append(cuts, len(ids))).tolist()
-            found.update((c, data[i:j]) for c, i, j in zip(plain, [0, *(4 * (cuts + 1)).tolist()], ends))
+        if not self.known_steps:
+            return self._encoded(self.tokenizer, [text])[0]
+        data = text.encode("utf-8", "surrogatepass")
+        plain = not data.translate(None, _FINE_BYTES) and not any(c in data for c in _ODD_BYTES) and not any(c in data for c in self.special)
+        if plain or not self.odd.search(text):
+            return self._looked_up(text)
+        ids, run = [], []
+        for word in _WORD.findall(text):  # white space joins nothing
+            if self.odd.search(word):
+                if run:
+                    ids.append(self._looked_up(" ".join(run)))
+                    run = []
+                ids += self._encoded(self.tokenizer, [word])
+            else:
+                run.append(word)
+        return b"".join([*ids, self._looked_up(" ".join(run))])
+
+    def _looked_up(self, text: str) -> bytes:
+        pieces = _PIECE.findall(text.lower())
+        ids = list(map(self.pieces.get, pieces))
+        missing, gaps, at = ids.count(None), [], -1
+        if missing:
+            for _ in range(missing):
+                at = ids.index(None, at + 1)
+                gaps.append(at)
+            new = self._learn(dict.fromkeys([pieces[at] for at in gaps]))
+            for at in gaps:
+                ids[at] = new[pieces[at]]
+        return b"".join(ids)
+
+    def _learn(self, new: dict[str, None]) -> dict[str, bytes]:
+        if len(self.pieces) > _PIECES_MOST:
+            self.pieces, self.older = {}, self.pieces
+        older = self.older
+        found = {piece: older[piece] for piece in new if piece in older}
+        unknown = [piece for piece in new if piece not in found] if found else list(new)
+        found.update(zip(unknown, self._encoded(self.model, [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in unknown])))
+        if max(map(len, found)) <= _LONGEST:
+            self.pieces.update(found)
+        else:
+            self.pieces.update((piece, ids) for piece, ids in found.items() if len(piece) <= _LONGEST)
         return found
 
+    @staticmethod
+    def _encoded(tokenizer, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
 
 @cache
 def _encoder(path: str) -> _Encoder:
@@ -90,18 +130,6 @@ def _encoder(path: str) -> _Encoder:
     return _Encoder(path)
 
 
-def _parts(word: str) -> tuple[str, ...]:
-    """The letters of a word and the marks after them, if it is made so; ASCII letters in lower case, as the tokenizer reads them."""
-    core = word.rstrip(_MARKS)
-    # composed and in lower case, as the tokenizer does first, the last letter must still end in a letter
-    if not core or not unicodedata.normalize("NFC", core[-1]).lower().isalpha():
-        return (word,)
-    marks = word[len(core) :]
-    if core.isascii() and core.isalpha():
-        core = core.lower()
-    return (core, marks) if marks else (core,)
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, ids (binary: little-endian 32-bit), doc_tokens: each text's ids and end_id, cut after every `capacity` ids.
 
@@ -130,16 +158,21 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 
 
 def best_pattern(prices: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """The most valuable multiset of sizes that fits: unbounded knapsack over 0..room."""
-    value, choice = np.zeros(room + 1), np.full(room + 1, -1)
-    for space in range(1, room + 1):
-        fits = np.searchsorted(sizes, space, side="right")
-        value[space], choice[space] = value[space - 1], -1
-        if fits:
-            gains = prices[:fits] + value[space - sizes[:fits]]
-            best = int(gains.argmax())
-            if gains[best] > value[space] + 1e-12:
-                value[space], choice[space] = gains[best], best
+    """The most valuable multiset of sizes (ascending) that fits: unbounded knapsack over 0..room.
+
+    The best for a space depends on smaller spaces by the smallest size at least, so that many are worked out at a time.
+    """
+    step, pad = int(sizes[0]), int(sizes[-1])
+    value, choice = np.zeros(pad + room + 1), np.full(room + 1, -1)
+    value[:pad] = -np.inf  # spaces below 0
+    for start in range(step, room + 1, step):
+        spaces = np.arange(start, min(start + step, room + 1))
+        gains = prices + value[pad + spaces[:, None] - sizes]
+        best = gains.argmax(axis=1)
+        gain = gains[np.arange(len(spaces)), best]
+        before = np.maximum.accumulate(np.concatenate([value[pad + start - 1 : pad + start], np.where(np.isfinite(gain), gain, 0)]))
+        better = gain > before[:-1] + 1e-12
+        value[pad + spaces], choice[spaces] = np.where(better, gain, before[:-1]), np.where(better, best, -1)
     pattern, space = np.zeros(len(sizes)), room
     while space > 0:
         if choice[space] < 0:
@@ -147,7 +180,7 @@ def best_pattern(prices: np.ndarray, sizes: np.ndarray, room: int) -> tuple[floa
             continue
         pattern[choice[space]] += 1
         space -= sizes[choice[space]]
-    return float(value[room]), pattern
+    return float(value[pad + room]), pattern
 
 
 def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
@@ -198,45 +231,98 @@ def plan_sequences(counts: dict[int, int], room: int, gap: float = GAP) -> list[
                 plan.append((times, held))
                 for s, n in held.items():
                     left[s] -= times * n
-    open_: list[list[Counter]] = [[] for _ in range(room + 1)]
+    return plan + _best_fit(left, room)
+
+
+def _best_fit(left: dict[int, int], room: int) -> list[tuple[int, dict[int, int]]]:
+    """(times, pieces by size) for what is left: largest first, into the fullest sequences that have room, equal ones counted together."""
+    open_: Counter = Counter()  # (space, pieces) to times
     for size in sorted(left, reverse=True):
-        for _ in range(left[size]):
-            space = next((r for r in range(size, room + 1) if open_[r]), None)
-            held = open_[space].pop() if space is not None else Counter()
-            held[size] += 1
-            open_[(room if space is None else space) - size].append(held)
-    rest = Counter(tuple(sorted(held.items())) for bins in open_ for held in bins)
-    return plan + [(times, dict(held)) for held, times in sorted(rest.items())]
+        n = left[size]
+        while n > 0:
+            fitting = min((key for key in open_ if key[0] >= size), default=None)
+            space, held = fitting or (room, ())
+            times, each = open_.pop(fitting) if fitting else n, min(n, space // size)
+            full = min(times, n // each)
+            open_[space - each * size, (*held, (size, each))] += full
+            n -= full * each
+            if fitting and full < times:
+                open_[fitting] += times - full
+                if n:  # fewer than go into one
+                    open_[fitting] -= 1
+                    open_[space - n * size, (*held, (size, n))] += 1
+                    n = 0
+            open_ = +open_
+    return [(times, dict(held)) for (_, held), times in sorted(open_.items())]
+
+
+def _scales(capacity: int, unit: int | None) -> tuple[int, int, int, int]:
+    """The unit, the first length that is rounded to it, the first that is rounded to two, and the size of a bundle."""
+    unit = max(1, capacity // (512 if capacity >= 2048 else 128)) if unit is None else unit
+    if capacity % (4 * unit):
+        raise ValueError("a quarter of the capacity must be a whole number of units")
+    short = min(8 * unit, capacity // 16) if unit > 1 else 0
+    return unit, short, capacity // 8 if capacity // unit > 256 and unit > 1 else capacity, capacity // 4
+
+
+def plan_places(counts: dict[int, int], capacity: int, unit: int | None = None) -> tuple[tuple, tuple]:
+    """Places for counted pieces: of short ones (by minus their length) in bundles, and of the rest (by units) and of bundles in sequences.
+
+    Each is sorted by (size, rank): the first of each stretch of pieces, what its first piece goes into, and the pieces that go into one.
+    Bundles have a size in units and a rank after the pieces of that size.
+    """
+    unit, _, _, bundle = _scales(capacity, unit)
+    whole = {size: n for size, n in counts.items() if size > 0}
+    rows, next_rank, bundles = [], Counter(), Counter(whole)
+    for times, held in plan_sequences({-size: n for size, n in counts.items() if size < 0}, bundle):
+        units = -(-sum(size * n for size, n in held.items()) // unit)
+        for size, n in held.items():
+            rows.append((_key(size, next_rank[size]), _key(units, bundles[units]), n))
+            next_rank[size] += times * n
+        bundles[units] += times
+    return _columns(rows), _places(plan_sequences(bundles, capacity // unit))
 
 
-def packed(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
+def packed(pieces: DataFrame, capacity: int = CAPACITY, unit: int | None = None) -> DataFrame:
     """pieces (doc_id, start, length of 1 to capacity, any more columns) with sequence_id and offset, gapless from 0.
 
     Repeated rows are pieces of their own. Nothing is cut further and nothing left out. Lengths, ids and the columns given are
     shuffled, so leave long columns out. An empty table gives an empty result. The result does not depend on how rows are
-    partitioned.
+    partitioned, except that rows equal in doc_id, start and length may change places.
     """
     spark = pieces.sparkSession
-    if capacity % unit:
-        raise ValueError("the capacity must be a whole number of units")
-    table = written(pieces.withColumns({"size": F.ceil(F.col("length") / unit).cast("int"), "hash": F.xxhash64("doc_id", "start", "length")}), "pieces")
+    unit_, short, coarse, _ = _scales(capacity, unit)
+    length = F.col("length")
+    rounded = F.when(length < short, -length).when(length <= coarse, F.ceil(length / unit_)).otherwise(2 * F.ceil(length / (2 * unit_)))
+    table = written(pieces.withColumns({"size": rounded.cast("int"), "hash": F.xxhash64("doc_id", "start", "length")}), "pieces")
     counts = {row["size"]: row["n"] for row in table.groupBy("size").agg(F.count("*").alias("n")).collect()}
-    firsts, starts, slots = _places(plan_sequences(counts, capacity // unit))
-    shared = spark.sparkContext.broadcast((firsts, starts, slots))
+    shared = spark.sparkContext.broadcast(plan_places(counts, capacity, unit))
 
     def sequence(size: pd.Series, rank: pd.Series) -> pd.Series:
-        firsts, starts, slots = shared.value
-        key = (size.to_numpy(np.int64) << _RANK_BITS) + rank.to_numpy(np.int64)
-        at = np.searchsorted(firsts, key, side="right") - 1
-        return pd.Series(starts[at] + (key - firsts[at]) // slots[at])
+        small, large = shared.value
+        sizes, ranks = size.to_numpy(np.int64), rank.to_numpy(np.int64)
+        key = _key(np.abs(sizes), ranks)
+        key[sizes < 0] = _found(small, key[sizes < 0])
+        return pd.Series(_found(large, key))
 
-    ranked = ranked_within(table, "size", "hash", ["doc_id", "start", "length"], sum(counts.values()))
+    ranked = numbered(table, "size", ["hash"]).withColumnRenamed("idx", "rank")
     placed = ranked.withColumn("sequence_id", F.pandas_udf(sequence, "long")("size", "rank"))
     before = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "rank").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select(*pieces.columns, "sequence_id", "offset")
 
 
-_RANK_BITS = 48
+def _key(size, rank):
+    return (size << 48) + rank
+
+
+def _found(stretches: tuple[np.ndarray, np.ndarray, np.ndarray], key: np.ndarray) -> np.ndarray:
+    firsts, starts, slots = stretches
+    at = np.searchsorted(firsts, key, side="right") - 1
+    return starts[at] + (key - firsts[at]) // slots[at]
+
+
+def _columns(rows: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.array(column, dtype=np.int64) for column in zip(*sorted(rows))) if rows else (np.zeros(1, dtype=np.int64),) * 3
 
 
 def _places(plan: list[tuple[int, dict[int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,11 +330,10 @@ def _places(plan: list[tuple[int, dict[int, int]]]) -> tuple[np.ndarray, np.ndar
     rows, next_rank, next_sequence = [], Counter(), 0
     for times, held in plan:
         for size, n in held.items():
-            rows.append(((size << _RANK_BITS) + next_rank[size], next_sequence, n))
+            rows.append((_key(size, next_rank[size]), next_sequence, n))
             next_rank[size] += times * n
         next_sequence += times
-    first, start, slots = (np.array(column, dtype=np.int64) for column in zip(*sorted(rows))) if rows else (np.zeros(1, dtype=np.int64),) * 3
-    return first, start, slots
+    return _columns(rows)
 
 
 def packed_sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:

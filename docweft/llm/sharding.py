@@ -3,15 +3,15 @@
 Rows are ranked within their source in a seeded order; (rank + 1/2) / rows of the source is a row's fractional rank. In the order
 of that rank every stretch of rows holds the sources in their overall proportion, so equal stretches make the shards.
 
-All ranks come from counts over ordered buckets (leading bits of the hash, then stretches of the fractional rank) and row numbers
-inside a bucket. Buckets of a hash are even however large a source is, so no task sees a whole source.
+All ranks come from counts over ordered buckets (ranges of source and hash, then stretches of the fractional rank) and row numbers
+inside a bucket. Ranges cut through a large source and through repeated rows, so no task sees a whole source.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from docweft.llm.shared import buckets_for, ranked_within, rows_before, text_or_empty, written
+from docweft.llm.shared import buckets_for, numbered, rows_before, text_or_empty, written
 
 
 def document_size() -> Column:
@@ -27,13 +27,13 @@ def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 7) -> DataFrame:
     and source is read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    crc = F.crc32(text_or_empty())
+    crc, size = F.crc32(text_or_empty()), document_size()
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), crc.cast("string"), size.cast("string")))
     rows = written(docs.select(
-        "doc_id", "source", document_size().alias("size"), crc.alias("text_crc32"),
-        F.xxhash64(F.lit(seed), "doc_id", crc, F.octet_length("text")).alias("hash")), "shard-rows")
+        "doc_id", "source", size.alias("size"), crc.alias("text_crc32"), F.substring(mark, 1, 16).alias("hash"),
+        F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("stratum")), "shard-rows")
     total = rows.count()
-    keyed = rows.withColumn("stratum", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
-    ranks = ranked_within(keyed, "stratum", "hash", ["doc_id", "text_crc32", "size"], total)
+    ranks = numbered(rows, "stratum", ["hash", "doc_id", "text_crc32", "size"]).withColumnRenamed("idx", "rank")
     ranked = written(ranks.withColumn("fraction", (F.col("rank") + 0.5) / F.col("of")).drop("hash", "of"), "ranked")
 
     buckets = buckets_for(spark, total)

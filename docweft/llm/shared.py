@@ -75,20 +75,27 @@ def buckets_for(spark: SparkSession, rows: int, most: int = 100_000) -> int:
 def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of docs that decisions (doc_id, text_key, kept: one row per row of docs) keep.
 
-    Of rows equal in doc_id and text, as many as are kept stay when that is none, all or one. Texts meet only the short
-    list of dropped rows: Spark broadcasts it if its written size allows, else shuffles.
+    Of rows equal in doc_id and text, as many stay as are kept. Texts meet only the short
+    list of dropped rows: Spark broadcasts it if its written size allows, else shuffles. Repeated rows of which several but not all stay
+    are written and numbered on their keys, in ranges, however many there are.
     """
     row = written(decisions.groupBy("doc_id", "text_key").agg(
         F.count("*").alias("rows"), F.sum(F.col("kept").cast("long")).alias("stay")).filter("stay < rows"), "decisions")
     keyed = docs.withColumn("__key", text_key())
 
-    def meets(side: DataFrame, how: str) -> DataFrame:
-        side = side.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"))
-        return keyed.join(side, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text")), how)
-
-    kept, partly = meets(row, "left_anti"), row.filter("stay > 0")
-    if not partly.isEmpty():
-        kept = kept.unionByName(meets(partly, "left_semi").dropDuplicates(["doc_id", "__key"]))
+    def meets(rows: DataFrame, side: DataFrame, how: str, *more: str) -> DataFrame:
+        side = side.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), *more)
+        return rows.join(side, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text")), how)
+
+    kept, one, several = meets(keyed, row, "left_anti"), row.filter("stay = 1"), row.filter("stay > 1")
+    if not one.isEmpty():
+        kept = kept.unionByName(meets(keyed, one, "left_semi").dropDuplicates(["doc_id", "__key"]))
+    if not several.isEmpty():
+        some = written(meets(keyed, several, "left_semi").withColumn("__at", F.monotonically_increasing_id()), "repeated")
+        group = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("__key").cast("string"))
+        numbers = numbered(written(some.select("doc_id", "__key", "__at", group.alias("__group")), "numbers"), "__group", [])
+        first = meets(numbers, several, "inner", F.col("stay").alias("__stay")).filter("idx < __stay").select("__at")
+        kept = kept.unionByName(some.join(first, "__at", "left_semi").drop("__at"))
     return kept.drop("__key")
 
 
@@ -98,23 +105,6 @@ def rows_before(counts: DataFrame, bucket: str, *within: str) -> DataFrame:
     return counts.withColumn("before", F.coalesce(F.sum("rows").over(along), F.lit(0)))
 
 
-def ranked_within(rows: DataFrame, group: str, order: str, ties: list[str], total: int) -> DataFrame:
-    """rows (a written table) with rank (0, 1, ... in each group by `order`, an evenly spread hash, then ties) and of (the group's rows).
-
-    Row numbers are taken inside buckets of the hash's leading bits and added to the counts of the buckets before, so a group is
-    dealt evenly to many tasks however large it is.
-    """
-    bits = max(1, (buckets_for(rows.sparkSession, total) - 1).bit_length())
-    # the sign bit is turned so that buckets follow the order of the signed hash
-    turned = F.shiftrightunsigned(F.col(order).bitwiseXOR(F.lit(-(1 << 63))), 64 - bits)
-    bucketed = rows.withColumn("bucket", turned)
-    counts = rows_before(bucketed.groupBy(group, "bucket").agg(F.count("*").alias("rows")), "bucket", group)
-    counts = written(counts.withColumn("of", F.sum("rows").over(Window.partitionBy(group))), "counts").drop("rows")
-    number = F.row_number().over(Window.partitionBy(group, "bucket").orderBy(order, *ties))
-    joined = bucketed.withColumn("number", number).join(counts, [group, "bucket"])
-    return joined.withColumn("rank", F.col("before") + F.col("number") - 1).drop("bucket", "number", "before")
-
-
 def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     """rows (a written table) with idx (0, 1, ... in each group by `order`, nulls first) and of (the group's rows).
 
@@ -123,12 +113,12 @@ def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     """
     ranges = buckets_for(rows.sparkSession, rows.count())
     at = F.monotonically_increasing_id()
-    cut = written(rows.withColumn("__at", at).repartitionByRange(ranges, group, *order, "__at").withColumn("__range", F.spark_partition_id()), "ranges")
+    cut = written(rows.withColumn("__row", at).repartitionByRange(ranges, group, *order, "__row").withColumn("__range", F.spark_partition_id()), "ranges")
     counts = rows_before(cut.groupBy(group, "__range").agg(F.count("*").alias("rows")), "__range", group)
     counts = written(counts.withColumn("of", F.sum("rows").over(Window.partitionBy(group))), "counts").drop("rows")
-    number = F.row_number().over(Window.partitionBy(group, "__range").orderBy(*order, "__at"))
+    number = F.row_number().over(Window.partitionBy(group, "__range").orderBy(*order, "__row"))
     joined = cut.withColumn("__number", number).join(counts, [group, "__range"])
-    return joined.withColumn("idx", F.col("before") + F.col("__number") - 1).drop("__at", "__range", "__number", "before")
+    return joined.withColumn("idx", F.col("before") + F.col("__number") - 1).drop("__row", "__range", "__number", "before")
 
 
 def heavy_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
