@@ -76,3 +76,9 @@ def read_turns(formatted: Column) -> Column:
 def loss_text(segments: Column) -> Column:
     """All text under the loss mask, without its escapes, in order."""
     return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescaped(s["text"])), "")
+
+
+def loss_read(formatted: Column, loss_roles: Sequence[str] = ("assistant",)) -> Column:
+    """The same text read back from a formatted text alone: its mask covers what stands between the marks in blocks of loss_roles."""
+    own = F.filter(read_turns(formatted), lambda t: t["role"].isin(list(loss_roles)))
+    return F.array_join(F.transform(own, lambda t: t["text"]), "")

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from docweft.llm.shared import buckets_for, text_or_empty, written
+from docweft.llm.shared import buckets_for, small_batches, text_or_empty, written
 
 WINDOW = 7
 MOST_SYMBOLS = 64
@@ -24,7 +24,6 @@ MOST_RUN = 3
 SYMBOLS = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
 #: Random numbers for the 256 bytes, by a fixed seed.
 _BYTES = np.random.default_rng(20240101).integers(1, 1 << 32, 256, dtype=np.uint32)
-_CELLS = 16_384
 
 
 def _rolling(data: np.ndarray) -> np.ndarray:
@@ -121,53 +120,67 @@ def fingerprinted(docs: DataFrame, column: str = "text") -> DataFrame:
     return docs.withColumn("fingerprint", F.pandas_udf(make, "string")(text_or_empty(column)))
 
 
-def _with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, bucket, ahead: every bucket's rows and, ahead, the row that follows its last one in descending doc_id.
+def _in_order(docs: DataFrame) -> DataFrame:
+    """doc_id, text, part: rows in descending doc_id (null last), those of one id by a hash of the text, dealt to ranges of about equal size.
 
-    Buckets are ranges of doc_id with about equal row counts, made of _CELLS equal stretches of the id range. Two short tables
-    are broadcast: the cells, and the first id of each bucket.
+    Part is the range's number. Ranges are cut at quantiles that Spark finds and cut through repeated rows too.
     """
-    spark = docs.sparkSession
-    lo, hi, rows = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = ((hi - lo) if rows and lo is not None else 0) // _CELLS + 1
-    offset = F.col("doc_id").cast("decimal(20,0)") - F.lit(lo or 0).cast("decimal(20,0)")
-    placed = docs.select("doc_id", text_or_empty().alias("text")).withColumn("cell", F.coalesce(F.floor(offset / width).cast("int"), F.lit(-1)))
-    per = max(1, -(-rows // buckets_for(spark, rows, 20_000)))
-    counts = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("doc_id").alias("most"))
-    cells = written(counts.withColumn("bucket", F.floor((F.sum("n").over(Window.orderBy("cell")) - 1) / per)), "cells")
-    order = Window.orderBy("bucket")
-    heads = cells.groupBy("bucket").agg(F.max("most").alias("head")).withColumn("to", F.lead("bucket").over(order)).withColumn(
-        "to", F.coalesce("to", F.first("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    known = placed.join(F.broadcast(cells.select("cell", "bucket")), "cell").join(F.broadcast(heads), "bucket")
-    own = F.struct("bucket", F.lit(False).alias("ahead"))
-    also = F.struct(F.col("to").alias("bucket"), F.lit(True).alias("ahead"))
-    goes = F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(own, also)).otherwise(F.array(own))
-    dealt = known.select("doc_id", "text", F.explode(goes).alias("g")).select("doc_id", "text", "g.bucket", "g.ahead")
-    return dealt.repartition(buckets_for(spark, rows, 20_000), "bucket").sortWithinPartitions("bucket", "ahead", F.desc_nulls_last("doc_id"), "text")
+    rows = docs.select("doc_id", text_or_empty().alias("text"))
+    keyed = rows.withColumns({"__hash": F.xxhash64("text"), "__at": F.monotonically_increasing_id()})
+    order = [F.desc_nulls_last("doc_id"), F.col("__hash"), F.col("__at")]
+    dealt = keyed.repartitionByRange(buckets_for(docs.sparkSession, docs.count(), 20_000), *order).sortWithinPartitions(*order)
+    return dealt.select("doc_id", "text", F.spark_partition_id().alias("part"))
 
 
 def edited_fingerprints(docs: DataFrame, share: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last n_chars // share code points replaced by the first as many of the next text (all, if it is
-    shorter) in descending doc_id, null last and rows of one id by text; after the last comes the first. Null text counts as
-    empty. A single row is its own next. Texts are shuffled once, into ranges of doc_id that are gone through in order.
+    shorter) in descending doc_id, null last and rows of one id by a hash of the text; after the last comes the first. Null text counts as
+    empty. A single row is its own next. Texts are shuffled once, into ranges of doc_id that are gone through in order; a range's
+    first row is carried over to the last row of the range before.
     """
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # doc_id, text, fingerprint, bucket of a row that waits for the next one
+        held = part = None  # doc_id, text, fingerprint of the row that waits for the next one
         for batch in batches:
             out = []
-            for doc_id, text, bucket, ahead in zip(batch["doc_id"], batch["text"], batch["bucket"], batch["ahead"]):
-                waits = held is not None and held[3] == bucket
-                if ahead and not waits:
-                    continue
+            for doc_id, text, part in zip(batch["doc_id"], batch["text"], batch["part"]):
                 own = fingerprint(text)
-                if waits:
-                    out.append(_compared(*held[:3], text, own, share))
-                held = None if ahead else (doc_id, text, own, bucket)
-            yield pd.DataFrame(out, columns=_COLUMNS).astype({"doc_id": "Int64"})
+                if held is None:
+                    out.append((doc_id, *[None] * 6, part, text, False))
+                else:
+                    out.append((*_compared(*held, text, own, share), part, None, None))
+                held = doc_id, text, own
+            yield _framed(out)
+        if held:
+            yield _framed([(held[0], *[None] * 6, part, held[1], True)])
+
+    with small_batches(docs.sparkSession):
+        made = written(_in_order(docs).mapInPandas(compare, f"{_DDL}, part int, text string, last boolean"), "fingerprints")
+    inside = made.filter("last IS NULL").drop("part", "text", "last")
+    heads = made.filter("last = false").select(F.col("part").alias("to"), F.col("text").alias("after"))
+    tails = made.filter("last").select("doc_id", "part", "text")
+    return inside.unionByName(_over_the_edges(tails, heads, share))
+
+
+def _over_the_edges(tails: DataFrame, heads: DataFrame, share: int) -> DataFrame:
+    """The rows of edited_fingerprints for the last row of each range; the range after the last is the first."""
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = zip(batch["doc_id"], batch["text"], batch["after"])
+            yield _framed([(*_compared(doc_id, text, fingerprint(text), after, fingerprint(after), share), None, None, None) for doc_id, text, after in rows])[_COLUMNS]
+
+    # two columns of integers, one row for each range
+    order = Window.orderBy("to")
+    ranges = heads.select("to").withColumn("part", F.lag("to").over(order))
+    last = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    follows = ranges.select("to", F.coalesce("part", last).alias("part"))
+    return tails.join(follows, "part").join(heads, "to").select("doc_id", "text", "after").mapInPandas(compare, _DDL)
+
 
-    return _with_next(docs).mapInPandas(compare, _DDL)
+def _framed(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=[*_COLUMNS, "part", "text", "last"])
+    return frame.astype({"doc_id": "Int64", "n_chars": "Int64", "near_edited": float, "near_next": float, "part": "Int32", "last": "boolean"})
 
 
 _DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -6,7 +6,8 @@
 3. Nodes that share a band are a bucket. Each meets one node of its bucket (a star); pairs whose signatures agree well enough are
    verified by exact weighted Jaccard similarity.
 4. Where a bucket still holds several classes, the nodes outside its largest class meet all others there, in blocks of bounded
-   size; a block verifies likely pairs until they are united and gives only the links that unite classes.
+   size; a block verifies likely pairs until they are united and gives only the links that unite classes. A pair is looked at in
+   the first of the bands it shares, not in each.
 5. Classes are the connected components of the verified links.
 """
 
@@ -19,7 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from docweft.llm.shared import keep_rows, small_batches, text_key, text_or_empty, written
+from docweft.llm.graph import smallest_connected
+from docweft.llm.shared import heavy_keys, join_split, keep_rows, small_batches, text_key, text_or_empty, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -27,8 +29,11 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 #: Pairs are verified if this share of their samples agrees; at a similarity of 0.8 that fails for 4 in 10,000, of 0.85 never.
 LIKELY = 0.65
-_LEFT, _RIGHT = 256, 1024
+_LEFT, _RIGHT = 128, 512
 IDF_BITS = 16
+#: Shingles in this share of the rows or less are all equally rare. The counts of a bucket's other shingles, its usual load, are taken off
+#: first, so that the weight of a shingle depends on its share of the rows alone, however many rows there are.
+RAREST = 1 / 256
 IDF_LEVELS, TF_LEVELS = 8, 8
 _SAMPLES = BANDS * ROWS
 _CHUNK = 1024
@@ -101,9 +106,13 @@ def shingles(words: np.ndarray, width: int = WORDS) -> np.ndarray:
 
 
 def _weights() -> np.ndarray:
-    """Weight of each level (idf level times TF_LEVELS plus tf level): 1 to 2 for rarity, times 1 + log2(tf) / 2."""
+    """Weight of each level (idf level times TF_LEVELS plus tf level): 1 to 1.5 for rarity, times 1 + log2(tf) / 2.
+
+    Shingles of a large group of near copies are common, so rarity may not count for much, or an edit would count for more in a
+    large group than in a small one.
+    """
     idf, tf = np.divmod(np.arange(IDF_LEVELS * TF_LEVELS), TF_LEVELS)
-    return (1 + idf / (IDF_LEVELS - 1)) * (1 + tf / 2)
+    return (1 + idf / (IDF_LEVELS - 1) / 2) * (1 + tf / 2)
 
 
 @cache
@@ -171,7 +180,7 @@ def weighted_samples(own: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def idf_levels(docs: DataFrame) -> np.ndarray:
-    """The level of each hash bucket of shingles, from document counts over all rows: high for the mean load or less, 0 for all documents."""
+    """The level of each hash bucket of shingles, from document counts over all rows."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, rows = np.zeros(1 << IDF_BITS, dtype=np.int64), 0
         for batch in batches:
@@ -188,13 +197,18 @@ def idf_levels(docs: DataFrame) -> np.ndarray:
             rows = max(1, n)
         else:
             counts[bucket] = n
-    usual = max(1.0, counts.mean())
-    rarity = np.log(np.maximum(rows / np.maximum(counts, usual), 1)) / max(np.log(rows / usual), 1e-9) if rows > usual else np.ones(len(counts))
-    return np.rint(np.clip(rarity, 0, 1) * (IDF_LEVELS - 1)).astype(np.uint8)
+    return levels_by_share(counts, rows)
+
+
+def levels_by_share(counts: np.ndarray, rows: int) -> np.ndarray:
+    """Levels from the number of rows that each bucket's shingles occur in: 0 for all rows, the highest for the share RAREST or less."""
+    usual = np.median(counts)
+    share = np.clip((counts - usual) / rows, RAREST, 1)
+    return np.rint(np.log(share) / np.log(RAREST) * (IDF_LEVELS - 1)).astype(np.uint8)
 
 
 def signed_rows(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """Written: row, doc_id, text_key, content (hash of the word sequence), signature (16 bits a sample), bands (none without words)."""
+    """Written: row, doc_id, text_key, content (hash of the word sequence), signature (16 bits a sample), bands (none without words), also as bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -215,9 +229,9 @@ def signed_rows(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 for part in best.reshape(BANDS, ROWS).T:
                     mixed = _mixed(mixed ^ part)
                 bands.append(mixed.astype(np.int64))
-            yield pd.DataFrame({"content": contents, "signature": signatures, "bands": bands})
+            yield pd.DataFrame({"content": contents, "signature": signatures, "bands": bands, "all_bands": [b.astype("<i8").tobytes() for b in bands]})
 
-    sign_udf = F.pandas_udf(sign, "content long, signature binary, bands array<long>")
+    sign_udf = F.pandas_udf(sign, "content long, signature binary, bands array<long>, all_bands binary")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_key().alias("text_key"), sign_udf(text_or_empty()).alias("s"))
     return written(rows.select("row", "doc_id", "text_key", "s.*"), "signatures")
 
@@ -262,23 +276,6 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return written(pairs.join(one, "a").join(other, "b").mapInPandas(compare, "a long, b long, near double"), "links")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """row, class (its smallest row) of all rows in links (a, b). Labels spread along links and then jump to their label's label."""
-    both = written(links.select(F.col("a").alias("row"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("row"), F.col("a").alias("to"))).distinct(), "edges")
-    labels = written(both.groupBy("row").agg(F.least("row", F.min("to")).alias("class")), "labels")
-    while True:
-        to = labels.select(F.col("row").alias("to"), F.col("class").alias("near"))
-        near = both.join(to, "to").groupBy("row").agg(F.min("near").alias("near"))
-        spread = labels.join(near, "row").select("row", F.col("class").alias("old"), F.least("class", "near").alias("class"))
-        spread = written(spread, "spread")
-        jump = spread.select(F.col("row").alias("class"), F.col("class").alias("next"))
-        labels = written(spread.join(jump, "class").select("row", "old", F.least("class", "next").alias("class")), "labels")
-        moved = labels.filter("class < old").isEmpty()
-        labels = labels.drop("old")
-        if moved:
-            return labels
-
-
 def _samples(signatures: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(signatures), dtype="<u2").reshape(len(signatures), _SAMPLES)
 
@@ -296,7 +293,7 @@ def likely_pairs(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 def _blocks(members: DataFrame, classes: DataFrame, more: DataFrame) -> DataFrame:
     """Rows of the buckets that hold several classes, dealt into blocks (band, l, r) of nodes outside the largest class (left) and all nodes.
 
-    members: band, row; more: row and the columns that a block needs. A block has about 256 by 1,024 rows.
+    members: band, row; more: row and the columns that a block needs. A block has about _LEFT by _RIGHT rows.
     """
     labelled = members.join(classes, "row", "left").withColumn("class", F.coalesce("class", "row"))
     sizes = labelled.groupBy("band", "class").agg(F.count("*").alias("n"))
@@ -311,13 +308,15 @@ def _blocks(members: DataFrame, classes: DataFrame, more: DataFrame) -> DataFram
 
 
 def _likely_in(block: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
-    """The block's rows, and by position the pairs of different classes that are likely, with the number of agreeing samples."""
+    """The block's rows, and by position the pairs of different classes that are likely and share no band before this one, with the number of agreeing samples."""
     classes, samples = block["class"].to_numpy(), _samples(block["signature"])
+    bands = np.frombuffer(b"".join(block["all_bands"]), dtype="<i8").reshape(len(block), BANDS)
     left, right = np.flatnonzero(block["left"].to_numpy()), np.flatnonzero(~block["left"].to_numpy())
-    pairs = []
+    here, pairs = (bands == block["band"].to_numpy()[:, None]).argmax(axis=1), []
     for i in left:
         agree = (samples[right] == samples[i]).sum(axis=1)
         met = np.flatnonzero((agree >= LIKELY * _SAMPLES) & (classes[right] != classes[i]))
+        met = met[(bands[right[met]] == bands[i]).argmax(axis=1) == here[i]]
         pairs.append(np.stack([np.full(len(met), i), right[met], agree[met]]))
     i, j, agree = np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), dtype=np.int64)
     return block, i, j, agree
@@ -373,15 +372,15 @@ def _near_duplicates(docs: DataFrame, similarity: float) -> DataFrame:
     star = F.min(F.struct(F.xxhash64("band", "row").alias("mark"), F.col("row").alias("star")))["star"]
     stars = written(banded.groupBy("band").agg(F.count("*").alias("n"), star.alias("star")).filter("n > 1"), "stars")
     members = written(banded.join(stars, "band").select("band", "row", "star"), "members")
-    signatures = rows.select("row", "signature")
+    signatures = rows.select("row", "signature", "all_bands")
     pairs = members.filter("row <> star").select(F.least("row", "star").alias("a"), F.greatest("row", "star").alias("b")).distinct()
     pairs = written(likely_pairs(pairs, signatures), "pairs")
     members, ends = members.select("band", "row"), pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row")))
-    also = _blocks(members, components(pairs), signatures).groupBy("band", "l", "r").applyInPandas(_rows_with_likely, "row long")
+    also = _blocks(members, smallest_connected(pairs), signatures).groupBy("band", "l", "r").applyInPandas(_rows_with_likely, "row long")
     involved = written(ends.unionByName(also).distinct().join(rows.select("row", "doc_id", "text_key"), "row"), "involved")
     sets = written(_sets(docs, involved, levels), "sets")
     links = verified(pairs, sets, similarity)
-    inside = _blocks(members.join(involved.select("row"), "row", "left_semi"), components(links), signatures.join(sets, "row"))
+    inside = _blocks(members.join(involved.select("row"), "row", "left_semi"), smallest_connected(links), signatures.join(sets, "row"))
     uniting = inside.groupBy("band", "l", "r").applyInPandas(_uniting(similarity), "a long, b long, near double").groupBy("a", "b").agg(F.max("near").alias("near"))
     links = links.unionByName(written(uniting, "links"))
     return _classes(rows, copies, links)
@@ -389,12 +388,14 @@ def _near_duplicates(docs: DataFrame, similarity: float) -> DataFrame:
 
 def _classes(rows: DataFrame, copies: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-    of_node = components(links).withColumnRenamed("row", "node").join(ends, "node")
-    known = rows.select("row", "doc_id", "text_key", "content").join(copies, "content", "left").withColumn("node", F.coalesce("node", "row"))
-    known = written(known.join(of_node, "node", "left").select("row", "doc_id", "text_key", F.coalesce("class", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    of_node = smallest_connected(links).withColumnRenamed("row", "node").join(ends, "node")
+    ids, total = rows.select("row", "doc_id", "text_key", "content"), rows.count()
+    nodes = join_split(ids, copies, "content", heavy_keys(ids, "content", total), "left")
+    nodes = written(nodes.select("row", "doc_id", "text_key", F.coalesce("node", "row").alias("node")), "nodes")
+    known = written(join_split(nodes, of_node, "node", heavy_keys(nodes, "node", total), "left").select("row", "doc_id", "text_key", F.coalesce("class", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
     several = known.groupBy("class").agg(first, F.count("*").alias("class_size")).filter("class_size > 1")
-    joined = known.join(several, "class", "left")
+    joined = join_split(known, several, "class", heavy_keys(known, "class", total), "left")
     one = F.col("first").isNull()
     return joined.select(
         "doc_id", F.when(one, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"),

@@ -64,7 +64,7 @@ def chat_formatting_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{said}'), (-1L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
     made = chat.formatted_conversations(table(spark, sf_dir, "conversations").select(*extra.columns).unionByName(extra))
-    read = made.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss"))
+    read = made.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_read(F.col("formatted")).alias("loss"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
@@ -72,7 +72,20 @@ def chat_formatting_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
-@query("op5_sharding")
+#: The crc32 of a text's UTF-8 bytes, byte by byte, with a table made by its rule.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, k: xor(a >> 1, 3988292384 * (a & 1))))"
+_TEXT_CRC32 = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),"
+    " lambda h: CAST('0x' || h AS BIGINT))), lambda a, b: xor(a >> 8, crcs[CAST(xor(a, b) & 255 AS INT) + 1])))")
+
+
+@query("op5_sharding", f"""
+WITH d AS (SELECT doc_id, source, coalesce(octet_length(encode(text)), 0) + 8 AS size, {_TEXT_CRC32} AS crc FROM documents, (SELECT {_CRC_TABLE} AS crcs)),
+  h AS (SELECT *, coalesce('s' || source, '') AS stratum, substr(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || crc || '|' || size), 1, 16) AS hash FROM d),
+  r AS (SELECT *, row_number() OVER w - 1 AS rank, count(*) OVER (PARTITION BY stratum) AS n FROM h WINDOW w AS (PARTITION BY stratum ORDER BY hash, doc_id NULLS FIRST, crc, size)),
+  p AS (SELECT *, row_number() OVER (ORDER BY (rank + 0.5::DOUBLE) / n, stratum, rank) - 1 AS place, count(*) OVER () AS total FROM r),
+  s AS (SELECT *, CAST(place * 24 // total AS INT) AS shard FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM s""")
 def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_rows(table(spark, sf_dir, "documents"), 24)
     return placed.select(
