@@ -87,8 +87,10 @@ def read(formula: str) -> ast.Expression:
 
 
 def names_in(formula: str) -> set[str]:
-    """Names a formula mentions, functions included."""
-    return {node.id for node in ast.walk(read(formula)) if isinstance(node, ast.Name)}
+    """Names a formula mentions, but for those it calls."""
+    nodes = list(ast.walk(read(formula)))
+    called = {id(node.func) for node in nodes if isinstance(node, ast.Call)}
+    return {node.id for node in nodes if isinstance(node, ast.Name) and id(node) not in called}
 
 
 def compiled(formula: str, inputs: Mapping[str, Term]) -> Term:

@@ -9,8 +9,6 @@ calculation, review lists and the result envelope are then row-local.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docweft.functions import text as tx
@@ -329,6 +327,3 @@ def result_struct(field: FieldDef) -> Column:
         r["requires_review"].alias("requires_review"),
     )
 
-
-def any_of(flags: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, flags, F.lit(False))

@@ -44,12 +44,12 @@ class Deployment:
         return F.lit(None).cast("string")
 
 
-def rule_candidates(chunks: Column, field: FieldDef, hits: Column, masked: bool, label: bool) -> Column:
-    """The candidates of one field from its hits in a row's chunks, with the label of their chunk; masked ones cleared."""
+def rule_candidates(hits: Column, field: FieldDef, masked: bool, label: bool) -> Column:
+    """The candidates of one field from its hits, one per chunk of a row, with the label of their chunk; masked ones cleared."""
     def candidate(hit: Column, at: Column) -> Column:
         found = rule_candidate(hit, field)
         if label:
-            note = F.concat(F.lit("Chunk "), (at + 1).cast("string"), F.lit("/"), F.size(chunks).cast("string"), F.lit("."))
+            note = F.concat(F.lit("Chunk "), (at + 1).cast("string"), F.lit("/"), F.size(hits).cast("string"), F.lit("."))
             found["notes"] = tx.append_note(found["notes"], note)
         if masked:
             found |= rd.cleared(found.__getitem__)
@@ -66,10 +66,12 @@ def extract_in_rows(
     chunked = docs.select(*others, sp.chunks_of(body, chunk_size, overlap).alias("_chunks")) if chunk_size > 0 else (
         docs.select(*others, F.array(F.struct(body.alias("chunk"))).alias("_chunks")))
     read = chunked.select(*others, F.transform("_chunks", lambda c: F.struct(c["chunk"].alias("text"), F.lower(c["chunk"]).alias("low"))).alias("_chunks"))
-    hits = read.select(*others, F.transform("_chunks", lambda c: F.lit(0)).alias("_chunks"), *[
-        F.transform("_chunks", lambda c, f=f: rule_hit(c["text"], f, c["low"])).alias(f"_hits_{f.name}") for f in template.fields])
-    return reconcile_in_rows(hits, {
-        f.name: rule_candidates(F.col("_chunks"), f, F.col(f"_hits_{f.name}"), masked, chunk_size > 0) for f in template.fields}, others)
+
+    def hits(field: FieldDef) -> Column:
+        return F.transform("_chunks", lambda c: rule_hit(c["text"], field, c["low"])).alias(f"_hits_{field.name}")
+
+    found = read.select(*others, *[hits(f) for f in template.fields])
+    return reconcile_in_rows(found, {f.name: rule_candidates(F.col(f"_hits_{f.name}"), f, masked, chunk_size > 0) for f in template.fields}, others)
 
 
 def process_documents(
