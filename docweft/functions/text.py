@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, functions as F
 
 # ---- fixed values: characters that Python's str.strip / str.splitlines treat as blank / line end --
@@ -86,3 +88,20 @@ def python_number(number: Column) -> Column:
         .when((size >= 1e16) | (size < 1e-4) & (size > 0), F.regexp_replace(power, r"e([+-])(\d)$", "e$10$2"))
         .otherwise(plain)
     )
+
+
+@cache
+def _folds() -> list[str]:
+    """Characters whose folded case is not their lower case, such as `ß` (ss) and `ς` (σ), each followed by it; by rule."""
+    return [x for c in map(chr, range(128, 0x20000)) if c.casefold() != c.lower() for x in (c, c.casefold())]
+
+
+def fold_case(text: Column) -> Column:
+    """Lower case for comparing, as Python's str.casefold(); only texts beyond ASCII are gone through letter by letter."""
+    special = F.create_map(*map(F.lit, _folds()))
+
+    def folded(letter: Column) -> Column:
+        return F.when(F.ascii(letter) < 128, F.lower(letter)).otherwise(F.coalesce(F.try_element_at(special, letter), F.lower(letter)))
+
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.array_join(F.transform(F.split(text, ""), folded), ""))

@@ -25,9 +25,9 @@ SLO_TARGETS = {
 
 
 def normalize_string(text: Column) -> Column:
-    """Dashes and underscores to spaces, blanks collapsed, trimmed, lower case."""
+    """Dashes and underscores to spaces, blanks collapsed, trimmed, case folded."""
     spaced = F.translate(text, "-_", "  ")
-    return F.lower(tx.strip(F.regexp_replace(spaced, tx.BLANK_CLASS + "+", " ")))
+    return tx.fold_case(tx.strip(F.regexp_replace(spaced, tx.BLANK_CLASS + "+", " ")))
 
 
 def _kind(value: Column) -> Column:
@@ -40,12 +40,12 @@ def _kind(value: Column) -> Column:
 def _loads(text: str | None):
     try:
         return True, json.loads(text)
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, RecursionError):
         return False, None
 
 
 def _plain_string(text: str) -> str:
-    return re.sub(tx.BLANK_CLASS + "+", " ", text.translate(_DASHES)).strip(_BLANKS).lower()
+    return re.sub(tx.BLANK_CLASS + "+", " ", text.translate(_DASHES)).strip(_BLANKS).casefold()
 
 
 _DASHES = str.maketrans("-_", "  ")
@@ -119,9 +119,9 @@ def _pair_matches(p: Mapping[str, Column]) -> Column:
 
 
 def compare_expectations(
-    expected: DataFrame, actual: DataFrame, keys: Sequence[str] = ("case_name", "category", "field_name")
+    expected: DataFrame, actual: DataFrame, keys: Sequence[str] = ("case_name", "category", "field_name"), values: bool = False,
 ) -> DataFrame:
-    """One row per expected check: extracted value, normalized value, review flag.
+    """One row per expected check: extracted value, normalized value, review flag. values: with `expected` and `got` as JSON.
 
     `expected` holds JSON texts `extracted_json`, `normalized_json` and boolean `review` (null = no check);
     `actual` the same columns. A field missing from the results fails all its checks. For calculated fields
@@ -148,14 +148,15 @@ def compare_expectations(
     joined = joined.withColumns({f"_{name}_match": present & text_match(name) for name in sides}).withColumn(
         "_review_match", present & F.coalesce(F.col("review") == F.col("a_review"), F.lit(False)))
 
-    def check(name: str, wanted: Column, passed: Column) -> Column:
+    def check(name: str, wanted: Column, passed: Column, got: Column) -> Column:
         detail = F.when(~present, FIELD_MISSING).when(~passed, f"{name} mismatch")
-        return F.when(wanted.isNotNull(), F.struct(F.lit(name).alias("check"), passed.alias("matched"), detail.alias("detail")))
+        both = [wanted.cast("string").alias("expected"), F.when(present, got.cast("string")).alias("got")] if values else []
+        return F.when(wanted.isNotNull(), F.struct(F.lit(name).alias("check"), passed.alias("matched"), detail.alias("detail"), *both))
 
     checks = F.array_compact(F.array(
-        check("extracted_value", F.col("extracted_json"), F.col("_extracted_match")),
-        check("normalized_value", F.col("normalized_json"), F.col("_normalized_match")),
-        check("requires_review", F.col("review"), F.col("_review_match")),
+        check("extracted_value", F.col("extracted_json"), F.col("_extracted_match"), F.col("a_extracted")),
+        check("normalized_value", F.col("normalized_json"), F.col("_normalized_match"), F.col("a_normalized")),
+        check("requires_review", F.col("review"), F.col("_review_match"), F.col("a_review")),
     ))
     return joined.select(*keys, F.inline(checks))
 
@@ -191,6 +192,56 @@ def mismatches(checks: DataFrame) -> DataFrame:
         F.to_json(F.sort_array(F.collect_list(F.when(~F.col("matched"), item)))).alias("mismatches_json"))
 
 
+CHECK_COLUMNS = ("case_name", "category", "subject", "check", "matched", "expected", "got")
+
+
+def run_checks(field_checks: DataFrame, cases: DataFrame) -> DataFrame:
+    """All checks of a run as one stream of rows: fields and calculated fields, review flags, document notes.
+
+    field_checks: of `compare_expectations` with values. cases: case_name, expected_flags, actual_flags, expected_notes, actual_notes
+    (null: none). A missing field's `got` is null. Lists are JSON.
+    """
+    none = F.array().cast("array<string>")
+    held = cases.select("case_name", *[F.coalesce(c, none).alias(c) for c in ("expected_flags", "actual_flags", "expected_notes", "actual_notes")])
+    fields = field_checks.withColumnRenamed("field_name", "subject").withColumn("missing", F.coalesce(F.col("detail") == FIELD_MISSING, F.lit(False)))
+    as_set = lambda name: F.array_sort(F.array_distinct(F.col(name)))
+    flags = held.select(
+        "case_name", F.lit("review_flags").alias("category"), F.lit("fields_requiring_review").alias("subject"), F.lit("review_flags").alias("check"),
+        as_set("expected_flags").eqNullSafe(as_set("actual_flags")).alias("matched"), F.to_json(as_set("expected_flags")).alias("expected"),
+        F.to_json(as_set("actual_flags")).alias("got"), F.lit(False).alias("missing"))
+    per_note = held.select("case_name", "actual_notes", F.explode("expected_notes").alias("note"))
+    notes = per_note.select(
+        "case_name", F.lit("document_note").alias("category"), F.col("note").alias("subject"), F.lit("document_note").alias("check"),
+        F.coalesce(F.exists("actual_notes", lambda n: F.contains(normalize_string(n), normalize_string(F.col("note")))), F.lit(False)).alias("matched"),
+        F.col("note").alias("expected"), F.to_json("actual_notes").alias("got"), F.lit(False).alias("missing"))
+    columns = [*CHECK_COLUMNS, "missing"]
+    return fields.select(*columns).unionByName(flags.select(*columns)).unionByName(notes.select(*columns))
+
+
+def mismatch_detail() -> Column:
+    """What a failed check says, with the expected and the actual value."""
+    expected, got = F.coalesce("expected", F.lit("null")), F.coalesce("got", F.lit("null"))
+    both = F.concat(F.lit("expected "), expected, F.lit(", got "), got)
+    return (
+        F.when(F.col("missing"), FIELD_MISSING).when(F.col("check") == "review_flags", both)
+        .when(F.col("check") == "document_note", F.concat(F.lit("expected note containing "), expected, F.lit(", got "), got))
+        .otherwise(F.concat(F.col("check"), F.lit(" mismatch: "), both)))
+
+
+def case_run(checks: DataFrame, cases: DataFrame) -> DataFrame:
+    """Per case of a run, also those without checks: matched and failed checks, passed, mismatches_json and the other columns of cases.
+
+    One aggregation; a case's mismatches are bounded by its expectations. All checks of a missing field count as failed, but it is one mismatch.
+    """
+    item = F.when(~F.col("matched"), F.struct("category", "subject", mismatch_detail().alias("detail")))
+    totals = checks.groupBy("case_name").agg(
+        F.count_if("matched").alias("matched_checks"), F.count_if(~F.col("matched")).alias("failed_checks"),
+        F.to_json(F.sort_array(F.collect_set(item))).alias("mismatches_json"))
+    about = [c for c in cases.columns if not c.startswith(("expected_", "actual_"))]
+    joined = cases.select(*about).join(totals, "case_name", "left")
+    return joined.fillna({"matched_checks": 0, "failed_checks": 0, "mismatches_json": "[]"}).withColumn("passed", F.col("failed_checks") == 0)
+
+
 def eval_report(cases: DataFrame) -> DataFrame:
     """Run totals as one row."""
     return cases.agg(

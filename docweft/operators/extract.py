@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docweft.functions import spans as sp, text as tx
 from docweft.functions.values import first_match, normalize_value
@@ -176,27 +178,84 @@ def ground_annotations(
     )
 
 
+def extract_batches(
+    docs: DataFrame, extractor: Callable[[pa.Array], pa.RecordBatch], keys: Sequence[str] = ("doc_id",), text: str = "text",
+) -> DataFrame:
+    """Candidates from a user-supplied function of a batch of texts to a batch of candidates, with an `error` column.
+
+    The function's batch has `row` (the text's position in the batch), any of the candidate columns, of types that cast to
+    theirs, and maybe seq (else the order within the text). If it raises, the batch is halved until the texts at fault are
+    alone: each gives one row with the error. A column the contract does not know is an error of the whole job. The function must
+    give the same answer when a task is retried.
+    """
+    key_fields = [f for f in docs.schema.fields if f.name in keys]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields) + ", " + CANDIDATE_DDL + ", error string"
+    types = to_arrow_schema(T._parse_datatype_string(schema))
+    known = {"row", *types.names[len(key_fields) :]} - {"error"}
+
+    def guarded(texts: pa.Array) -> list[tuple[int, pa.RecordBatch | str]]:
+        """Pieces of the answer, each with the position of its first text, or the error of a text."""
+        try:
+            found = extractor(texts)
+        except Exception as error:  # noqa: BLE001 - whatever it is, it becomes a row
+            if len(texts) == 1:
+                return [(0, f"{type(error).__name__}: {error}")]
+            half = len(texts) // 2
+            return guarded(texts[:half]) + [(at + half, piece) for at, piece in guarded(texts[half:])]
+        if strange := set(found.schema.names) - known:
+            raise _ContractError(f"extractor returned columns that candidates do not have: {sorted(strange)}")
+        return [(0, found)]
+
+    def rows_of(batch: pa.RecordBatch, at: int, piece: pa.RecordBatch | str) -> pa.RecordBatch:
+        failed = isinstance(piece, str)
+        rows = np.array([at]) if failed else piece.column("row").to_numpy(zero_copy_only=False).astype(np.int64) + at
+        own = {k: batch.column(k).take(pa.array(rows)) for k in keys}
+        if not failed:
+            own |= {name: piece.column(name) for name in piece.schema.names if name != "row"}
+            if "seq" not in own:
+                starts = np.flatnonzero(np.diff(rows, prepend=-1))
+                own["seq"] = pa.array(np.arange(len(rows)) - np.repeat(starts, np.diff(np.append(starts, len(rows)))))
+        else:
+            own["error"] = pa.array([piece])
+        return pa.RecordBatch.from_arrays([own[f.name].cast(f.type) if f.name in own else pa.nulls(len(rows), f.type) for f in types], schema=types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, piece in guarded(batch.column(text)) if batch.num_rows else []:
+                yield rows_of(batch, at, piece)
+
+    return docs.select(*keys, text).mapInArrow(run, schema)
+
+
+class _ContractError(Exception):
+    """Not caught with a text's own errors: it raises out of `run`."""
+
+
 def extract_with(
     docs: DataFrame,
     extractor: Callable[[str], list[dict]],
     keys: Sequence[str] = ("doc_id",),
     text: str = "text",
 ) -> DataFrame:
-    """Candidates from a user-supplied `text -> [candidate dict]` function, run on Arrow batches.
+    """Candidates from a user-supplied `text -> [candidate dict]` function; a text it fails on ends the job.
 
-    The function must give the same answer when a task is retried.
+    `extract_batches` is the form for functions that take many texts at a time. The function must give the same answer when a task
+    is retried.
     """
-    key_fields = [f for f in docs.schema.fields if f.name in keys]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields) + ", " + CANDIDATE_DDL
-    names = list(keys) + [part.strip().split(" ")[0] for part in CANDIDATE_DDL.split(", ")]
+    kinds = {f.name: f.type for f in to_arrow_schema(T._parse_datatype_string(CANDIDATE_DDL))}
+    names = list(kinds)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for record in batch.to_dict("records"):
-                ids = {k: record[k] for k in keys}
-                for seq, found in enumerate(extractor(record[text])):
-                    rows.append({**dict.fromkeys(names), "seq": seq, **found, **ids})
-            yield pd.DataFrame(rows, columns=names, dtype=object)
-
-    return docs.select(*keys, text).mapInPandas(run, schema)
+    def batch(texts: pa.Array) -> pa.RecordBatch:
+        columns: dict[str, list] = {name: [] for name in ("row", *names)}
+        for row, body in enumerate(texts.to_pylist()):
+            for seq, found in enumerate(extractor(body)):
+                if unknown := set(found) - set(names):
+                    raise ValueError(f"candidates have no {sorted(unknown)}")
+                columns["row"].append(row)
+                for name in names:
+                    columns[name].append(found.get(name, seq if name == "seq" else None))
+        return pa.RecordBatch.from_arrays([pa.array(columns[name], kinds.get(name, pa.int64())) for name in columns], names=list(columns))
+
+    found = extract_batches(docs, batch, keys, text)
+    failed = F.raise_error(F.concat(F.lit("The extractor failed: "), F.col("error")))
+    return found.withColumn("seq", F.when(F.col("error").isNull(), F.col("seq")).otherwise(failed.cast("bigint"))).drop("error")

@@ -21,6 +21,7 @@ SKIP_REASONS = (
     "empty_context", "no_contextual_extractions",
 )
 KEY_LENGTH = 16
+GROUNDING_PROVIDER = "langextract"
 
 
 def result_fields(results: DataFrame, keys: Sequence[str] = ("tenant_id", "result_id")) -> DataFrame:
@@ -36,12 +37,21 @@ def edit_counts(edits: DataFrame) -> DataFrame:
     return edits.groupBy("tenant_id", "result_id", "field_name").agg(F.count(F.lit(1)).alias("n_edits"))
 
 
-def reviewed_edits(results: DataFrame, jobs: DataFrame, docs: DataFrame, edits: DataFrame) -> DataFrame:
+def grounding_versions(templates: DataFrame) -> DataFrame:
+    """tenant_id and template_version_id of the versions (with provider_type and api_style) whose provider grounds its extractions."""
+    named = [F.coalesce(F.col(c) == GROUNDING_PROVIDER, F.lit(False)) for c in ("provider_type", "api_style")]
+    return templates.filter(named[0] | named[1]).select("tenant_id", "template_version_id").distinct()
+
+
+def reviewed_edits(results: DataFrame, jobs: DataFrame, docs: DataFrame, edits: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """Edits joined to their result, job and document on ids and tenant.
 
     `results` has one row per result (`fields`, `reviewed_at`), `docs` the readable `text`. The small
-    job and document attributes are joined first; the text arrives last.
+    job and document attributes are joined first; the text arrives last. With `templates`, only versions whose provider grounds
+    its extractions are mined.
     """
+    if templates is not None:
+        jobs = jobs.join(grounding_versions(templates), ["tenant_id", "template_version_id"], "left_semi")
     owned = results.join(jobs.select("tenant_id", "job_id", "document_id", "template_version_id"), ["tenant_id", "job_id"])
     counted = edit_counts(edits)
     return counted.join(owned, ["tenant_id", "result_id"]).join(
@@ -97,7 +107,10 @@ def edit_candidates(edits: DataFrame, radius: int = CONTEXT_RADIUS) -> DataFrame
         .when(context == "", SKIP_REASONS[5])
         .when(~F.coalesce(has_target, F.lit(False)), SKIP_REASONS[6])
     )
-    return df.withColumn("skip_reason", reason).withColumn("example_text", context).drop("target", "fields", "text")
+    others = [c for c in edits.columns if c not in ("fields", "text")]
+    # one row of an inlined array: the optimizer cannot copy what makes it into the steps that filter and group by it
+    made = F.array(F.struct(F.col("extractions"), reason.alias("skip_reason"), context.alias("example_text")))
+    return df.select(*others, F.inline(made))
 
 
 def suggestion_json(example_text: Column, extractions: Column) -> Column:
@@ -119,16 +132,18 @@ def suggestion_digest(example_text: Column, extractions: Column) -> Column:
     return F.sha2(suggestion_json(example_text, extractions), 256)
 
 
-def suggestions(candidates: DataFrame) -> DataFrame:
-    """Candidates grouped by key within tenant and template version: occurrences, results, fields, last review.
+def mined(candidates: DataFrame) -> DataFrame:
+    """Everything that suggestions and diagnostics count, from one pass over the candidates.
 
-    The grouping key is the whole digest, shown by its first 16 characters; the texts ride along as one example per group.
+    One row per tenant, template version and either skip reason or suggestion: n_edits, n_source_results, field names, last review and, for a
+    suggestion, its key and one example. The grouping key is the whole digest, shown by its first 16 characters.
     """
-    kept = candidates.filter("skip_reason IS NULL").withColumn(
-        "_digest", suggestion_digest(F.col("example_text"), F.col("extractions")))
-    keys = ["tenant_id", "template_version_id", "_digest"]
+    keys = ["tenant_id", "template_version_id", "skip_reason", "_digest"]
+    kept = F.col("skip_reason").isNull()
+    digest = F.when(kept, suggestion_digest(F.col("example_text"), F.col("extractions")))
+    keyed = candidates.withColumns({"_digest": digest, "_result": F.when(kept, F.col("result_id"))})
     # A popular example may come from a third of all results: counts per result first, then small sums.
-    per_result = kept.groupBy(*keys, "result_id").agg(
+    per_result = keyed.groupBy(*keys, "_result").agg(
         F.sum("n_edits").alias("n_edits"), F.max("reviewed_at").alias("reviewed_at"),
         F.collect_set("field_name").alias("names"),
         F.first("example_text").alias("example_text"), F.first("extractions").alias("extractions"))
@@ -139,7 +154,18 @@ def suggestions(candidates: DataFrame) -> DataFrame:
         F.max("reviewed_at").alias("last_reviewed_at"),
         F.first("example_text").alias("example_text"),
         F.first("extractions").alias("extractions"),
-    ).withColumn("_digest", F.substring("_digest", 1, KEY_LENGTH)).withColumnRenamed("_digest", "suggestion_key")
+    ).withColumn("suggestion_key", F.substring("_digest", 1, KEY_LENGTH)).drop("_digest")
+
+
+def suggestions(candidates: DataFrame) -> DataFrame:
+    """Candidates grouped by key within tenant and template version: occurrences, results, fields, last review, one example."""
+    return suggestions_of(mined(candidates))
+
+
+def suggestions_of(counted: DataFrame) -> DataFrame:
+    return counted.filter("skip_reason IS NULL").select(
+        "tenant_id", "template_version_id", "suggestion_key", "occurrence_count", "n_source_results", "source_field_names", "last_reviewed_at",
+        "example_text", "extractions")
 
 
 def suggestion_results(candidates: DataFrame) -> DataFrame:
@@ -164,25 +190,29 @@ def visible_suggestions(found: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def feedback_diagnostics(
-    results: DataFrame, jobs: DataFrame, edits: DataFrame, candidates: DataFrame, found: DataFrame, decisions: DataFrame
+    results: DataFrame, jobs: DataFrame, edits: DataFrame, candidates: DataFrame, found: DataFrame | None, decisions: DataFrame,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Twelve counters per tenant and template version.
 
-    `reviewed_result_count` counts all results of the version, edited or not.
+    `reviewed_result_count` counts all results of the version, edited or not. Suggestions and skips come from one pass over the candidates;
+    counted: the stored outcome of `mined`, so that they are not gone through again. `found` is not needed.
     """
     keys = ["tenant_id", "template_version_id"]
+    counted = mined(candidates) if counted is None else counted
     versioned = results.join(jobs.select("tenant_id", "job_id", "template_version_id"), ["tenant_id", "job_id"])
     all_results = versioned.groupBy(*keys).agg(F.count(F.lit(1)).alias("reviewed_result_count"))
     all_edits = edit_counts(edits).join(versioned.select("tenant_id", "result_id", "template_version_id"), ["tenant_id", "result_id"])
     edit_totals = all_edits.groupBy(*keys).agg(F.sum("n_edits").alias("reviewed_edit_count"))
-    skipped = candidates.groupBy(*keys).agg(*[
-        F.sum(F.when(F.col("skip_reason") == r, F.col("n_edits")).otherwise(0)).alias(f"skipped_{r}") for r in SKIP_REASONS])
     dismissed = dismiss(decisions).filter("dismissed").withColumn("_gone", F.lit(True))
-    shown = found.join(dismissed.select(*keys, "suggestion_key", "_gone"), [*keys, "suggestion_key"], "left").groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("generated_suggestion_count"),
-        F.count_if(F.col("_gone")).alias("dismissed_suggestion_count"),
-        F.count_if(F.col("_gone").isNull()).alias("visible_suggestion_count"))
+    kept, gone = F.col("skip_reason").isNull(), F.coalesce("_gone", F.lit(False))
+    outcome = counted.select(*keys, "skip_reason", "suggestion_key", "occurrence_count").join(
+        dismissed.select(*keys, "suggestion_key", "_gone"), [*keys, "suggestion_key"], "left").groupBy(*keys).agg(
+        F.count_if(kept).alias("generated_suggestion_count"),
+        F.count_if(kept & gone).alias("dismissed_suggestion_count"),
+        F.count_if(kept & ~gone).alias("visible_suggestion_count"),
+        *[F.sum(F.when(F.col("skip_reason") == r, F.col("occurrence_count")).otherwise(0)).alias(f"skipped_{r}") for r in SKIP_REASONS])
     joined = all_results
-    for part in (edit_totals, shown, skipped):
+    for part in (edit_totals, outcome):
         joined = joined.join(part, keys, "left")
     return joined.fillna(0)

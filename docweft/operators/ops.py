@@ -147,6 +147,26 @@ def page(df: DataFrame, limit: int = 100, offset: int = 0, id_column: str = "eve
     return rows.withColumn("_k", F.lit(1)).join(total, "_k", "left").drop("_k")
 
 
+def seek_page(df: DataFrame, limit: int = 100, after: tuple | None = None, id_column: str = "event_id") -> DataFrame:
+    """The `limit` newest rows that come after (created_at, id) of the last row seen; the first page without it.
+
+    The position is a filter that reaches the scan, and a task keeps `limit` rows at most however far the page is.
+    """
+    if after is not None:
+        at, last = F.lit(after[0]), F.lit(after[1])
+        df = df.filter((F.col("created_at") <= at) & ((F.col("created_at") < at) | (F.col(id_column) < last)))
+    return df.orderBy(F.desc("created_at"), F.desc(id_column)).limit(limit)
+
+
+def page_result(df: DataFrame, limit: int = 100, after: tuple | None = None, id_column: str = "event_id") -> DataFrame:
+    """One row: total (of all pages, right on an empty page too), limit, and items, newest first; at most `limit` items are gathered."""
+    page_ = seek_page(df, limit, after, id_column)
+    others = [c for c in df.columns if c not in ("created_at", id_column)]
+    items = page_.agg(F.sort_array(F.collect_list(F.struct("created_at", id_column, *others)), asc=False).alias("items"), F.lit(1).alias("_k"))
+    total = df.agg(F.count(F.lit(1)).alias("total"), F.lit(1).alias("_k"))
+    return total.join(items, "_k").select("total", F.lit(limit).alias("limit"), "items")
+
+
 def audit_chain(events: DataFrame) -> DataFrame:
     """Per document which lifecycle actions happened, first times in order, and whether the chain is whole.
 

@@ -16,17 +16,22 @@ SUFFIX_CLASSES = {
 }
 FALLBACK_CLASS = "fallback"
 
-RULES_DDL = "struct<allow_null:boolean,min:double,max:double,regex:string,currency:string,max_length:int>"
+RULES_DDL = "struct<allow_null:boolean,min:double,max:double,regex:string,currency:string,format:string,max_length:int,allowed_values:array<string>>"
+FORMAT_DDL = "struct<currency:string,decimal_places:int,date_format:string,unit:string>"
 DEFINITION_DDL = f"""
-template_name string, template_version string, document_type string,
-extracted_fields array<struct<name:string,label:string,description:string,type:string,required:boolean,
-  citation_required:boolean,usable_in_formulas:boolean,allowed_values:array<string>,validation:{RULES_DDL}>>,
+template_name string, template_version string, document_type string, description string,
+extracted_fields array<struct<name:string,label:string,description:string,type:string,required:boolean,instructions:string,
+  citation_required:boolean,usable_in_formulas:boolean,extract_mode:string,allow_null:boolean,example_values:array<string>,
+  allowed_values:array<string>,output_format:{FORMAT_DDL},validation:{RULES_DDL},schema:variant>>,
 calculated_fields array<struct<name:string,label:string,description:string,output_type:string,formula:string,
-  depends_on:array<string>,validation:{RULES_DDL},
+  depends_on:array<string>,format:{FORMAT_DDL},validation:{RULES_DDL},
   error_handling:struct<on_divide_by_zero:string,on_missing_input:string>,requires_review:boolean>>,
 langextract_config struct<prompt_description:string,examples:array<struct<text:string,
-  extractions:array<struct<extraction_class:string,extraction_text:string,attributes:string>>>>>
+  extractions:array<struct<extraction_class:string,extraction_text:string,attributes:string>>>>>,
+llm_provider_settings variant, output_settings variant, review_required_on_low_confidence boolean,
+minimum_confidence_threshold double, local_only_mode boolean
 """
+DEFAULT_THRESHOLD = 0.75
 CASE_DDL = f"""
 name string, description string, tags array<string>, document_text string,
 template_definition struct<{DEFINITION_DDL.replace(" string", ":string").replace("fields array", "fields:array").replace("config struct", "config:struct")}>,
@@ -95,23 +100,45 @@ def read_eval_cases(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
 
 
 def definition_rows(templates: DataFrame, key: str = "template_name") -> DataFrame:
-    """Template definitions to one row per field, the layout of the template analytics."""
+    """Template definitions to one row per field, the layout of the template analytics.
+
+    field_schema is the field's contract as JSON with the order of its members kept; output_format (an extracted field's output format or a
+    calculated one's format) and validation are JSON too.
+    """
+    def json(column: str) -> Column:
+        return F.when(F.col(column).isNotNull(), F.to_json(column))
+
     extracted = templates.select(key, F.explode("extracted_fields").alias("f")).select(
         F.col(key).alias("template_id"), F.lit("extracted").alias("kind"), "f.name", "f.label", "f.type",
         F.coalesce("f.required", F.lit(False)).alias("required"),
         F.coalesce("f.citation_required", F.lit(True)).alias("citation_required"),
         F.coalesce("f.usable_in_formulas", F.lit(True)).alias("usable_in_formulas"),
         F.coalesce("f.allowed_values", F.array().cast("array<string>")).alias("allowed_values"),
-        F.lit(None).cast("string").alias("field_schema"), F.lit(None).cast("string").alias("formula"),
-        F.lit(None).cast("array<string>").alias("depends_on"), F.lit(None).cast("string").alias("output_type"))
+        F.when(F.coalesce(F.schema_of_variant("f.schema") != "VOID", F.lit(False)), F.to_json("f.schema")).alias("field_schema"),
+        F.lit(None).cast("string").alias("formula"),
+        F.lit(None).cast("array<string>").alias("depends_on"), F.lit(None).cast("string").alias("output_type"),
+        json("f.output_format").alias("output_format"), json("f.validation").alias("validation"))
     calculated = templates.select(key, F.explode("calculated_fields").alias("f")).select(
         F.col(key).alias("template_id"), F.lit("calculated").alias("kind"), "f.name", "f.label",
         F.lit("calculated").alias("type"), F.lit(False).alias("required"), F.lit(False).alias("citation_required"),
         F.lit(True).alias("usable_in_formulas"), F.array().cast("array<string>").alias("allowed_values"),
-        F.lit(None).cast("string").alias("field_schema"), "f.formula", "f.depends_on", "f.output_type")
+        F.lit(None).cast("string").alias("field_schema"), "f.formula", "f.depends_on", "f.output_type",
+        json("f.format").alias("output_format"), json("f.validation").alias("validation"))
     return extracted.unionByName(calculated)
 
 
+def template_rows(templates: DataFrame, key: str = "template_name") -> DataFrame:
+    """One row per template: its version, type, provider and thresholds; provider settings stay a variant, so that unknown ones survive."""
+    settings = F.col("llm_provider_settings")
+    return templates.select(
+        F.col(key).alias("template_id"), F.coalesce("template_version", F.lit("1.0.0")).alias("version"), "document_type",
+        F.try_variant_get(settings, "$.provider_type", "string").alias("provider_type"), F.try_variant_get(settings, "$.api_style", "string").alias("api_style"),
+        F.try_variant_get(settings, "$.model", "string").alias("model"),
+        F.coalesce(F.try_variant_get(settings, "$.allow_external_processing", "boolean"), F.lit(False)).alias("allow_external_processing"),
+        settings.alias("provider"), F.coalesce("minimum_confidence_threshold", F.lit(DEFAULT_THRESHOLD)).alias("min_confidence"),
+        F.coalesce("review_required_on_low_confidence", F.lit(True)).alias("review_low"), F.coalesce("local_only_mode", F.lit(True)).alias("local_only"))
+
+
 def example_rows(templates: DataFrame, key: str = "template_name") -> DataFrame:
     """One row per example extraction of every template."""
     examples = templates.select(key, F.posexplode("langextract_config.examples").alias("example_no", "e"))

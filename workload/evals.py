@@ -128,6 +128,52 @@ def mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.mismatches(checks(spark, sf_dir))
 
 
+RUN_SQL = CHECK_SQL.replace("detailed AS", """valued AS (
+  SELECT case_name, category, field_name AS subject, 'extracted_value' AS "check", present AND k % 4 = 0 AS matched, present, '"Total_Due"' AS expected, CASE WHEN present THEN CASE WHEN k % 4 = 0 THEN '"total due"' ELSE '"Total: Due"' END END AS got FROM b WHERE k % 2 = 0
+  UNION ALL SELECT case_name, category, field_name, 'requires_review', present AND want_review = review, present, CAST(want_review AS VARCHAR), CASE WHEN present THEN CAST(review AS VARCHAR) END FROM b WHERE k % 3 > 0),
+lists AS (SELECT 'case_' || o_orderkey // 10 AS case_name, coalesce(list_sort(list_distinct(list(o_orderpriority) FILTER (WHERE o_orderkey % 2 = 0))), []) AS e,
+  coalesce(list_sort(list_distinct(list(o_orderpriority) FILTER (WHERE o_orderkey % 3 = 0))), []) AS a, bool_or(o_orderstatus = 'F') AS noted FROM orders GROUP BY 1),
+flags AS (SELECT case_name, 'review_flags' AS category, 'fields_requiring_review' AS subject, 'review_flags' AS "check", e = a AS matched, true AS present,
+  CASE WHEN len(e) = 0 THEN '[]' ELSE '["' || array_to_string(e, '","') || '"]' END AS expected, CASE WHEN len(a) = 0 THEN '[]' ELSE '["' || array_to_string(a, '","') || '"]' END AS got FROM lists),
+notes AS (SELECT case_name, 'document_note', 'Redaction-applied', 'document_note', noted, true, 'Redaction-applied', CASE WHEN noted THEN '["Note: redaction  APPLIED."]' ELSE '[]' END FROM lists),
+every AS (SELECT * FROM valued UNION ALL SELECT * FROM flags UNION ALL SELECT * FROM notes),
+said AS (SELECT *, CASE WHEN NOT present THEN 'field missing from extraction output' WHEN "check" = 'review_flags' THEN 'expected ' || expected || ', got ' || got
+  WHEN "check" = 'document_note' THEN 'expected note containing ' || expected || ', got ' || got ELSE "check" || ' mismatch: expected ' || expected || ', got ' || got END AS detail FROM every),
+totals AS (SELECT case_name, count(*) FILTER (WHERE matched) AS matched_checks, count(*) FILTER (WHERE NOT matched) AS failed_checks FROM said GROUP BY 1),
+items AS (SELECT case_name, '[' || string_agg('{"category":"' || category || '","subject":"' || subject || '","detail":"' || replace(detail, '"', chr(92) || '"') || '"}', ',' ORDER BY category, subject, detail) || ']' AS mismatches_json
+  FROM (SELECT DISTINCT case_name, category, subject, detail FROM said WHERE NOT matched) GROUP BY 1),
+run AS (SELECT t.case_name, 'mock' AS provider_type, 'Model of ' || t.case_name AS provider_label, 'm-1' AS model, failed_checks = 0 AS passed, matched_checks, failed_checks, coalesce(mismatches_json, '[]') AS mismatches_json
+  FROM totals t LEFT JOIN items i ON i.case_name = t.case_name),
+detailed AS""")
+
+
+def run_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as cases with all four kinds of checks; normalized values are left to k01."""
+    key = F.col("o_orderkey")
+    wanted = expected(spark, sf_dir).withColumn("normalized_json", F.lit(None).cast("string"))
+    cases = v.table(spark, sf_dir, "orders").groupBy(case_of(key).alias("case_name")).agg(
+        F.collect_list(F.when(key % 2 == 0, F.col("o_orderpriority"))).alias("expected_flags"),
+        F.collect_list(F.when(key % 3 == 0, F.col("o_orderpriority"))).alias("actual_flags"), F.bool_or(F.col("o_orderstatus") == "F").alias("noted"))
+    notes = F.when(F.col("noted"), F.array(F.lit("Note: redaction  APPLIED."))).otherwise(F.array().cast("array<string>"))
+    cases = cases.withColumns({"expected_notes": F.array(F.lit("Redaction-applied")), "actual_notes": notes, "provider_type": F.lit("mock"),
+                               "provider_label": F.concat(F.lit("Model of "), F.col("case_name")), "model": F.lit("m-1")}).drop("noted")
+    checks_ = ev.run_checks(ev.compare_expectations(wanted, actual(spark, sf_dir), values=True), cases)
+    return ev.case_run(checks_, cases)
+
+
+@query("k05_case_run", RUN_SQL + "SELECT * FROM run")
+def case_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_cases(spark, sf_dir)
+
+
+@query("k01_expected_and_got", RUN_SQL + """
+SELECT case_name, category, subject, "check", matched, expected, got FROM valued""")
+def expected_and_got(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = expected(spark, sf_dir).withColumn("normalized_json", F.lit(None).cast("string"))
+    found = ev.compare_expectations(wanted, actual(spark, sf_dir), values=True)
+    return found.select("case_name", "category", F.col("field_name").alias("subject"), "check", "matched", "expected", "got")
+
+
 @query("k06_eval_trend", """
 WITH runs AS (SELECT o_orderpriority AS label, year(o_orderdate) * 100 + month(o_orderdate) AS run_id, count(*) AS total_cases,
   count(*) FILTER (WHERE o_orderstatus = 'F') AS passed_cases, count(*) FILTER (WHERE o_orderstatus <> 'F') AS failed_checks FROM orders GROUP BY 1, 2)

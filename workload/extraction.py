@@ -209,6 +209,25 @@ def extract_with(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.extract_with(v.invoices(spark, sf_dir), extractor).select("doc_id", "field_name", "seq", "extracted_value", "confidence")
 
 
+@query("d09_extract_batches", """
+SELECT doc_id, CASE WHEN NOT bad THEN 'total_amount' END AS field_name, CASE WHEN NOT bad THEN 0 END::BIGINT AS seq, CASE WHEN NOT bad THEN '$' || format('{:,.2f}', o_totalprice) END AS extracted_value,
+  CASE WHEN NOT bad THEN 0.8 END::DOUBLE AS confidence, CASE WHEN bad THEN 'ValueError: no amount' END AS error FROM (SELECT *, doc_id % 500 = 0 AS bad FROM v_invoices)""")
+def extract_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of a batch, which fails on some of its texts."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def extractor(texts: pa.Array) -> pa.RecordBatch:
+        amounts = pc.struct_field(pc.extract_regex(texts, r"(?P<amount>\$[\d,.]+)"), "amount")
+        if amounts.null_count:
+            raise ValueError("no amount")
+        rows = pa.array(range(len(texts)))
+        return pa.RecordBatch.from_pydict({"row": rows, "field_name": pa.array(["total_amount"] * len(texts)), "extracted_value": amounts, "confidence": pa.array([0.8] * len(texts))})
+
+    docs = v.invoices(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 500 == 0, "none").otherwise(F.col("text")).alias("text"))
+    return ex.extract_batches(docs, extractor).select("doc_id", "field_name", "seq", "extracted_value", "confidence", "error")
+
+
 # ---- reconcile and validate ---------------------------------------------------------------------
 RECON_SQL = f"""
 WITH defs(field_name, field_no, req, nn, cit) AS (VALUES ('field_1', 0, true, false, true), ('field_2', 1, false, true, false),

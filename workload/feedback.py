@@ -10,6 +10,7 @@ from docweft.schema import null_value, value_struct
 from workload import views as v
 from workload.extraction import joined
 from workload.registry import query
+from workload.sources import scratch
 
 RADIUS = 20
 
@@ -161,11 +162,18 @@ def suggestion_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("i08_visible_suggestions", FEEDBACK_SQL + """
 SELECT tenant_id, template_version_id, suggestion_key, occurrence_count FROM sugg WHERE NOT (occurrence_count % 3 = 0 AND template_version_id % 2 <> 0)""")
 def visible_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fb.suggestions(candidates(spark, sf_dir))
+    found = fb.suggestions_of(stored_outcome(spark, sf_dir))
     return fb.visible_suggestions(found, decisions(spark, sf_dir, found)).select(
         "tenant_id", "template_version_id", "suggestion_key", "occurrence_count")
 
 
+def stored_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one pass over the candidates gives, stored, as decisions and counters both read it."""
+    path = scratch(spark, "mined")
+    fb.mined(candidates(spark, sf_dir)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 _skips = ",\n  ".join(f"coalesce((SELECT CAST(sum(n_edits) AS BIGINT) FROM cand c WHERE c.tenant_id = a.tenant_id AND c.template_version_id = a.template_version_id AND skip_reason = '{r}'), 0) AS skipped_{r}"
                       for r in fb.SKIP_REASONS)
 
@@ -178,9 +186,20 @@ LEFT JOIN (SELECT tenant_id, template_version_id, CAST(sum(n_edits) AS BIGINT) A
 LEFT JOIN (SELECT tenant_id, template_version_id, count(*) AS n, count(*) FILTER (WHERE occurrence_count % 3 = 0 AND template_version_id % 2 <> 0) AS gone FROM sugg GROUP BY 1, 2) s
   ON s.tenant_id = a.tenant_id AND s.template_version_id = a.template_version_id""")
 def feedback_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fb.suggestions(candidates(spark, sf_dir))
-    return fb.feedback_diagnostics(results(spark, sf_dir), v.jobs(spark, sf_dir), edits(spark, sf_dir), candidates(spark, sf_dir), found,
-                                   decisions(spark, sf_dir, found))
+    counted = stored_outcome(spark, sf_dir)
+    return fb.feedback_diagnostics(results(spark, sf_dir), v.jobs(spark, sf_dir), edits(spark, sf_dir), candidates(spark, sf_dir), None,
+                                   decisions(spark, sf_dir, fb.suggestions_of(counted)), counted)
+
+
+@query("i01_grounding_versions_only", FEEDBACK_SQL + "SELECT tenant_id, result_id, template_version_id, field_name, n_edits FROM cand WHERE template_version_id IN (1, 4, 5)")
+def grounding_versions_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions 1 and 4 name the provider, version 5 the style; the others neither."""
+    version = F.col("template_version_id")
+    templates = v.jobs(spark, sf_dir).select("tenant_id", "template_version_id").distinct().select(
+        "tenant_id", "template_version_id", F.when(version.isin(1, 4), fb.GROUNDING_PROVIDER).otherwise("mock").alias("provider_type"),
+        F.when(version == 5, fb.GROUNDING_PROVIDER).alias("api_style"))
+    found = fb.reviewed_edits(results(spark, sf_dir), v.jobs(spark, sf_dir), documents(spark, sf_dir), edits(spark, sf_dir), templates)
+    return found.select("tenant_id", "result_id", "template_version_id", "field_name", "n_edits")
 
 
 @query("i10_dismiss", """

@@ -120,6 +120,32 @@ def page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.page(mine, limit=100, offset=200).withColumn("created_at", stamp("created_at"))
 
 
+def _mine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.audit_events(v.audit(spark, sf_dir), "tenant_1").select("event_id", "action", "created_at")
+
+
+@query("j07_seek_page", f"""
+SELECT event_id, action, strftime(created_at, {STAMP_SQL}) AS created_at FROM v_audit WHERE tenant_id = 'tenant_1' ORDER BY v_audit.created_at DESC, event_id DESC LIMIT 100 OFFSET 200""")
+def seek_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page, each asked for by the last row of the one before."""
+    mine, after = _mine(spark, sf_dir), None
+    for _ in range(2):
+        seen = ops.seek_page(mine, 100, after).collect()
+        after = (seen[-1]["created_at"], seen[-1]["event_id"]) if seen else after
+    return ops.seek_page(mine, 100, after).withColumn("created_at", stamp("created_at"))
+
+
+@query("j07_page_result", """
+SELECT (SELECT count(*) FROM v_audit WHERE tenant_id = 'tenant_1') AS total, 100 AS "limit", 0 AS n_items
+UNION ALL SELECT (SELECT count(*) FROM v_audit WHERE tenant_id = 'tenant_1'), 100, least(100, (SELECT count(*) FROM v_audit WHERE tenant_id = 'tenant_1'))""")
+def page_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page beyond the last row, and the first page."""
+    mine = _mine(spark, sf_dir)
+    beyond = mine.agg(F.min("created_at").alias("at")).first()["at"]
+    pages = [ops.page_result(mine, 100, after) for after in ((beyond, -1), None)]
+    return pages[0].unionByName(pages[1]).select("total", "limit", F.size("items").alias("n_items"))
+
+
 @query("j08_job_groups", OPS_SQL + """
 SELECT tenant_id, g AS job_group, count(*) AS n_jobs FROM (
   SELECT j.tenant_id, unnest(list_filter([CASE WHEN status IN ('queued', 'running') THEN 'Processing' END, CASE WHEN coalesce(open_fields, 0) > 0 THEN 'Needs review' END,

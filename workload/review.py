@@ -178,23 +178,13 @@ def typed_edit_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed.select(*LINE_KEYS, "draft_error", *members)
 
 
-@query("h09_changed_edits", DRAFT_SQL + """
+CHANGED_SQL = DRAFT_SQL + """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, 'Updated from extraction workspace' AS reason FROM typed
-WHERE l_linenumber IN (3, 7) AND (l_linenumber = 7 OR (nothing AND l_suppkey % 3 = 0) OR (NOT nothing AND NOT (l_suppkey % 3 = 0 AND l_quantity < 25)) OR (nothing AND l_suppkey % 3 = 1))""")
-def changed_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number drafts against a stored number, and text drafts against extracted text only."""
-    supplier, quantity = F.col("l_suppkey"), F.col("l_quantity")
-    typed = rv.typed_edit_values(drafts(spark, sf_dir)).filter("l_linenumber IN (3, 7)")
-    number = F.when(supplier % 3 == 0, value_struct(number=F.when(quantity < 25, quantity).otherwise(0.5)))
-    stored = typed.withColumn(
-        "normalized_value", F.when(F.col("l_linenumber") == 3, number).otherwise(null_value())).withColumn(
-        "extracted_value", F.when((F.col("l_linenumber") == 7) | (supplier % 3 == 1), "free text"))
-    return rv.changed_edits(stored).select(*LINE_KEYS, "reason")
+WHERE CASE WHEN nothing THEN l_suppkey % 3 <> 2 ELSE l_suppkey % 3 <> 0 OR l_quantity >= 25 END"""
 
 
-@query("h09_changed_edits_all_types", DRAFT_SQL + """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, 'Updated from extraction workspace' AS reason FROM typed
-WHERE CASE WHEN nothing THEN l_suppkey % 3 <> 2 ELSE l_suppkey % 3 <> 0 OR l_quantity >= 25 END""")
+@query("h09_changed_edits", CHANGED_SQL)
+@query("h09_changed_edits_all_types", CHANGED_SQL)
 def changed_edits_all_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every draft of the table, against a stored value of its own type (equal below a quantity of 25), extracted text only, or nothing."""
     n, part, supplier, same = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity") < 25

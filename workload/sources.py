@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docweft.operators import calculate as ca, evaluation as ev, ops, review as rv
+from docweft.operators import calculate as ca, evaluation as ev, ops, review as rv, templates as tp
 from docweft.plans.dry_run import extract_documents
 from docweft.schema import CalcDef, FieldDef, Rules, Template
 from docweft.sources import readers as rd, writers as wr
@@ -94,6 +94,48 @@ def read_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("template_id", "kind", "name", "label", "type", "required", "formula", joined(F.col("depends_on")).alias("depends_on"))
 
 
+def whole_definitions(spark: SparkSession, sf_dir: str, later: bool = False) -> DataFrame:
+    """A definition file per 40 parts with contracts, formats, provider settings and thresholds; the later ones change some contracts."""
+    path = scratch(spark, "definitions")
+    k = F.col("p_partkey")
+    least = F.when(F.lit(later) & (k % 3 == 0), F.col("p_size") + 1).otherwise(F.col("p_size"))
+    contract = F.struct(F.lit("object").alias("type"), F.struct(F.struct(F.lit("number").alias("type"), least.alias("minimum")).alias("quantity")).alias("properties"))
+    field = F.struct(
+        F.concat(F.lit("f_"), k.cast("string")).alias("name"), F.col("p_name").alias("label"), F.lit("structured_object").alias("type"),
+        F.when(k % 2 == 0, contract).alias("schema"), F.struct(F.lit("EUR").alias("currency"), (k % 4).alias("decimal_places")).alias("output_format"),
+        F.struct(F.lit(False).alias("allow_null"), F.col("p_retailprice").alias("max")).alias("validation"))
+    settings = F.struct(F.lit("langextract").alias("provider_type"), F.concat(F.lit("model-"), F.col("folder").cast("string")).alias("model"), (F.col("folder") % 2 == 0).alias("allow_external_processing"), F.lit(7).alias("made_up"))
+    files = v.table(spark, sf_dir, "part").groupBy(F.floor(k / 40).alias("folder")).agg(F.collect_list(field).alias("extracted_fields"))
+    files.withColumns({
+        "template_name": F.concat(F.lit("Template "), F.col("folder").cast("string")), "llm_provider_settings": settings,
+        "minimum_confidence_threshold": F.when(F.col("folder") % 3 == 0, 0.9)}).write.partitionBy("folder").json(path)
+    return rd.read_templates(spark, path)
+
+
+@query("a04_read_contracts_and_formats", """
+SELECT 'Template ' || p_partkey // 40 AS template_id, 'f_' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN '{"properties":{"quantity":{"minimum":' || p_size || ',"type":"number"}},"type":"object"}' END AS field_schema,
+  '{"currency":"EUR","decimal_places":' || p_partkey % 4 || '}' AS output_format, p_retailprice AS largest FROM part""")
+def read_contracts_and_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rd.definition_rows(whole_definitions(spark, sf_dir))
+    return rows.select("template_id", "name", "field_schema", "output_format", F.get_json_object("validation", "$.max").cast("double").alias("largest"))
+
+
+@query("a04_read_provider_and_thresholds", """
+SELECT 'Template ' || p_partkey // 40 AS template_id, '1.0.0' AS version, 'langextract' AS provider_type, 'model-' || p_partkey // 40 AS model, (p_partkey // 40) % 2 = 0 AS allow_external_processing,
+  7 AS made_up, CASE WHEN (p_partkey // 40) % 3 = 0 THEN 0.9 ELSE 0.75 END::DOUBLE AS min_confidence, true AS review_low FROM part GROUP BY p_partkey // 40""")
+def read_provider_and_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rd.template_rows(whole_definitions(spark, sf_dir))
+    return rows.select("template_id", "version", "provider_type", "model", "allow_external_processing",
+                       F.variant_get("provider", "$.made_up", "int").alias("made_up"), "min_confidence", "review_low")
+
+
+@query("g03_contract_changes", """
+SELECT 'Template ' || p_partkey // 40 AS template_id, 'f_' || p_partkey AS name, 'modified' AS change, 'field_schema updated' AS details FROM part WHERE p_partkey % 6 = 0""")
+def contract_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, after = (rd.definition_rows(whole_definitions(spark, sf_dir, later)) for later in (False, True))
+    return tp.version_diff(before, after).select("template_id", "name", "change", joined(F.col("details")).alias("details"))
+
+
 def written_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines in files of a thousand lines each, in event order."""
     path = scratch(spark, "logs")
@@ -194,3 +236,17 @@ def append_eval_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         wr.append_eval_history(ev.eval_report(cases), cases, path, run_id, "2024-01-01 00:00:00", "cases")
     runs = spark.read.parquet(f"{path}/runs").select("run_id", "total_cases")
     return spark.read.parquet(f"{path}/case_results").join(runs, "run_id")
+
+
+@query("a11_append_eval_run", evals.RUN_SQL + """
+SELECT run_id, case_name, provider_type, provider_label, model, passed, matched_checks, failed_checks, mismatches_json, (SELECT count(*) FROM totals) AS total_cases
+FROM run, (SELECT unnest(['run_1', 'run_2']) AS run_id)""")
+def append_eval_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs with providers and mismatches, appended from one stored outcome."""
+    path = scratch(spark, "run-history")
+    evals.run_cases(spark, sf_dir).write.parquet(f"{path}/checked")
+    cases = spark.read.parquet(f"{path}/checked")
+    for run_id in ("run_1", "run_2"):
+        wr.append_eval_history(ev.eval_report(cases), cases, path, run_id, "2024-01-01 00:00:00", "cases")
+    runs = spark.read.parquet(f"{path}/runs").select("run_id", "total_cases")
+    return spark.read.parquet(f"{path}/case_results").join(runs, "run_id")
