@@ -13,7 +13,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -295,11 +296,12 @@ def _blocks(members: DataFrame, classes: DataFrame, more: DataFrame) -> DataFram
 
     members: band, row; more: row and the columns that a block needs. A block has about _LEFT by _RIGHT rows.
     """
-    labelled = members.join(classes, "row", "left").withColumn("class", F.coalesce("class", "row"))
+    labelled = members.join(classes, "row", "left").select("band", "row", F.coalesce("class", "row").alias("class"))
+    labelled = written(labelled, "labelled")
     sizes = labelled.groupBy("band", "class").agg(F.count("*").alias("n"))
     whole = sizes.groupBy("band").agg(F.sum("n").alias("all"), F.count("*").alias("classes"), F.max_by("class", F.struct("n", "class")).alias("main"), F.max("n").alias("of_main"))
     open_ = whole.filter("classes > 1").select("band", "main", F.ceil((F.col("all") - F.col("of_main")) / _LEFT).alias("lefts"), F.ceil(F.col("all") / _RIGHT).alias("rights"))
-    rows = labelled.join(open_, "band").join(more, "row")
+    rows = join_split(labelled, open_, "band", heavy_keys(labelled, "band", labelled.count())).join(more, "row")
     spot, columns = F.xxhash64("row"), ["band", "class", *more.columns]
     right = rows.select(*columns, F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("l"), F.pmod(spot, "rights").alias("r"), F.lit(False).alias("left"))
     left = rows.filter("class <> main").select(
@@ -307,47 +309,88 @@ def _blocks(members: DataFrame, classes: DataFrame, more: DataFrame) -> DataFram
     return right.unionByName(left)
 
 
-def _likely_in(block: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
-    """The block's rows, and by position the pairs of different classes that are likely and share no band before this one, with the number of agreeing samples."""
-    classes, samples = block["class"].to_numpy(), _samples(block["signature"])
-    bands = np.frombuffer(b"".join(block["all_bands"]), dtype="<i8").reshape(len(block), BANDS)
-    left, right = np.flatnonzero(block["left"].to_numpy()), np.flatnonzero(~block["left"].to_numpy())
-    here, pairs = (bands == block["band"].to_numpy()[:, None]).argmax(axis=1), []
-    for i in left:
-        agree = (samples[right] == samples[i]).sum(axis=1)
-        met = np.flatnonzero((agree >= LIKELY * _SAMPLES) & (classes[right] != classes[i]))
-        met = met[(bands[right[met]] == bands[i]).argmax(axis=1) == here[i]]
-        pairs.append(np.stack([np.full(len(met), i), right[met], agree[met]]))
-    i, j, agree = np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), dtype=np.int64)
-    return block, i, j, agree
+def _likely_in(band: int, classes: np.ndarray, left: np.ndarray, samples: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the pairs of different classes in a block that are likely and share no band before this one, and their agreeing samples."""
+    one, other = np.flatnonzero(left), np.flatnonzero(~left)
+    pairs = [np.zeros((3, 0), dtype=np.int64)]
+    for i in one if len(other) else ():
+        agree = (samples[other] == samples[i]).sum(axis=1)
+        met = np.flatnonzero((agree >= LIKELY * _SAMPLES) & (classes[other] != classes[i]))
+        if len(met):
+            met = met[(bands[other[met]] == bands[i]).argmax(axis=1) == (bands[i] == band).argmax()]
+            pairs.append(np.stack([np.full(len(met), i), other[met], agree[met]]))
+    i, j, agree = np.concatenate(pairs, axis=1)
+    return i, j, agree
+
+
+def _each_block(batches: Iterator[pd.DataFrame], work: Callable[..., None], done: Callable[[], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Goes through sorted rows block by block; a block may go over the end of a batch. done: what the blocks of a batch have given."""
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        rows = held if batch is None else batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if rows is None or not len(rows):
+            continue
+        keys = rows[["band", "l", "r"]].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+        ends = [*starts[1:].tolist(), len(rows)]
+        whole = len(starts) if batch is None else len(starts) - 1
+        if whole:
+            until = ends[whole - 1]
+            samples = _samples(rows["signature"][:until])
+            bands = np.frombuffer(b"".join(rows["all_bands"][:until]), dtype="<i8").reshape(until, BANDS)
+            columns = {c: rows[c].to_numpy()[:until] for c in rows.columns if c not in ("signature", "all_bands")}
+            for start, end in zip(starts[:whole].tolist(), ends[:whole]):
+                own = {c: x[start:end] for c, x in columns.items()}
+                i, j, agree = _likely_in(int(keys[start, 0]), own["class"], own["left"], samples[start:end], bands[start:end])
+                if len(i):
+                    work(own, i, j, agree)
+            yield done()
+        held = None if batch is None else rows.iloc[starts[-1] :]
+
+
+def _in_blocks(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition(F.col("band"), F.col("l"), F.col("r")).sortWithinPartitions("band", "l", "r")
+
+
+def _rows_with_likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    found: list[np.ndarray] = []
+
+    def done() -> pd.DataFrame:
+        rows = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+        found.clear()
+        return pd.DataFrame({"row": rows})
+
+    return _each_block(batches, lambda own, i, j, _: found.append(own["row"][np.concatenate([i, j])]), done)
+
 
+def _uniting(similarity: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        links: list[tuple[int, int, float]] = []
 
-def _rows_with_likely(block: pd.DataFrame) -> pd.DataFrame:
-    block, i, j, _ = _likely_in(block)
-    return pd.DataFrame({"row": np.unique(block["row"].to_numpy()[np.concatenate([i, j]).astype(np.int64)])})
+        def unite(own: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, agree: np.ndarray) -> None:
+            rows, classes, sets = own["row"], own["class"], own["set"]
+            over: dict[int, int] = {}
 
+            def top(c: int) -> int:
+                while over.setdefault(c, c) != c:
+                    over[c] = c = over.setdefault(over[c], over[c])
+                return c
 
-def _uniting(similarity: float):
-    def unite(block: pd.DataFrame) -> pd.DataFrame:
-        block, i, j, agree = _likely_in(block)
-        rows, classes, sets = block["row"].to_numpy(), block["class"].to_numpy(), block["set"].to_numpy()
-        over = {c: c for c in np.unique(classes).tolist()}
+            for at in np.argsort(-agree, kind="stable"):
+                x, y = int(i[at]), int(j[at])
+                one, other = top(int(classes[x])), top(int(classes[y]))
+                if one != other and (near := weighted_jaccard(sets[x], sets[y])) >= similarity:
+                    over[one] = other
+                    links.append((min(rows[x], rows[y]), max(rows[x], rows[y]), near))
 
-        def top(c: int) -> int:
-            while over[c] != c:
-                over[c] = c = over[over[c]]
-            return c
+        def done() -> pd.DataFrame:
+            made = pd.DataFrame(links, columns=["a", "b", "near"]).astype({"a": np.int64, "b": np.int64, "near": float})
+            links.clear()
+            return made
 
-        links = []
-        for at in np.argsort(-agree, kind="stable"):
-            x, y = int(i[at]), int(j[at])
-            one, other = top(int(classes[x])), top(int(classes[y]))
-            if one != other and (near := weighted_jaccard(sets[x], sets[y])) >= similarity:
-                over[one] = other
-                links.append((min(rows[x], rows[y]), max(rows[x], rows[y]), near))
-        return pd.DataFrame(links, columns=["a", "b", "near"]).astype({"a": np.int64, "b": np.int64, "near": float})
+        return _each_block(batches, unite, done)
 
-    return unite
+    return run
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -376,12 +419,12 @@ def _near_duplicates(docs: DataFrame, similarity: float) -> DataFrame:
     pairs = members.filter("row <> star").select(F.least("row", "star").alias("a"), F.greatest("row", "star").alias("b")).distinct()
     pairs = written(likely_pairs(pairs, signatures), "pairs")
     members, ends = members.select("band", "row"), pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row")))
-    also = _blocks(members, smallest_connected(pairs), signatures).groupBy("band", "l", "r").applyInPandas(_rows_with_likely, "row long")
+    also = _in_blocks(_blocks(members, smallest_connected(pairs), signatures)).mapInPandas(_rows_with_likely, "row long")
     involved = written(ends.unionByName(also).distinct().join(rows.select("row", "doc_id", "text_key"), "row"), "involved")
     sets = written(_sets(docs, involved, levels), "sets")
     links = verified(pairs, sets, similarity)
     inside = _blocks(members.join(involved.select("row"), "row", "left_semi"), smallest_connected(links), signatures.join(sets, "row"))
-    uniting = inside.groupBy("band", "l", "r").applyInPandas(_uniting(similarity), "a long, b long, near double").groupBy("a", "b").agg(F.max("near").alias("near"))
+    uniting = _in_blocks(inside).mapInPandas(_uniting(similarity), "a long, b long, near double").groupBy("a", "b").agg(F.max("near").alias("near"))
     links = links.unionByName(written(uniting, "links"))
     return _classes(rows, copies, links)
 
