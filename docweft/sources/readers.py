@@ -6,6 +6,7 @@ import io
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # ---- fixed values -------------------------------------------------------------------------------
@@ -55,11 +56,15 @@ def route_by_suffix(files: DataFrame, path: str = "path") -> DataFrame:
 
 def read_text_documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Text files, one row per file: `path`, `text`. Bytes that are not UTF-8 are left out."""
+    @F.arrow_udf("string")
+    def without_bad_bytes(contents: pa.Array) -> pa.Array:
+        return pa.array([None if c is None else c.decode("utf-8", "ignore") for c in contents.to_pylist()], pa.string())
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     raw = F.col("content").cast("string")
-    # Invalid bytes become U+FFFD, which is then removed; valid texts pass through untouched.
-    cleaned = F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit(""))
-    return files.select("path", F.when(F.is_valid_utf8(raw), raw).otherwise(cleaned).alias("text"))
+    valid = F.is_valid_utf8(raw)
+    # valid texts stay in the JVM
+    return files.select("path", F.when(valid, raw).otherwise(without_bad_bytes(F.when(~valid, F.col("content")))).alias("text"))
 
 
 def read_delimited_rows(spark: SparkSession, path: str | Sequence[str], schema: str | None = None) -> DataFrame:
@@ -80,6 +85,23 @@ def read_delimited_documents(spark: SparkSession, path: str | Sequence[str]) ->
     return files.select("path", "content").mapInPandas(rewrite, "path string, text string")
 
 
+def read_delimited_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """CSV files of the same columns as normalized lines: path, line_number (0: the header), line.
+
+    Files are read split by split, so a huge one is shared by many tasks; values stay the text they are, quoted where they must be.
+    Rows may not hold line ends inside quotes.
+    """
+    reader = spark.read.option("header", "true").option("recursiveFileLookup", "true").option("escape", '"')
+    plain = reader.csv(path)
+    options = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    rows = plain.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("row_id"), F.to_csv(F.struct(*plain.columns), options).alias("line"))
+    header = spark.range(1).select(F.to_csv(F.struct(*[F.lit(c).alias(c) for c in plain.columns]), options)).first()[0]
+    files = rows.select("path").distinct().select("path", F.lit(0).cast("bigint").alias("line_number"), F.lit(header).alias("line"))
+    return line_numbers(rows, rows).select("path", "line_number", "line").unionByName(files)
+
+
 def _json_files(spark: SparkSession, path: str | Sequence[str], ddl: str) -> DataFrame:
     schema = T._parse_datatype_string(" ".join(ddl.split()))
     return (

@@ -143,3 +143,29 @@ def test_candidates_are_gone_through_once(spark):
     plain = edits.withColumn("fields", F.transform("fields", lambda f: f.withField("normalized_value", F.lit(None).cast("struct<text:string,number:double,amount:double,currency:string,display_value:string,flag:boolean,items:array<string>,object_json:string>"))))
     plan = fb.suggestions(fb.edit_candidates(plain))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("span_override") == 1
+
+
+def test_bad_bytes_go_and_replacement_characters_stay(spark, tmp_path):
+    from docweft.sources import readers as rd
+
+    (tmp_path / "x.txt").write_bytes("kept \ufffd, ".encode() + b"gone \xff\xc3(")
+    (tmp_path / "y.txt").write_text("all \ufffd fine")
+    got = {r.path.rsplit("/", 1)[1]: r.text for r in rd.read_text_documents(spark, str(tmp_path)).collect()}
+    assert got == {"x.txt": "kept \ufffd, gone (", "y.txt": "all \ufffd fine"}
+
+
+def test_lines_of_large_delimited_files_are_split(spark, tmp_path):
+    from docweft.sources import readers as rd
+
+    rows = [f'{i},"a ""quoted"" {i}, b",007,{" " * (i % 3)}x' for i in range(3000)]
+    (tmp_path / "a.csv").write_text("\n".join(["id,text,code,pad", *rows]) + "\n")
+    (tmp_path / "b.csv").write_text('id,text,code,pad\n1,,"x",y\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        lines = rd.read_delimited_lines(spark, str(tmp_path))
+        got = {(r.path.rsplit("/", 1)[1], r.line_number): r.line for r in lines.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 3003 and got["a.csv", 0] == "id,text,code,pad" and got["b.csv", 1] == "1,,x,y"
+    assert [got["a.csv", i + 1] for i in range(3000)] == rows

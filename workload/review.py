@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docweft.operators import calculate as ca, review as rv
-from docweft.schema import CalcDef, FieldDef, Template, null_value, value_struct
+from docweft.schema import CalcDef, FieldDef, Template, value_struct
 from workload import views as v
 from workload.extraction import joined
 from workload.registry import query

@@ -63,6 +63,19 @@ def read_delimited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rd.read_delimited_rows(spark, path, "s_suppkey bigint, s_name string, s_acctbal double")
 
 
+@query("a02_read_delimited_lines", """
+WITH r AS (SELECT s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS line_number, s_suppkey || ',"' || s_name || ', Ltd",' || CAST(s_acctbal AS VARCHAR) AS line FROM supplier)
+SELECT * FROM r UNION ALL SELECT DISTINCT s_nationkey, 0, 's_suppkey,s_name,s_acctbal' FROM supplier""")
+def read_delimited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "lines")
+    named = F.concat("s_name", F.lit(", Ltd"))
+    rows = v.table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", named.alias("s_name"), "s_acctbal")
+    rows.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey").write.partitionBy("s_nationkey").option(
+        "header", "true").csv(path)
+    key = F.regexp_extract("path", r"s_nationkey=(\d+)", 1).cast("int")
+    return rd.read_delimited_lines(spark, path).select(key.alias("s_nationkey"), "line_number", "line")
+
+
 SUFFIXES = (".txt", ".MD", ".csv", ".XLSX", ".pdf", ".jpeg", ".htm", ".rtf", "")
 
 
