@@ -72,31 +72,57 @@ def buckets_for(spark: SparkSession, rows: int, most: int = 100_000) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // most))
 
 
+#: Bits of the largest filter that is broadcast: 16 MB.
+FILTER_BITS = 27
+
+
+def _listed(rows: DataFrame, key: str, listed: DataFrame, count: int) -> DataFrame:
+    """rows with `__maybe`: whether they may be among the listed (doc_id, text_key); true for each that is, and for few others.
+
+    The hashes of the listed rows set bits of a filter of 64 bits a row, at most 2^FILTER_BITS, held as bitmaps of 32,768 bits each.
+    """
+    bits = min(FILTER_BITS, max(15, (64 * count - 1).bit_length()))
+    place = lambda key: F.pmod(F.xxhash64("doc_id", key), F.lit(1 << bits))
+    own = listed.select(place("text_key").alias("at")).groupBy(F.shiftright("at", 15).alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32_767))).alias("__bits"))
+    met = rows.withColumns({"__at": place(key), "__bucket": F.shiftright(place(key), 15)}).join(F.broadcast(own), "__bucket", "left")
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(F.col("__at").bitwiseAND(F.lit(32_767)), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.getbit(byte, F.col("__at").bitwiseAND(F.lit(7)).cast("int"))
+    return met.withColumn("__maybe", F.coalesce(bit == 1, F.lit(False))).drop("__bits", "__bucket", "__at")
+
+
 def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of docs that decisions (doc_id, text_key, kept: one row per row of docs) keep.
 
-    Of rows equal in doc_id and text, as many stay as are kept. Texts meet only the short
-    list of dropped rows: Spark broadcasts it if its written size allows, else shuffles. Repeated rows of which several but not all stay
-    are written and numbered on their keys, in ranges, however many there are.
+    Of rows equal in doc_id and text, as many stay as are kept. Texts are not shuffled for it: a bounded filter of the dropped rows' hashes is
+    broadcast, rows that it lets pass stay, and of the few others only the keys meet the list of dropped rows. Repeated rows of which
+    several but not all stay are written and numbered on their keys, in ranges, however many there are.
     """
     row = written(decisions.groupBy("doc_id", "text_key").agg(
         F.count("*").alias("rows"), F.sum(F.col("kept").cast("long")).alias("stay")).filter("stay < rows"), "decisions")
-    keyed = docs.withColumn("__key", text_key())
+    count = row.count()
+    if not count:
+        return docs
+    keyed = _listed(docs.withColumn("__key", text_key()), "__key", row, count)
 
     def meets(rows: DataFrame, side: DataFrame, how: str, *more: str) -> DataFrame:
         side = side.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), *more)
         return rows.join(side, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text")), how)
 
-    kept, one, several = meets(keyed, row, "left_anti"), row.filter("stay = 1"), row.filter("stay > 1")
+    kept, maybe = keyed.filter("NOT __maybe"), keyed.filter("__maybe")
+    wrongly = written(meets(maybe.select("doc_id", "__key"), row, "left_anti").distinct().withColumnRenamed("__key", "text_key"), "wrongly")
+    one, several = row.filter("stay = 1"), row.filter("stay > 1")
+    if not wrongly.isEmpty():
+        kept = kept.unionByName(meets(maybe, wrongly, "left_semi"))
     if not one.isEmpty():
-        kept = kept.unionByName(meets(keyed, one, "left_semi").dropDuplicates(["doc_id", "__key"]))
+        kept = kept.unionByName(meets(maybe, one, "left_semi").dropDuplicates(["doc_id", "__key"]))
     if not several.isEmpty():
-        some = written(meets(keyed, several, "left_semi").withColumn("__at", F.monotonically_increasing_id()), "repeated")
+        some = written(meets(maybe, several, "left_semi").withColumn("__at", F.monotonically_increasing_id()), "repeated")
         group = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("__key").cast("string"))
         numbers = numbered(written(some.select("doc_id", "__key", "__at", group.alias("__group")), "numbers"), "__group", [])
         first = meets(numbers, several, "inner", F.col("stay").alias("__stay")).filter("idx < __stay").select("__at")
         kept = kept.unionByName(some.join(first, "__at", "left_semi").drop("__at"))
-    return kept.drop("__key")
+    return kept.drop("__key", "__maybe")
 
 
 def rows_before(counts: DataFrame, bucket: str, *within: str) -> DataFrame:
