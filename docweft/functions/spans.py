@@ -1,13 +1,13 @@
 """Spans of texts as Arrow functions: found, merged and masked in time that grows with the text and its spans.
 
 Positions are held as sorted numpy arrays and go back as Arrow lists, so no span becomes a Python object of its own. Offsets count
-code points.
+code points. Batches are gone through in short stretches of rows, so what Python holds besides a batch is bounded by a stretch.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,38 @@ _MASKED = re.compile(NON_BLANK_CLASS)
 _DIGIT = re.compile(r"\d")
 _MARKER = re.compile(PAGE_MARKER)
 _LARGEST = 2**31 - 1
+#: Bytes of the columns of a stretch of rows, of which several copies are held; a longer row is a stretch of its own.
+STRETCH_BYTES = 1 << 20
+
+
+def stretches(columns: Sequence[pa.Array], most: int = STRETCH_BYTES) -> Iterator[list[pa.Array]]:
+    """The rows of a batch in order, about `most` bytes at a time; an empty batch gives one empty stretch."""
+    rows, start = len(columns[0]), 0
+    share = max(1, int(rows * most / max(1, sum(c.nbytes for c in columns))))
+    while start < rows or not rows:
+        size = min(share, rows - start)
+        while size > 1 and sum(c.slice(start, size).nbytes for c in columns) > most:
+            size //= 2
+        yield [c.slice(start, size) for c in columns]
+        start += size
+        if not rows:
+            return
+
+
+def in_stretches(function: Callable[..., pa.Array], returns: str, *columns: Column) -> Column:
+    """A function of Arrow arrays over the columns, called for a stretch of rows at a time, each given back before the next is read."""
+    if len(columns) == 1:
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                for piece in stretches([batch]):
+                    yield function(*piece)
+    else:
+        def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            for batch in batches:
+                for piece in stretches(batch):
+                    yield function(*piece)
+
+    return F.arrow_udf(run, returns)(*columns)
 
 
 def lists_of(rows: Sequence[tuple | None], types: Sequence[pa.DataType], names: Sequence[str]) -> pa.Array:
@@ -93,25 +125,23 @@ def spans_of(text: Column, patterns: dict[str, tuple[str, str]]) -> Column:
     """All matches of the patterns (name to what a text must hold, and the pattern); none for a null text."""
     names, compiled = _compiled(patterns)
 
-    @F.arrow_udf(SPAN_ARRAY)
     def find(texts: pa.Array) -> pa.Array:
         return _span_lists([found(t.as_py() or "", compiled) for t in texts], names)
 
-    return find(text)
+    return in_stretches(find, SPAN_ARRAY, text)
 
 
 def redacted(text: Column, patterns: dict[str, tuple[str, str]], char: str) -> Column:
     """Struct (text, spans): the masked text and its merged spans, found in one go over the text; a null text stays null."""
     names, compiled = _compiled(patterns)
 
-    @F.arrow_udf(f"struct<text:string,spans:{SPAN_ARRAY}>")
     def redact(texts: pa.Array) -> pa.Array:
         plain = texts.to_pylist()
         rows = [islands(*found(t or "", compiled)) for t in plain]
         out = [masked(t, s.tolist(), e.tolist(), char) if t is not None and len(s) else t for t, (s, e, _) in zip(plain, rows)]
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), _span_lists(rows, names)], names=["text", "spans"])
 
-    return redact(text)
+    return in_stretches(redact, f"struct<text:string,spans:{SPAN_ARRAY}>", text)
 
 
 def _of_row(spans: pa.ListArray, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
@@ -123,7 +153,6 @@ def _of_row(spans: pa.ListArray, row: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 def merged_spans(spans: Column) -> Column:
     """The merged spans of a row's span array (any order, overlaps allowed)."""
-    @F.arrow_udf(SPAN_ARRAY)
     def merge(lists: pa.Array) -> pa.Array:
         rows = []
         for row in range(len(lists)):
@@ -135,12 +164,11 @@ def merged_spans(spans: Column) -> Column:
             rows.append((starts, ends, _named(kinds, names)))
         return lists_of(rows, (pa.int32(), pa.int32(), pa.string()), ("start", "end", "entity_type"))
 
-    return merge(spans)
+    return in_stretches(merge, SPAN_ARRAY, spans)
 
 
 def masked_by(text: Column, spans: Column, char: str) -> Column:
     """The text masked by a row's span array (any order, overlaps allowed; null: none)."""
-    @F.arrow_udf("string")
     def mask(texts: pa.Array, lists: pa.Array) -> pa.Array:
         out = []
         for row, text in enumerate(texts.to_pylist()):
@@ -151,7 +179,7 @@ def masked_by(text: Column, spans: Column, char: str) -> Column:
             out.append(text)
         return pa.array(out, pa.string())
 
-    return mask(text, spans)
+    return in_stretches(mask, "string", text, spans)
 
 
 def markers(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -163,11 +191,10 @@ def markers(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def markers_of(text: Column) -> Column:
     """Array of (pos, page) for every `[Page N]` marker, in text order; empty for a null text."""
-    @F.arrow_udf(MARKER_ARRAY)
     def mark(texts: pa.Array) -> pa.Array:
         return lists_of([markers(t.as_py() or "") for t in texts], (pa.int32(), pa.int32()), ("pos", "page"))
 
-    return mark(text)
+    return in_stretches(mark, MARKER_ARRAY, text)
 
 
 def cited(text: Column, spans: Column) -> Column:
@@ -175,7 +202,6 @@ def cited(text: Column, spans: Column) -> Column:
 
     A span without a start, or ending before it, has neither; the markers are found once a text and looked up by binary search.
     """
-    @F.arrow_udf("array<struct<source:string,page:int>>")
     def cite(texts: pa.Array, lists: pa.Array) -> pa.Array:
         rows = []
         for row, text in enumerate(texts.to_pylist()):
@@ -191,7 +217,7 @@ def cited(text: Column, spans: Column) -> Column:
             rows.append(([text[s:e] if ok else None for s, e, ok in zip(starts, ends, good)], [pages[i - 1] if i else None for i in at]))
         return lists_of(rows, (pa.string(), pa.int32()), ("source", "page"))
 
-    return cite(text, spans)
+    return in_stretches(cite, "array<struct<source:string,page:int>>", text, spans)
 
 
 def window_bounds(breaks: np.ndarray, length: int, size: int, overlap: int) -> tuple[list[int], list[int]]:
@@ -212,7 +238,6 @@ def window_bounds(breaks: np.ndarray, length: int, size: int, overlap: int) -> t
 
 def chunks_of(text: Column, size: int, overlap: int) -> Column:
     """Array of (start, end, chunk) of each stripped text: its windows, stripped, blank ones left out unless the text is blank."""
-    @F.arrow_udf(CHUNK_ARRAY)
     def cut(texts: pa.Array) -> pa.Array:
         rows = []
         for text in texts.to_pylist():
@@ -226,4 +251,4 @@ def chunks_of(text: Column, size: int, overlap: int) -> Column:
             rows.append(([starts[i] for i in keep], [ends[i] for i in keep], [pieces[i] for i in keep]))
         return lists_of(rows, (pa.int32(), pa.int32(), pa.string()), ("start", "end", "chunk"))
 
-    return cut(text)
+    return in_stretches(cut, CHUNK_ARRAY, text)

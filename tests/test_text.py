@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docweft.functions import text as tx
+from docweft.functions import spans as sp, text as tx
 from docweft.operators import redaction as rd, text_prep as tp
 from workload.fixed import INVOICE
 
@@ -169,3 +170,19 @@ def test_fixed_decimals_round_the_binary_value(spark):
     df = spark.createDataFrame([(0.125,), (2.675,), (1234.5,)], "x double")
     got = [r[0] for r in df.select(tx.fixed_decimals(F.col("x"))).collect()]
     assert got == [f"{x:.2f}" for x in (0.125, 2.675, 1234.5)]
+
+
+def test_arrow_functions_see_short_stretches(spark):
+    """A batch of 30 MB reaches the functions in pieces of about a megabyte, rows in order; a longer row and no rows at all are fine."""
+    docs = spark.range(0, 9_001, 1, 1).select("id", F.when(F.col("id") == 5, F.repeat(F.lit("b"), 3_000_000)).when(
+        F.col("id") != 7, F.repeat(F.lit("a b"), 1_000)).alias("text"))
+    own = docs.select("id", sp.in_stretches(lambda t: pa.array([t.nbytes] * len(t)), "long", F.col("text")).alias("n"))
+    sizes = {r.id: r.n for r in own.collect()}
+    assert len(sizes) == 9_001 and sizes[5] > 3_000_000
+    assert max(n for i, n in sizes.items() if i != 5) <= sp.STRETCH_BYTES
+    chunks = docs.select("id", F.length("text").alias("n"), sp.chunks_of(F.col("text"), 700, 100).alias("c"), sp.spans_of(F.col("text"), {}).alias("s"))
+    wrong = chunks.filter("id = 7 AND c IS NOT NULL OR id != 7 AND (c[0].start != 0 OR element_at(c, -1).end != n) OR size(s) != 0")
+    assert wrong.count() == 0 and chunks.count() == 9_001 and chunks.filter("id < 0").count() == 0
+    long = pa.array(["a" * 600_000, None, "b" * 600_000, "c"])
+    assert pa.concat_arrays([c[0] for c in sp.stretches([long])]) == long and max(c[0].nbytes for c in sp.stretches([long])) <= sp.STRETCH_BYTES
+    assert [len(c[0]) for c in sp.stretches([pa.array([], pa.string())])] == [0]
