@@ -98,7 +98,11 @@ def first_failure(value: Column, contract: dict) -> Column:
 
 def contract_error(value: Column, field: FieldDef) -> Column:
     """The value itself or its `value` member may satisfy the contract; the value's own failure is reported."""
-    whole = as_variant(value, field.type)
+    return variant_error(as_variant(value, field.type), field)
+
+
+def variant_error(whole: Column, field: FieldDef) -> Column:
+    """`contract_error` of a value that is a variant already; it is looked at once per clause, so it had better be a column of its own step."""
     failure = first_failure(whole, field.contract)
     inner = F.try_variant_get(whole, "$.value", "variant")
     inner_fits = inner.isNotNull() & first_failure(inner, field.contract).isNull()

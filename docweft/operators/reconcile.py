@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docweft.functions import text as tx
-from docweft.functions.contracts import contract_error
+from docweft.functions.contracts import as_variant, contract_error, variant_error
 from docweft.operators.extract import rule_candidate, rule_hits
 from docweft.schema import (
     CANDIDATE_COLUMNS, LIST_TYPES, FieldDef, Template, null_value, typed_value, value_json, value_struct,
@@ -152,53 +152,73 @@ def allowed_key(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
 
 
-def canonical(candidate: Column, allowed: Sequence[str], similarity: float = DEFAULT_SIMILARITY) -> Column:
-    """Struct (value, note): exact, then same key, then most similar allowed value; else unchanged.
+def canonical(candidates: Column, allowed: Sequence[str], similarity: float = DEFAULT_SIMILARITY) -> Column:
+    """Array of structs (value, note) for an array of texts: exact, then same key, then most similar allowed value; else unchanged.
 
-    Similarity is `1 - edit distance / longer length`. The allowed values are literals of the plan.
+    Similarity is `1 - edit distance / longer length`. The allowed values are literals of the plan. Each step goes over the array of the
+    step before, so that a key is made and distances are taken once a text, and only for texts that the steps before leave open.
     """
     by_key: dict[str, str] = {}
     for value in allowed:
         by_key.setdefault("".join(ch.lower() for ch in value if ch.isalnum()), value)
     pairs = [F.lit(part) for item in by_key.items() for part in item]
-    same_key = F.try_element_at(F.create_map(*pairs), allowed_key(candidate))
-    scored = F.array_max(F.array(*[
-        F.struct((1 - F.levenshtein(candidate, F.lit(value)) / F.greatest(F.length(candidate), F.lit(max(len(value), 1)))).alias("score"),
-                 F.lit(-rank).alias("rank"), F.lit(value).alias("value"))
-        for rank, value in enumerate(allowed)]))
-    close = F.when(scored["score"] >= similarity, scored["value"])
 
-    def note(target: Column, how: str) -> Column:
-        return F.concat(F.lit("Canonicalized allowed value from '"), candidate, F.lit("' to '"), target, F.lit(f"' using {how}."))
+    def keyed(text: Column) -> Column:
+        exact = F.coalesce(text.isin(*allowed), F.lit(False))
+        same_key = F.try_element_at(F.create_map(*pairs), allowed_key(text))
+        return F.struct(text.alias("text"), exact.alias("exact"), F.when(~exact, same_key).alias("same_key"))
+
+    def scored(k: Column) -> Column:
+        best = F.array_max(F.array(*[
+            F.struct((1 - F.levenshtein(k["text"], F.lit(value)) / F.greatest(F.length(k["text"]), F.lit(max(len(value), 1)))).alias("score"),
+                     F.lit(-rank).alias("rank"), F.lit(value).alias("value"))
+            for rank, value in enumerate(allowed)]))
+        return F.struct(k["text"].alias("text"), k["same_key"].alias("same_key"), F.when(~k["exact"] & k["same_key"].isNull(), best).alias("best"))
+
+    def settled(s: Column) -> Column:
+        close = F.when(s["best"]["score"] >= similarity, s["best"]["value"])
+
+        def note(target: Column, how: str) -> Column:
+            return F.concat(F.lit("Canonicalized allowed value from '"), s["text"], F.lit("' to '"), target, F.lit(f"' using {how}."))
+
+        return F.struct(
+            F.coalesce(s["same_key"], close, s["text"]).alias("value"),
+            F.coalesce(note(s["same_key"], "normalized comparison"), note(close, "guarded fuzzy matching")).alias("note"))
+
+    return F.transform(F.transform(F.transform(candidates, keyed), scored), settled)
 
-    exact = candidate.isin(*allowed)
-    return F.struct(
-        F.when(exact, candidate).otherwise(F.coalesce(same_key, close, candidate)).alias("value"),
-        F.when(exact, None).when(same_key.isNotNull(), note(same_key, "normalized comparison"))
-        .when(close.isNotNull(), note(close, "guarded fuzzy matching")).alias("note"),
-    )
+
+def canonicalized(result: Column, field: FieldDef, similarity: float) -> Column:
+    """The texts of a field with allowed values, canonical: its items, or its one text."""
+    value = result["normalized_value"]
+    return canonical(value["items"] if field.type in LIST_TYPES else F.array(value["text"]), field.allowed_values, similarity)
 
 
-def canonicalize_field(result: Column, field: FieldDef, similarity: float) -> tuple[Column, Column, Column]:
-    """(normalized value, note, allowed?) of a field with allowed values."""
+def canonicalize_field(result: Column, field: FieldDef, canonical_texts: Column) -> tuple[Column, Column, Column]:
+    """(normalized value, note, allowed?) of a field with allowed values, from the column that `canonicalized` gave."""
     value = result["normalized_value"]
     others = {m: value[m] for m in ("number", "amount", "currency", "display_value", "flag", "object_json")}
     if field.type in LIST_TYPES:
-        each = F.transform(value["items"], lambda item: canonical(item, field.allowed_values, similarity))
-        items = F.transform(each, lambda c: c["value"])
-        notes = F.array_compact(F.transform(each, lambda c: c["note"]))
-        note = F.when(F.size(notes) > 0, F.array_join(notes, " "))
+        notes = F.array_join(canonical_texts["note"], " ")
         # A list is never itself one of the allowed scalars, so it is reported even when each item is one.
-        return F.when(value.isNotNull(), value_struct(items=items, text=value["text"], **others)), note, F.lit(False)
-    picked = canonical(value["text"], field.allowed_values, similarity)
+        changed = value_struct(items=canonical_texts["value"], text=value["text"], **others)
+        return F.when(value.isNotNull(), changed), F.nullif(notes, F.lit("")), F.lit(False)
+    picked = F.get(canonical_texts, F.lit(0))
     changed = F.when(value.isNotNull(), value_struct(text=picked["value"], items=value["items"], **others))
     return changed, picked["note"], picked["value"].isin(*field.allowed_values)
 
 
-def check_field(
-    result: Column, field: FieldDef, min_confidence: float, review_low: bool, similarity: float = DEFAULT_SIMILARITY
-) -> Column:
-    """What validation changes in a field's result: value, notes, review flag, errors in rule order."""
+def prepared(result: Column, field: FieldDef, similarity: float) -> Column | None:
+    """What the checks of a field use several times: its canonical texts, or its value as a variant for its contract. To be a column of its own step."""
+    if field.allowed_values:
+        return canonicalized(result, field, similarity)
+    if field.contract:
+        return as_variant(typed_value(result["normalized_value"], field.type), field.type)
+    return None
+
+
+def check_field(result: Column, field: FieldDef, min_confidence: float, review_low: bool, ready: Column | None = None) -> Column:
+    """What validation changes in a field's result: value, notes, review flag, errors in rule order. ready: the column that `prepared` gave."""
     value, notes = result["normalized_value"], result["notes"]
     missing = value.isNull()
     review = result["requires_review"]
@@ -208,11 +228,12 @@ def check_field(
     if not field.rules.allow_null:
         checks.append(F.when(missing, NULL_NOT_ALLOWED))
     if field.allowed_values:
-        value, note, allowed = canonicalize_field(result, field, similarity)
+        value, note, allowed = canonicalize_field(result, field, ready)
         notes, review = tx.append_note(notes, note), review | note.isNotNull()
         checks.append(F.when(~missing & ~F.coalesce(allowed, F.lit(False)), OUTSIDE_ALLOWED))
     if field.contract:
-        checks.append(F.when(~missing, contract_error(typed_value(value, field.type), field)))
+        own = contract_error(typed_value(value, field.type), field) if field.allowed_values else variant_error(ready, field)
+        checks.append(F.when(~missing, own))
     extracted = result["extracted_value"]
     if field.rules.regex:
         checks.append(F.when(~F.regexp_like(extracted, F.lit(rf"\A(?:{field.rules.regex})")), PATTERN_MISMATCH))
@@ -247,14 +268,16 @@ def checked_field(result: Column, checked: Column, errors: Column) -> Column:
 def validate_wide(wide: DataFrame, template: Template, similarity: float = DEFAULT_SIMILARITY) -> DataFrame:
     """Validate every field of wide results.
 
-    Three steps, so that each rule is evaluated once: the checks (in generated code), the compacted error
+    Four steps, so that each rule is evaluated once: canonical texts and parsed values, the checks (in generated code), the compacted error
     lists (an array function, which is not), and the assembled results.
     """
     names = template.field_names
     others = [c for c in wide.columns if c not in names]
+    ready = {f.name: made for f in template.fields if (made := prepared(F.col(f.name), f, similarity)) is not None}
+    wide = wide.select("*", *[made.alias(f"_ready_{name}") for name, made in ready.items()])
     checks = wide.select(*others, *names, *[
-        check_field(F.col(f.name), f, template.min_confidence, template.review_low, similarity).alias(f"_checked_{f.name}")
-        for f in template.fields])
+        check_field(F.col(f.name), f, template.min_confidence, template.review_low, F.col(f"_ready_{f.name}") if f.name in ready else None)
+        .alias(f"_checked_{f.name}") for f in template.fields])
     compact = checks.select("*", *[F.array_compact(F.col(f"_checked_{n}")["errors"]).alias(f"_errors_{n}") for n in names])
     return compact.select(*others, *[
         checked_field(F.col(n), F.col(f"_checked_{n}"), F.col(f"_errors_{n}")).alias(n) for n in names])

@@ -194,3 +194,25 @@ def test_dry_run_reports_blank_samples(spark):
     got = {r.doc_id: r for r in schema_dry_run(docs(spark, "Total: $5", "  \n"), template(AMOUNT, calcs=(BUFFER,))).collect()}
     assert got[0].ok and got[0].schema_errors == []
     assert not got[1].ok and got[1].schema_errors == ["Sample text is required for a dry run."]
+
+
+def test_validation_prepares_a_value_once(spark):
+    """Each text is compared with each allowed value in one place of the plan; structured values are parsed before their contract is checked."""
+    fields = (FieldDef("terms", "Terms", "multi_select", allowed_values=("Net 30", "Net 60")), FieldDef("term", "Term", "category", allowed_values=("Net 30", "Net 60")),
+              FieldDef("line", "Line", "structured_object", contract={"type": "object", "required": ["sku"], "properties": {"n": {"minimum": 1}}}))
+    rows = [(["Net 3O", None, "net60"], "net-30", '{"n":0}'), (None, "cash", "[1]"), ([], None, None)]
+    raw = spark.createDataFrame(rows, "items array<string>, one string, body string")
+
+    def field(value):
+        fixed = {"normalized_value": value, "notes": F.lit(""), "requires_review": F.lit(False)}
+        return F.struct(*[fixed.get(c, F.lit(None)).cast(t).alias(c) for c, t in rc.CANDIDATE_COLUMNS.items()], F.lit(1).alias("n_candidates"))
+
+    wide = raw.select(field(value_struct(items=F.col("items"))).alias("terms"), field(value_struct(text=F.col("one"))).alias("term"),
+                      field(value_struct(object_json=F.col("body"))).alias("line"))
+    checked = rc.validate_wide(wide, Template("T", "1", "t", fields, review_low=False))
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("levenshtein(") == 4
+    got = checked.select("terms.normalized_value.items", "term.normalized_value.text", "term.notes", "line.validation_errors").collect()
+    assert [list(r["items"]) if r["items"] is not None else None for r in got] == [["Net 3O", None, "Net 60"], None, []]
+    assert [r.text for r in got] == ["Net 30", "cash", None] and got[0].notes.endswith("using normalized comparison.")
+    assert "'sku' is a required property" in got[0].validation_errors[0] and "is not of type 'object'" in got[1].validation_errors[0]
