@@ -19,9 +19,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docweft.llm.shared import numbered, small_batches, text_key, text_or_empty, written
 
 BUCKET_BITS = 16
-#: Most labelled documents that are looked up as target texts: those with the smallest hashes. 16 bytes each are broadcast.
-TARGET_SAMPLE = 20_000
-#: k is set so that this share of the sampled target documents is drawn.
+#: Most bitmaps (4 KB each, of 32,768 neighbouring doc_ids) that are broadcast to tell target documents; beyond that they are joined.
+MOST_BITMAPS = 4_096
+#: k is set so that this share of the target documents set aside from fitting is drawn.
 KEEP_TARGET = 0.995
 #: Log ratios are means over a document's features times this; it sets how much the Gumbel noise may change the order.
 SHARPNESS = 200.0
@@ -74,11 +74,33 @@ def _word_stretches(text: str, most: int = 200_000) -> Iterator[list[str]]:
         yield words
 
 
-def target_sample(labels: DataFrame, most: int = TARGET_SAMPLE) -> DataFrame:
-    """At most `most` doc_ids labelled good and not toxic, half of them to fit the target model, half to set the threshold."""
+def _fits(key: str) -> Column:
+    return F.xxhash64(F.lit("target"), key) % 2 == 0
+
+
+def target_sample(labels: DataFrame) -> DataFrame:
+    """All doc_ids labelled good and not toxic, by hash half of them to fit the target model, half to set the threshold."""
     good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    mark = F.xxhash64(F.lit("target"), "doc_id")
-    return good.orderBy(mark, "doc_id").limit(most).select(F.col("doc_id").alias("__target"), (mark % 2 == 0).alias("__fit"))
+    return good.select(F.col("doc_id").alias("__target"), _fits("doc_id").alias("__fit"))
+
+
+def marked_targets(docs: DataFrame, labels: DataFrame, most: int = MOST_BITMAPS) -> DataFrame:
+    """docs with `__fit`: true for target documents to fit by, false for those set aside, null for others.
+
+    Target ids that lie close enough together are broadcast as bitmaps, however many they are, so that no text is shuffled; ids too far
+    apart for that are joined as Spark sees fit. Both are exact.
+    """
+    targets = target_sample(labels)
+    if dict(targets.dtypes)["__target"] == dict(docs.dtypes)["doc_id"] == "bigint":
+        bucket, at = F.shiftright("__target", 15).alias("__bucket"), F.col("__target").bitwiseAND(F.lit(32_767))
+        maps = written(targets.groupBy(bucket).agg(F.bitmap_construct_agg(at).alias("__bits")), "targets")
+        if maps.count() <= most:
+            met = docs.withColumn("__bucket", F.shiftright("doc_id", 15)).join(F.broadcast(maps), "__bucket", "left")
+            low = F.col("doc_id").bitwiseAND(F.lit(32_767))
+            byte = F.conv(F.hex(F.substring("__bits", F.shiftright(low, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            there = F.coalesce(F.getbit(byte, low.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+            return met.withColumn("__fit", F.when(there, _fits("doc_id"))).drop("__bits", "__bucket")
+    return docs.join(targets, F.col("doc_id") == F.col("__target"), "left").drop("__target")
 
 
 def fit_ratio(docs: DataFrame, bits: int = BUCKET_BITS, smoothing: float = SMOOTHING) -> np.ndarray:
@@ -175,8 +197,7 @@ def importance_resampled(docs: DataFrame, labels: DataFrame, keep_target: float
     has a mean of 0. Equal rows get equal keys and are cut by no order but that of repeated rows. Without labelled targets
     every document is kept. An empty table gives an empty result; other columns are ignored.
     """
-    sample = target_sample(labels)
-    marked = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("__target"), "left").drop("__target")
+    marked = marked_targets(docs.select("doc_id", text_or_empty().alias("text")), labels)
     mean = F.col("log_ratio") / F.greatest("n_features", F.lit(1))
     with small_batches(docs.sparkSession):
         ratio = fit_ratio(marked.withColumn("fits", F.coalesce("__fit", F.lit(False))))

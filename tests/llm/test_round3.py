@@ -464,3 +464,19 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, tmp_path):
             if name != "packing":
                 assert after.columns == docs.columns and [f.dataType for f in after.schema.fields] == [f.dataType for f in docs.schema.fields]
                 docs = after
+
+
+def test_every_labelled_document_is_a_target(spark):
+    """More good labels than any sample would take: each is found by bitmaps of near ids, and by a join where ids lie far apart."""
+    rows = spark.range(0, 60_000, 1, 4)
+    near = rows.select((F.col("id") - 30_000).alias("doc_id"))
+    for spread, most in ((1, quality.MOST_BITMAPS), (10**13, quality.MOST_BITMAPS), (1, 0)):
+        docs = near.select((F.col("doc_id") * spread).alias("doc_id"), F.lit("a b").alias("text")).unionByName(
+            spark.createDataFrame([(None, "x"), (7 * spread, "again")], "doc_id long, text string"))
+        labels = docs.filter(F.col("doc_id") % 2 == 0).select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).unionByName(
+            docs.filter(F.col("doc_id") % 2 == 1).select("doc_id", F.lit(1).alias("quality"), F.lit(1).alias("toxic"))) if spread == 1 else docs.filter(
+            F.col("doc_id") % (2 * spread) == 0).select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+        want = {r["__target"]: r["__fit"] for r in quality.target_sample(labels).collect()}
+        assert len(want) == 30_000 and 14_000 < sum(want.values()) < 16_000
+        got = [(r.doc_id, r["__fit"]) for r in quality.marked_targets(docs, labels, most).collect()]
+        assert len(got) == 60_002 and all(fit == want.get(doc_id) for doc_id, fit in got)
