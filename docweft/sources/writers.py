@@ -14,9 +14,12 @@ from docweft.operators.review import DEFAULT_REVIEWER
 EXPORT_COLUMNS = ("field_name", "label", "kind", "value", "status", "requires_review")
 
 
-def write_results_json(envelopes: DataFrame, path: str, mode: str = "append") -> None:
-    """Nested results as JSON lines, one directory per tenant when the rows carry one."""
-    writer = envelopes.write.mode(mode)
+def write_results_json(envelopes: DataFrame, path: str, mode: str = "append", compression: str = "gzip") -> None:
+    """Nested results as JSON lines, one directory per tenant when the rows carry one.
+
+    Member names and notes repeat in every line, so the files are compressed (readers tell by their suffix); "none" gives plain files.
+    """
+    writer = envelopes.write.mode(mode).option("compression", compression)
     if "tenant_id" in envelopes.columns:
         writer = writer.partitionBy("tenant_id")
     writer.json(path)
