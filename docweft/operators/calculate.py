@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docweft.functions import text as tx
 from docweft.functions.formula_terms import MISSING_INPUT, ZERO_DIVISOR, Term, compiled
-from docweft.operators.reconcile import long_form, result_struct, validate_wide
+from docweft.operators.reconcile import result_struct, validate_wide
 from docweft.schema import FLAG_ON_ERROR, LIST_TYPES, OBJECT_TYPES, CalcDef, FieldDef, Template, typed_value
 
 # ---- fixed values -------------------------------------------------------------------------------
@@ -120,13 +120,17 @@ def calculated_long(wide: DataFrame, template: Template, keys: Sequence[str] = (
 
 
 def all_fields_long(wide: DataFrame, template: Template, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Extracted and calculated results in one long table with the columns both share."""
-    shared = [*keys, "field_no", "field_name", "label", "validation_status", "validation_errors", "requires_review"]
-    extracted = long_form(wide, template, keys).select(*shared, F.lit("extracted").alias("field_kind"))
-    if not template.calcs:
-        return extracted
-    calculated = calculated_long(wide, template, keys).select(*shared, F.lit("calculated").alias("field_kind"))
-    return extracted.unionByName(calculated)
+    """Extracted and calculated results in one long table with the columns both share, from one pass over the wide rows."""
+    def rows(items: Sequence[FieldDef | CalcDef], kind: str, first: int) -> list[Column]:
+        return [
+            F.struct(F.lit(first + i).alias("field_no"), F.lit(f.name).alias("field_name"), F.lit(f.label).alias("label"),
+                     *[F.col(f.name)[c].alias(c) for c in ("validation_status", "validation_errors", "requires_review")],
+                     F.lit(kind).alias("field_kind"))
+            for i, f in enumerate(items)]
+
+    calcs = template.ordered_calcs() if template.calcs else []
+    every = [*rows(template.fields, "extracted", 0), *rows(calcs, "calculated", len(template.fields))]
+    return wide.select(*keys, F.inline(F.array(*every)))
 
 
 def calc_struct(calc: CalcDef, template: Template) -> Column:

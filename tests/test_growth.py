@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from docweft.operators import calculate as ca
+from docweft.operators import calculate as ca, reconcile as rc
 from docweft.plans.dry_run import extract_documents
 from docweft.schema import CalcDef, FieldDef, Template
 from docweft.sources import writers as wr
@@ -35,3 +35,15 @@ def test_results_are_written_compressed_and_read_back_whole(spark, tmp_path):
         rows[kind] = sorted(spark.read.schema(envelopes.schema).json(str(path)).collect())
     assert sizes["default"] * 5 < sizes["plain"]
     assert rows["default"] == rows["plain"] and len(rows["plain"]) == 500
+
+
+def test_extracted_and_calculated_fields_are_listed_in_one_pass(spark):
+    wide = extract_documents(texts(spark, 20), TOTAL)
+    every = ca.all_fields_long(wide, TOTAL)
+    assert plan_of(every).count("Range (") == 1
+    shared = ["doc_id", "field_no", "field_name", "label", "validation_status", "validation_errors", "requires_review"]
+    apart = [rc.long_form(wide, TOTAL).select(*shared, F.lit("extracted").alias("field_kind")),
+             ca.calculated_long(wide, TOTAL).select(*shared, F.lit("calculated").alias("field_kind"))]
+    assert sorted(every.collect()) == sorted(row for part in apart for row in part.collect()) and every.count() == 60
+    fields_only = Template("T", "1", "invoice", TOTAL.fields)
+    assert ca.all_fields_long(extract_documents(texts(spark, 5), fields_only), fields_only).count() == 10
