@@ -102,18 +102,22 @@ def read_delimited_lines(spark: SparkSession, path: str | Sequence[str]) -> Data
     return line_numbers(rows, rows).select("path", "line_number", "line").unionByName(files)
 
 
-def _json_files(spark: SparkSession, path: str | Sequence[str], ddl: str) -> DataFrame:
+def _json_files(spark: SparkSession, path: str | Sequence[str], ddl: str, lines: bool = False) -> DataFrame:
     schema = T._parse_datatype_string(" ".join(ddl.split()))
     return (
-        spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true")
+        spark.read.schema(schema).option("multiLine", str(not lines).lower()).option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.json").json(path)
         .withColumn("source_path", F.col("_metadata.file_path"))
     )
 
 
-def read_templates(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Template definitions from JSON files, found recursively, with their source path."""
-    return _json_files(spark, path, DEFINITION_DDL)
+def read_templates(spark: SparkSession, path: str | Sequence[str], lines: bool = False) -> DataFrame:
+    """Template definitions from JSON files, found recursively, with their source path.
+
+    lines: a file holds many definitions, one a line. A large store should be kept so, as listing and opening a file per definition
+    takes far longer than reading it.
+    """
+    return _json_files(spark, path, DEFINITION_DDL, lines)
 
 
 def read_eval_cases(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from docweft.operators import calculate as ca, reconcile as rc
 from docweft.plans.dry_run import extract_documents
 from docweft.schema import CalcDef, FieldDef, Template
-from docweft.sources import writers as wr
+from docweft.sources import readers as rd, writers as wr
+from workload import sources
 
 TOTAL = Template("Totals", "1", "invoice", (FieldDef("total_amount", "Total Amount", "currency"), FieldDef("sent", "Sent", "date")),
                  (CalcDef("more", "More", "number", "total_amount.amount + 1", ("total_amount",)),))
@@ -47,3 +49,28 @@ def test_extracted_and_calculated_fields_are_listed_in_one_pass(spark):
     assert sorted(every.collect()) == sorted(row for part in apart for row in part.collect()) and every.count() == 60
     fields_only = Template("T", "1", "invoice", TOTAL.fields)
     assert ca.all_fields_long(extract_documents(texts(spark, 5), fields_only), fields_only).count() == 10
+
+
+def test_a_large_store_of_definitions_is_no_file_per_definition(spark, tmp_path):
+    part = spark.range(8000).select(
+        F.col("id").alias("p_partkey"), F.concat(F.lit("part "), F.col("id").cast("string")).alias("p_name"), F.lit("SMALL").alias("p_type"),
+        (F.col("id") % 50).cast("int").alias("p_size"), (F.col("id") + 0.5).alias("p_retailprice"))
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    templates = sources.whole_definitions(spark, str(tmp_path))
+    assert len(templates.inputFiles()) < 40 and templates.count() == 200
+    assert sources.contract_changes(spark, str(tmp_path)).count() == len(range(0, 8000, 6))
+
+
+def test_definitions_by_line_are_those_of_single_files(spark, tmp_path):
+    texts_of = [json.dumps({"template_name": f"T{i}", "extracted_fields": [{"name": f"f{i}", "label": "F", "type": "text", "schema": {"b": i, "a": [1]}}],
+                            "llm_provider_settings": {"model": f"m{i}"}}) for i in range(7)]
+    for i, text in enumerate(texts_of):
+        (tmp_path / "single" / str(i)).mkdir(parents=True)
+        (tmp_path / "single" / str(i) / "t.json").write_text(json.dumps(json.loads(text), indent=1))
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "all.json").write_text("\n".join(texts_of) + "\n")
+    single, lines = rd.read_templates(spark, str(tmp_path / "single")), rd.read_templates(spark, str(tmp_path / "lines"), lines=True)
+    assert sorted(rd.definition_rows(single).collect()) == sorted(rd.definition_rows(lines).collect())
+    models = F.to_json("provider").alias("provider")
+    assert sorted(rd.template_rows(single).select("template_id", models).collect()) == sorted(rd.template_rows(lines).select("template_id", models).collect())
+    assert lines.count() == 7
