@@ -3,6 +3,7 @@
 A result keeps its fields in one array (bounded by its template), so finding the other fields inside an
 edit's context window is a filter inside the row, not a join of fields with fields. Edits are counted per
 result and field before they meet results or texts: a result with very many edits shrinks to a few rows.
+Keys name the id before the tenant, as sorts compare by the first key and few tenants share very many rows.
 """
 
 from __future__ import annotations
@@ -25,11 +26,17 @@ GROUNDING_PROVIDER = "langextract"
 
 
 def result_fields(results: DataFrame, keys: Sequence[str] = ("tenant_id", "result_id")) -> DataFrame:
-    """Long results to one row per result with its fields as an array, ordered by span start and name."""
+    """Long results to one row per result with its fields as an array, ordered by span start and name.
+
+    Rows are dealt out by tenant and result alone, so that edits, which are counted per result, meet them where they are.
+    """
+    owner = [k for k in ("result_id", "tenant_id") if k in keys]
     start = F.coalesce("char_start", F.lit(10**9))
     field = F.struct(start.alias("order_start"), "field_name", "data_type", "extracted_value", "normalized_value",
                      "source_text", "char_start", "char_end")
-    return results.groupBy(*keys).agg(F.sort_array(F.collect_list(field)).alias("fields"))
+    dealt = results.repartition(*owner) if owner else results
+    order = [*owner, *[k for k in keys if k not in owner]]
+    return dealt.groupBy(*order).agg(F.sort_array(F.collect_list(field)).alias("fields")).select(*keys, "fields")
 
 
 def edit_counts(edits: DataFrame) -> DataFrame:
@@ -46,16 +53,16 @@ def grounding_versions(templates: DataFrame) -> DataFrame:
 def reviewed_edits(results: DataFrame, jobs: DataFrame, docs: DataFrame, edits: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """Edits joined to their result, job and document on ids and tenant.
 
-    `results` has one row per result (`fields`, `reviewed_at`), `docs` the readable `text`. The small
-    job and document attributes are joined first; the text arrives last. With `templates`, only versions whose provider grounds
-    its extractions are mined.
+    `results` has one row per result (`fields`, `reviewed_at`), `docs` the readable `text`. The counts go to the results first, as
+    those are the widest rows and `result_fields` leaves them in place for it; job attributes follow and the text arrives last. With
+    `templates`, only versions whose provider grounds its extractions are mined.
     """
     if templates is not None:
         jobs = jobs.join(grounding_versions(templates), ["tenant_id", "template_version_id"], "left_semi")
-    owned = results.join(jobs.select("tenant_id", "job_id", "document_id", "template_version_id"), ["tenant_id", "job_id"])
-    counted = edit_counts(edits)
-    return counted.join(owned, ["tenant_id", "result_id"]).join(
-        docs.select("tenant_id", F.col("doc_id").alias("document_id"), "text"), ["tenant_id", "document_id"])
+    edited = edit_counts(edits).join(results, ["result_id", "tenant_id"])
+    owned = edited.join(jobs.select("tenant_id", "job_id", "document_id", "template_version_id"), ["job_id", "tenant_id"])
+    return owned.join(
+        docs.select("tenant_id", F.col("doc_id").alias("document_id"), "text"), ["document_id", "tenant_id"])
 
 
 def grounded(f: Column) -> Column:
@@ -138,7 +145,7 @@ def mined(candidates: DataFrame) -> DataFrame:
     One row per tenant, template version and either skip reason or suggestion: n_edits, n_source_results, field names, last review and, for a
     suggestion, its key and one example. The grouping key is the whole digest, shown by its first 16 characters.
     """
-    keys = ["tenant_id", "template_version_id", "skip_reason", "_digest"]
+    keys = ["_digest", "tenant_id", "template_version_id", "skip_reason"]
     kept = F.col("skip_reason").isNull()
     digest = F.when(kept, suggestion_digest(F.col("example_text"), F.col("extractions")))
     keyed = candidates.withColumns({"_digest": digest, "_result": F.when(kept, F.col("result_id"))})
@@ -177,14 +184,14 @@ def suggestion_results(candidates: DataFrame) -> DataFrame:
 
 def dismiss(decisions: DataFrame) -> DataFrame:
     """Latest decision per tenant, template version and key."""
-    return decisions.groupBy("tenant_id", "template_version_id", "suggestion_key").agg(
+    return decisions.groupBy("suggestion_key", "tenant_id", "template_version_id").agg(
         F.max_by("dismissed", "updated_at").alias("dismissed"), F.max("updated_at").alias("updated_at"))
 
 
 def visible_suggestions(found: DataFrame, decisions: DataFrame) -> DataFrame:
     """Suggestions that are not dismissed, most frequent first."""
     dismissed = dismiss(decisions).filter("dismissed")
-    keys = ["tenant_id", "template_version_id", "suggestion_key"]
+    keys = ["suggestion_key", "tenant_id", "template_version_id"]
     return found.join(dismissed.select(*keys), keys, "left_anti").orderBy(
         F.desc("occurrence_count"), F.coalesce(F.col("last_reviewed_at").cast("string"), F.lit("")), "suggestion_key")
 
@@ -200,14 +207,14 @@ def feedback_diagnostics(
     """
     keys = ["tenant_id", "template_version_id"]
     counted = mined(candidates) if counted is None else counted
-    versioned = results.join(jobs.select("tenant_id", "job_id", "template_version_id"), ["tenant_id", "job_id"])
+    versioned = results.join(jobs.select("tenant_id", "job_id", "template_version_id"), ["job_id", "tenant_id"])
     all_results = versioned.groupBy(*keys).agg(F.count(F.lit(1)).alias("reviewed_result_count"))
-    all_edits = edit_counts(edits).join(versioned.select("tenant_id", "result_id", "template_version_id"), ["tenant_id", "result_id"])
+    all_edits = edit_counts(edits).join(versioned.select("tenant_id", "result_id", "template_version_id"), ["result_id", "tenant_id"])
     edit_totals = all_edits.groupBy(*keys).agg(F.sum("n_edits").alias("reviewed_edit_count"))
     dismissed = dismiss(decisions).filter("dismissed").withColumn("_gone", F.lit(True))
     kept, gone = F.col("skip_reason").isNull(), F.coalesce("_gone", F.lit(False))
     outcome = counted.select(*keys, "skip_reason", "suggestion_key", "occurrence_count").join(
-        dismissed.select(*keys, "suggestion_key", "_gone"), [*keys, "suggestion_key"], "left").groupBy(*keys).agg(
+        dismissed.select(*keys, "suggestion_key", "_gone"), ["suggestion_key", *keys], "left").groupBy(*keys).agg(
         F.count_if(kept).alias("generated_suggestion_count"),
         F.count_if(kept & gone).alias("dismissed_suggestion_count"),
         F.count_if(kept & ~gone).alias("visible_suggestion_count"),

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from docweft.operators import calculate as ca, reconcile as rc
+from docweft.operators import calculate as ca, feedback as fb, reconcile as rc
 from docweft.plans.dry_run import extract_documents
 from docweft.schema import CalcDef, FieldDef, Template
 from docweft.sources import readers as rd, writers as wr
@@ -74,3 +75,31 @@ def test_definitions_by_line_are_those_of_single_files(spark, tmp_path):
     models = F.to_json("provider").alias("provider")
     assert sorted(rd.template_rows(single).select("template_id", models).collect()) == sorted(rd.template_rows(lines).select("template_id", models).collect())
     assert lines.count() == 7
+
+
+def test_edits_meet_the_fields_of_their_result_where_they_are(spark):
+    """The widest rows, a result's fields, are dealt out once, then for jobs and documents alone; counts of edits come to them."""
+    ids = spark.range(40).select(F.concat(F.lit("t"), (F.col("id") % 3).cast("string")).alias("tenant_id"), F.col("id"))
+    long = ids.select(
+        "tenant_id", F.col("id").alias("result_id"), F.col("id").alias("job_id"), F.lit("d").alias("reviewed_at"), F.explode(F.array(F.lit("b"), F.lit("a"))).alias("field_name"),
+        F.lit("text").alias("data_type"), F.lit("x").alias("extracted_value"), F.lit("x").alias("normalized_value"), F.lit("x").alias("source_text"),
+        F.lit(3).alias("char_start"), F.lit(4).alias("char_end"))
+    jobs = ids.select("tenant_id", F.col("id").alias("job_id"), F.col("id").alias("document_id"), (F.col("id") % 7).alias("template_version_id"))
+    docs = ids.select("tenant_id", F.col("id").alias("doc_id"), F.lit("has x in it").alias("text"))
+    edits = ids.filter("id % 4 = 0").select("tenant_id", F.col("id").alias("result_id"), F.explode(F.array(F.lit("a"), F.lit("a"), F.lit("z"))).alias("field_name"))
+    keys = ("tenant_id", "result_id", "job_id", "reviewed_at")
+    results = fb.result_fields(long, keys)
+    assert results.columns == [*keys, "fields"] and [[f.field_name for f in r.fields] for r in results.collect()] == [["a", "b"]] * 40
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = fb.reviewed_edits(results, jobs, docs, edits)
+        plan = met._jdf.queryExecution().sparkPlan().toString()
+        got = sorted((r.tenant_id, r.result_id, r.document_id, r.template_version_id, r.field_name, r.n_edits, len(r.fields), r.text) for r in met.collect())
+        executed = met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted((f"t{i % 3}", i, i, i % 7, name, n, 2, "has x in it") for i in range(0, 40, 4) for name, n in (("a", 2), ("z", 1)))
+    joins = [re.search(r"(document|job|result)_id#", line).group(1) for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert joins == ["document", "job", "result"]  # from the last to the first
+    assert executed.split("== Initial Plan ==")[0].count("REPARTITION_BY_COL") == 1

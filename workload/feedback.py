@@ -17,11 +17,12 @@ RADIUS = 20
 
 def field_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long results: vendor, amount and date of every invoice with spans; some broken on purpose (by key)."""
-    docs = v.invoices(spark, sf_dir)
+    docs = v.invoices(spark, sf_dir).withColumns({
+        "amount": F.concat(F.lit("$"), fv.tx.fixed_decimals(F.col("o_totalprice"), 2, grouped=True)),
+        "date": F.date_format("o_orderdate", "yyyy-MM-dd")})
     k = F.col("doc_id") % 13
     seg = F.length("tenant_id")
-    amount = F.concat(F.lit("$"), fv.tx.fixed_decimals(F.col("o_totalprice"), 2, grouped=True))
-    date = F.date_format("o_orderdate", "yyyy-MM-dd")
+    amount, date = F.col("amount"), F.col("date")
     amount_at = 25 + seg
     date_at = amount_at + F.length(amount) + 13
 
@@ -39,7 +40,7 @@ def field_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     dated = row("order_date", "date", date, date_at, value_struct(text=date, display_value=date))
     rows = F.when(k == 4, F.array(vendor, total)).otherwise(F.array(vendor, total, dated))
     return docs.select("tenant_id", F.col("doc_id").alias("result_id"), F.col("doc_id").alias("job_id"),
-                       F.date_format("o_orderdate", "yyyy-MM-dd").alias("reviewed_at"), F.inline(rows))
+                       date.alias("reviewed_at"), F.inline(rows))
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
