@@ -144,7 +144,10 @@ def stream_extract(
     newest attempts so far are stored in one place, made from the last such place and the batches since, so a replay makes the same.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
-        results = result_envelope(extract_documents(batch, template, keys), template, keys)
+        # the few files of a batch would keep few cores busy
+        few = batch.rdd.getNumPartitions() < batch.sparkSession.sparkContext.defaultParallelism
+        spread = batch.select(*keys, "text").hint("rebalance") if few else batch
+        results = result_envelope(extract_documents(spread, template, keys), template, keys)
         results.drop("reviewed_at").withColumn("review_status", F.lit("pending")).write.mode("overwrite").parquet(
             f"{path}/batch_id={batch_id}")
         if (batch_id + 1) % compact_every == 0:

@@ -12,6 +12,7 @@ from docweft.operators import calculate as ca, feedback as fb, reconcile as rc
 from docweft.plans.dry_run import extract_documents
 from docweft.schema import CalcDef, FieldDef, Template
 from docweft.sources import readers as rd, writers as wr
+from docweft.streaming import streams as st
 from workload import sources
 
 TOTAL = Template("Totals", "1", "invoice", (FieldDef("total_amount", "Total Amount", "currency"), FieldDef("sent", "Sent", "date")),
@@ -103,3 +104,16 @@ def test_edits_meet_the_fields_of_their_result_where_they_are(spark):
     joins = [re.search(r"(document|job|result)_id#", line).group(1) for line in plan.splitlines() if "SortMergeJoin" in line]
     assert joins == ["document", "job", "result"]  # from the last to the first
     assert executed.split("== Initial Plan ==")[0].count("REPARTITION_BY_COL") == 1
+
+
+def test_a_batch_of_one_file_is_spread_over_the_cores(spark, tmp_path):
+    docs = spark.range(40_000, numPartitions=1).select(
+        F.col("id").alias("job_id"), F.lit(1).alias("attempt"), F.col("id").alias("doc_id"),
+        F.concat(F.lit("Total Due: $"), F.col("id").cast("string"), F.lit(".50 "), F.sha2(F.col("id").cast("string"), 512)).alias("text"))
+    docs.write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    st.stream_extract(source, TOTAL, out, str(tmp_path / "check")).awaitTermination()
+    assert len(list(Path(out, "batch_id=0").glob("part-*.parquet"))) > 1
+    newest = st.latest_results(spark, out)
+    assert newest.select(F.count_distinct("job_id"), F.count("job_id")).first() == (40_000, 40_000)
