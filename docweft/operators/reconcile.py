@@ -115,15 +115,39 @@ def reconcile_in_rows(docs: DataFrame, candidates: Mapping[str, Column], others:
     candidates: by field, an array column of structs with the candidate columns and seq. The best one is picked inside the row,
     so nothing is shuffled; how large a row may get is bounded by one document's chunks.
     """
+    gathered = docs.select(*others, *[c.alias(f"_all_{name}") for name, c in candidates.items()])
+    counted = gathered.select("*", *[F.coalesce(F.size(f"_all_{name}"), F.lit(0)).cast("int").alias(f"_n_{name}") for name in candidates])
+    return _picked(counted, {name: (F.col(f"_all_{name}"), F.get(f"_all_{name}", F.lit(0))) for name in candidates}, others)
+
+
+def reconcile_offered(docs: DataFrame, offered: str, names: Sequence[str], others: Sequence[str]) -> DataFrame:
+    """`reconcile_in_rows` for documents with the candidates of all fields in one array column: structs that also have field_name.
+
+    A field's candidate is taken by its position; candidates are gathered by field only where a field has several.
+    """
+    listed = docs.select(*others, offered, F.col(offered)["field_name"].alias("_names"))
+    counted = listed.select(*others, offered, *[
+        part for name in names for part in (
+            F.array_position("_names", name).cast("int").alias(f"_at_{name}"),
+            F.coalesce(F.size("_names") - F.size(F.array_remove("_names", name)), F.lit(0)).cast("int").alias(f"_n_{name}"))])
+    return _picked(counted, {
+        name: (candidates_of(F.col(offered), name), F.get(F.col(offered), F.col(f"_at_{name}") - 1)) for name in names}, others)
+
+
+def _picked(counted: DataFrame, candidates: Mapping[str, tuple[Column, Column]], others: Sequence[str]) -> DataFrame:
+    """The settled best candidates. candidates: by field, all of them and the first; counted has their number as `_n_` and the field's name.
+
+    Ranking goes through array functions, which are not generated code, and most fields have one candidate or none: those skip it.
+    """
     def ranked(c: Column) -> Column:
-        return F.struct(_rank(lambda name: c[name]).alias("rank"), F.struct(*[c[name].alias(name) for name in CANDIDATE_COLUMNS]).alias("candidate"))
+        payload = F.struct(*[c[name].alias(name) for name in CANDIDATE_COLUMNS])
+        return F.struct(_rank(lambda name: c[name]).alias("rank"), payload.alias("payload"), c.alias("candidate"))
 
-    gathered = docs.select(*others, *[c.alias(f"_all_{name}") for name, c in candidates.items()])
-    picked = gathered.select(*others, *[
-        part for name in candidates for part in (
-            F.array_max(F.transform(F.col(f"_all_{name}"), ranked)).alias(f"_best_{name}"),
-            F.coalesce(F.size(f"_all_{name}"), F.lit(0)).cast("int").alias(f"_n_{name}"))])
-    return picked.select(*others, *[_settled(F.col(f"_best_{name}.candidate"), F.col(f"_n_{name}")).alias(name) for name in candidates])
+    picked = counted.select(*others, *[
+        part for name, (every, first) in candidates.items() for part in (
+            F.when(F.col(f"_n_{name}") > 1, F.array_max(F.transform(every, ranked))["candidate"]).otherwise(first).alias(f"_best_{name}"),
+            F.col(f"_n_{name}"))])
+    return picked.select(*others, *[_settled(F.col(f"_best_{name}"), F.col(f"_n_{name}")).alias(name) for name in candidates])
 
 
 def rule_extract_wide(docs: DataFrame, template: Template, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -243,7 +267,7 @@ def check_field(result: Column, field: FieldDef, min_confidence: float, review_l
         checks.append(F.when(F.coalesce(result["source_text"], F.lit("")) == "", CITATION_MISSING))
     if review_low:
         unsure = F.coalesce(~missing & (result["confidence"] < min_confidence), F.lit(False))
-        note = F.concat(F.lit("Confidence "), tx.fixed_decimals(result["confidence"]),
+        note = F.concat(F.lit("Confidence "), F.coalesce(tx.fixed_decimals(result["confidence"]), F.lit("")),  # never null, so written once
                         F.lit(f" is below the {min_confidence:.2f} review threshold."))
         notes, review = F.when(unsure, tx.append_note(notes, note)).otherwise(notes), review | unsure
     errors = F.array(*checks) if checks else F.array().cast("array<string>")

@@ -15,7 +15,7 @@ from docweft.functions import spans as sp, text as tx
 from docweft.operators import redaction as rd
 from docweft.operators.calculate import complete_wide, result_envelope
 from docweft.operators.extract import rule_candidate, rule_hit
-from docweft.operators.reconcile import candidates_of, reconcile_in_rows, unexpected_notes
+from docweft.operators.reconcile import reconcile_in_rows, reconcile_offered, unexpected_notes
 from docweft.operators.text_prep import DEFAULT_OVERLAP
 from docweft.schema import CANDIDATE_COLUMNS, FieldDef, Template
 
@@ -102,7 +102,7 @@ def process_documents(
             offered = F.transform(offered, _cleared)
         base = base.select(*others, notes.alias("_later"), offered.alias("_all"))
         base = base.withColumn("_notes", F.concat(unexpected_notes(F.col("_all"), template), "_later"))
-        wide = reconcile_in_rows(base, {f.name: candidates_of(F.col("_all"), f.name) for f in template.fields}, [*others, "_notes"])
+        wide = reconcile_offered(base, "_all", template.field_names, [*others, "_notes"])
     complete = complete_wide(wide, template, [*others, "_notes"])
     envelope = result_envelope(complete, template, others, F.col("_notes"))
     return refused(envelope, keys)

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from docweft.operators import calculate as ca, feedback as fb, reconcile as rc
 from docweft.plans.dry_run import extract_documents
-from docweft.schema import CalcDef, FieldDef, Template
+from docweft.schema import CANDIDATE_COLUMNS, CalcDef, FieldDef, Template, value_struct
 from docweft.sources import readers as rd, writers as wr
 from docweft.streaming import streams as st
-from workload import sources
+from workload import plans, sources
 
 TOTAL = Template("Totals", "1", "invoice", (FieldDef("total_amount", "Total Amount", "currency"), FieldDef("sent", "Sent", "date")),
                  (CalcDef("more", "More", "number", "total_amount.amount + 1", ("total_amount",)),))
@@ -117,3 +117,39 @@ def test_a_batch_of_one_file_is_spread_over_the_cores(spark, tmp_path):
     assert len(list(Path(out, "batch_id=0").glob("part-*.parquet"))) > 1
     newest = st.latest_results(spark, out)
     assert newest.select(F.count_distinct("job_id"), F.count("job_id")).first() == (40_000, 40_000)
+
+
+
+def test_candidates_found_by_position_are_those_gathered_by_field(spark):
+    """0 to 9 candidates a document, of known, unknown and null fields, with ties in every rank, null candidates and null arrays."""
+    n, names = F.col("id"), ["a", "b", "c"]
+
+    def candidate(i):
+        k = (n * 7 + i * 5) % 11
+        made = {
+            "extracted_value": F.when(k != 3, k.cast("string")), "normalized_value": F.when(k % 3 > 0, value_struct(number=k.cast("double"))),
+            "confidence": (k % 3) / 4, "source_text": F.when(k % 4 > 0, F.substring(F.lit("sss"), F.lit(1), k % 3)),
+            "notes": F.concat(F.lit("n"), i.cast("string")), "requires_review": k % 2 == 0}
+        name = F.get(F.array(*map(F.lit, [*names, "odd"])), (k % 5).cast("int"))
+        return F.when(k != 7, F.struct(name.alias("field_name"), (i % 2).cast("bigint").alias("seq"), *[
+            made.get(c, F.lit(None)).cast(t).alias(c) for c, t in CANDIDATE_COLUMNS.items()]))
+
+    every = F.transform(F.sequence(F.lit(1), (n % 11).cast("int")), candidate)
+    docs = spark.range(400).select(n.alias("doc_id"), F.when(n % 11 > 0, every).alias("found"))
+    by_position = rc.reconcile_offered(docs, "found", names, ["doc_id"])
+    by_field = rc.reconcile_in_rows(docs, {x: rc.candidates_of(F.col("found"), x) for x in names}, ["doc_id"])
+    # And as the table of candidates, which knows nothing of arrays.
+    rows = docs.select("doc_id", F.inline("found")).filter("field_name is not null")
+    as_table = rc.reconcile_wide(rows, docs, Template("T", "1", "t", tuple(FieldDef(x, x.upper(), "number") for x in names)))
+    got = sorted(by_position.collect())
+    assert got == sorted(by_field.select(by_position.columns).collect()) == sorted(as_table.select(by_position.columns).collect())
+    assert {r[x].n_candidates for r in got for x in names} >= {0, 1, 2, 3}
+
+
+def test_gathered_candidates_are_dealt_out_once_and_only_shown_members_are_made(spark):
+    done = plans.process_candidates(spark, "/root/testdata/sf0.001")
+    executed = done._jdf.queryExecution().executedPlan().toString()
+    rows_dealt = executed[executed.index("REPARTITION_BY_COL"):]
+    assert "partial_collect_list" not in rows_dealt and "partial_collect_list" in executed
+    assert executed.count("Exchange ") == 2
+    assert "StructsToJson" not in executed and "transform(array(struct" not in executed

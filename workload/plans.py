@@ -118,11 +118,14 @@ SELECT w.result_id AS doc_id, coalesce(s.notes, '') AS document_notes, (SELECT s
 FROM wide w LEFT JOIN strays s ON s.result_id = w.result_id LEFT JOIN (SELECT result_id, string_agg(field_name, '|' ORDER BY field_no) AS c FROM calc WHERE len(errors) > 0 GROUP BY 1) k ON k.result_id = w.result_id""")
 def process_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of another extractor, gathered per document; those of unknown fields become document notes."""
-    found = v.candidates(spark, sf_dir).groupBy(*RESULT_KEYS).agg(F.sort_array(F.collect_list(F.struct(
-        "seq", "field_name", *CANDIDATE_COLUMNS))).alias("found"))
+    # Gathering makes nothing smaller, so the rows are dealt out as they are, and each candidate is made a struct (in generated code) before.
+    each = v.candidates(spark, sf_dir).select(*RESULT_KEYS, F.struct("seq", "field_name", *CANDIDATE_COLUMNS).alias("candidate"))
+    found = each.repartition(*RESULT_KEYS).groupBy(*RESULT_KEYS).agg(F.sort_array(F.collect_list("candidate")).alias("found"))
     docs = v.result_ids(spark, sf_dir).join(found, list(RESULT_KEYS), "left").select(F.col("result_id").alias("doc_id"), F.lit("").alias("text"), "found")
     done = execute.process_documents(docs, LINES, candidates="found")
-    status = F.transform("extracted_fields", lambda f: F.concat(f["field_name"], F.lit("="), f["validation_status"], F.lit(" "), f["extraction_notes"]))
+    # By position rather than by an array function: members that are not shown are then never made.
+    fields = [F.get("extracted_fields", F.lit(i)) for i in range(len(LINES.fields))]
+    status = F.array(*[F.concat(f["field_name"], F.lit("="), f["validation_status"], F.lit(" "), f["extraction_notes"]) for f in fields])
     return done.select("doc_id", joined(F.col("document_level_notes")).alias("document_notes"), joined(status).alias("fields"),
                        joined(F.col("fields_requiring_review")).alias("review"))
 
