@@ -242,7 +242,10 @@ def prepared(result: Column, field: FieldDef, similarity: float) -> Column | Non
 
 
 def check_field(result: Column, field: FieldDef, min_confidence: float, review_low: bool, ready: Column | None = None) -> Column:
-    """What validation changes in a field's result: value, notes, review flag, errors in rule order. ready: the column that `prepared` gave."""
+    """What validation changes in a field's result: notes, review flag, errors in rule order, and the value of a field with allowed values.
+
+    ready: the column that `prepared` gave.
+    """
     value, notes = result["normalized_value"], result["notes"]
     missing = value.isNull()
     review = result["requires_review"]
@@ -271,16 +274,17 @@ def check_field(result: Column, field: FieldDef, min_confidence: float, review_l
                         F.lit(f" is below the {min_confidence:.2f} review threshold."))
         notes, review = F.when(unsure, tx.append_note(notes, note)).otherwise(notes), review | unsure
     errors = F.array(*checks) if checks else F.array().cast("array<string>")
-    return F.struct(value.alias("normalized_value"), notes.alias("notes"), review.alias("requires_review"), errors.alias("errors"))
+    changed = [value.alias("normalized_value")] if field.allowed_values else []
+    return F.struct(*changed, notes.alias("notes"), review.alias("requires_review"), errors.alias("errors"))
 
 
-def checked_field(result: Column, checked: Column, errors: Column) -> Column:
+def checked_field(result: Column, field: FieldDef, checked: Column, errors: Column) -> Column:
     """The validated result struct, from a field's result and what `check_field` found."""
     kept = [c for c in CANDIDATE_COLUMNS if c not in ("normalized_value", "notes", "requires_review")]
     failed = F.size(errors) > 0
     return F.struct(
         *[result[c].alias(c) for c in kept],
-        checked["normalized_value"].alias("normalized_value"),
+        (checked if field.allowed_values else result)["normalized_value"].alias("normalized_value"),
         checked["notes"].alias("notes"),
         (checked["requires_review"] | failed).alias("requires_review"),
         result["n_candidates"].alias("n_candidates"),
@@ -304,7 +308,7 @@ def validate_wide(wide: DataFrame, template: Template, similarity: float = DEFAU
         .alias(f"_checked_{f.name}") for f in template.fields])
     compact = checks.select("*", *[F.array_compact(F.col(f"_checked_{n}")["errors"]).alias(f"_errors_{n}") for n in names])
     return compact.select(*others, *[
-        checked_field(F.col(n), F.col(f"_checked_{n}"), F.col(f"_errors_{n}")).alias(n) for n in names])
+        checked_field(F.col(f.name), f, F.col(f"_checked_{f.name}"), F.col(f"_errors_{f.name}")).alias(f.name) for f in template.fields])
 
 
 def long_form(wide: DataFrame, template: Template, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
